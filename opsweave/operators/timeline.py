@@ -211,15 +211,17 @@ def _settle(table: DataFrame, keys: list[str], in_order, step: Step) -> dict[tup
 
         def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             name = _plain(key)
-            if name not in now:
-                return pd.DataFrame({c: [] for c in [*keys, SEG, "state"]})
-            state = states.get(name)
-            left = step(in_order(pdf.drop(columns=SEG)), None if state is None else json.loads(state))[1]
-            return pd.DataFrame([[*key, json.dumps(left)]], columns=[*keys, SEG, "state"])
+            left = None
+            if name in now:
+                state = states.get(name)
+                left = json.dumps(step(in_order(pdf.drop(columns=SEG)),
+                                       None if state is None else json.loads(state))[1])
+            return pd.DataFrame([[*key, left]], columns=[*keys, SEG, "state"])
 
         segs = sorted({int(name[-1]) for name in now})
         done = (table.where(F.col(SEG).isin(segs)).groupBy(*keys, SEG)
-                .applyInPandas(run, f"{key_types}, {SEG} int, state string").collect())
+                .applyInPandas(run, f"{key_types}, {SEG} int, state string")
+                .where("state is not null").collect())
         for row in done:
             exits[_plain((*[row[k] for k in keys], row[SEG]))] = row["state"]
         pending = set()
