@@ -86,7 +86,7 @@ def _trend_step(params: TrendParams):
     half = width // 2
 
     def step(pdf: pd.DataFrame, state):
-        values, us = pdf["value"].tolist(), pdf["_us"].to_numpy()
+        values, us = pdf["value"].tolist(), pdf["us"].to_numpy()
         last, tail = state or (None, [])
         if not values:
             return pdf.assign(ema=[], slope=[]), state
@@ -116,10 +116,10 @@ def trend(samples: DataFrame, params: TrendParams = TrendParams()) -> DataFrame:
     is what the thresholds are tuned to.
     """
     narrow = samples.where(F.col("value").isNotNull()).select(
-        *SERIES, F.unix_micros("ts").alias("_us"), F.col("value").cast("double").alias("value"))
-    out = Timeline(narrow, SERIES, ["_us", "value"]).fold(
-        _trend_step(params), "host string, metric string, _us long, value double, ema double, slope double")
-    return out.select(*SERIES, F.timestamp_micros("_us").alias("ts"), "value", "ema",
+        *SERIES, F.unix_micros("ts").alias("us"), F.col("value").cast("double").alias("value"))
+    out = Timeline(narrow, SERIES, ["us", "value"]).fold(
+        _trend_step(params), "host string, metric string, us long, value double, ema double, slope double")
+    return out.select(*SERIES, F.timestamp_micros("us").alias("ts"), "value", "ema",
                       F.when(~F.isnan("slope"), F.col("slope")).alias("slope"))
 
 

@@ -44,11 +44,11 @@ def kept_rows(df: DataFrame, keys: list[str], gap: float, ts: str = "ts", tie: s
     `repeats` counts the key's rows since the row kept before, that row included; 0 for the first.
     """
     width = round(gap * MICROS)
-    narrow = df.select(*keys, F.unix_micros(ts).alias("_us"), tie, *payload)
+    narrow = df.select(*keys, F.unix_micros(ts).alias("us"), tie, *payload)
 
     def step(pdf: pd.DataFrame, state):
         last, since = state or (None, 0)
-        us = pdf["_us"].to_numpy()
+        us = pdf["us"].to_numpy()
         kept = greedy_kept(us, width, last)
         repeats = np.diff(kept, prepend=-since if last is not None else 0)
         if last is None and len(kept):
@@ -60,8 +60,8 @@ def kept_rows(df: DataFrame, keys: list[str], gap: float, ts: str = "ts", tie: s
         out = pdf.iloc[kept].assign(repeats=repeats.astype(np.int64))
         return out, [last, since]
 
-    kept = Timeline(narrow, keys, ["_us", tie]).fold(step, f"{_types(narrow, narrow.columns)}, repeats long")
-    return kept.select(*keys, F.timestamp_micros("_us").alias(ts), tie, *payload, "repeats")
+    kept = Timeline(narrow, keys, ["us", tie]).fold(step, f"{_types(narrow, narrow.columns)}, repeats long")
+    return kept.select(*keys, F.timestamp_micros("us").alias(ts), tie, *payload, "repeats")
 
 
 def throttle(df: DataFrame, keys: list[str], gap: float, ts: str = "ts", tie: str = "id") -> DataFrame:
@@ -107,7 +107,7 @@ def rate_limited_step(params: DedupParams):
 
     def step(pdf: pd.DataFrame, state):
         emitted, pruned = state or ([], None)
-        us, fps = pdf["_us"].to_numpy(), pdf["fingerprint"].tolist()
+        us, fps = pdf["us"].to_numpy(), pdf["fingerprint"].tolist()
         recent = deque(t for t, _ in emitted)
         last_of = {fp: t for t, fp in emitted}
         log = [tuple(e) for e in emitted]
@@ -148,12 +148,12 @@ def dedup_rate_limited(df: DataFrame, params: DedupParams = DedupParams()) -> Da
     positions within the fingerprint, which is keyed finer. A fingerprint unseen for
     twice the baseline when the prune clock ticks is forgotten, and counts as first again.
     """
-    narrow = df.select("host", "source", F.unix_micros("ts").alias("_us"), "id", "fingerprint")
-    decided = Timeline(narrow, ["host", "source"], ["_us", "id"]).fold(
+    narrow = df.select("host", "source", F.unix_micros("ts").alias("us"), "id", "fingerprint")
+    decided = Timeline(narrow, ["host", "source"], ["us", "id"]).fold(
         rate_limited_step(params),
         f"{_types(narrow, narrow.columns)}, passed boolean, prune_us long")
     gap = round(2 * params.baseline * MICROS)
-    rows = Timeline(decided, FP, ["_us", "id"]).carry({"_prev": F.col("_us")}).index("_pos")
+    rows = Timeline(decided, FP, ["us", "id"]).carry({"_prev": F.col("us")}).index("_pos")
     rows = rows.with_columns({"_first": F.col("_prev").isNull() | (F.col("_prev") < F.col("prune_us") - gap)})
     rows = rows.carry({"_anchor": F.when(F.col("passed") | F.col("_first"), F.col("_pos"))})
     counts = rows.df.where("passed").select(

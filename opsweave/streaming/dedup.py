@@ -38,9 +38,9 @@ class _Cooldown(StatefulProcessor):
         self.state = handle.getValueState("last", "last long, since long", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _in_order(rows, ["_us", "id"])
+        pdf = _in_order(rows, ["us", "id"])
         last, since = self.state.get() if self.state.exists() else (None, 0)
-        us = pdf["_us"].to_numpy()
+        us = pdf["us"].to_numpy()
         kept = greedy_kept(us, self.gap, last)
         counts, previous = [], -since if last is not None else None
         for k in kept.tolist():
@@ -67,14 +67,14 @@ class _RateLimited(StatefulProcessor):
         self.seen = handle.getMapState("seen", "fingerprint string", "count long, last_us long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _in_order(rows, ["_us", "id"])
+        pdf = _in_order(rows, ["us", "id"])
         state = json.loads(self.carry.get()[0]) if self.carry.exists() else None
         pruned = state[1] if state else None
         out, state = self.step(pdf, state)
         self.carry.update((json.dumps(state),))
         local: dict[str, tuple[int, int] | None] = {}
         counts = []
-        for fp, us, passed, clock in zip(out["fingerprint"], out["_us"], out["passed"], out["prune_us"]):
+        for fp, us, passed, clock in zip(out["fingerprint"], out["us"], out["passed"], out["prune_us"]):
             if fp not in local:
                 local[fp] = self.seen.getValue((fp,)) if self.seen.containsKey((fp,)) else None
             known = local[fp]
@@ -97,12 +97,12 @@ class _RateLimited(StatefulProcessor):
 
 
 def _narrow(stream: DataFrame) -> DataFrame:
-    return stream.select(*FP, F.unix_micros("ts").alias("_us"), "id",
+    return stream.select(*FP, F.unix_micros("ts").alias("us"), "id",
                          *[c for c in stream.columns if c not in (*FP, "ts", "id")])
 
 
 def _widen(out: DataFrame) -> DataFrame:
-    return out.withColumn("ts", F.timestamp_micros("_us")).drop("_us")
+    return out.withColumn("ts", F.timestamp_micros("us")).drop("us")
 
 
 def dedup_stream(stream: DataFrame, params: DedupParams = DedupParams(), ttl_hours: float = 24) -> DataFrame:
@@ -134,14 +134,14 @@ class _Trend(StatefulProcessor):
         self.carry = handle.getValueState("carry", "state string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _in_order(rows, ["_us", "value"])
+        pdf = _in_order(rows, ["us", "value"])
         series, last = json.loads(self.carry.get()[0]) if self.carry.exists() else (None, None)
         out, series = self.step(pdf, series)
         over = out[out["slope"].abs() >= self.threshold]
-        kept = greedy_kept(over["_us"].to_numpy(), self.cooldown, last)
+        kept = greedy_kept(over["us"].to_numpy(), self.cooldown, last)
         alerts = over.iloc[kept]
         if len(alerts):
-            last = int(alerts["_us"].iloc[-1])
+            last = int(alerts["us"].iloc[-1])
         self.carry.update((json.dumps([series, last]),))
         yield alerts
 
@@ -152,9 +152,9 @@ class _Trend(StatefulProcessor):
 def trend_stream(samples: DataFrame, params: TrendParams, threshold: float) -> DataFrame:
     """Trend alerts of a sample stream, keyed by series."""
     rows = samples.where(F.col("value").isNotNull()).select(
-        *SERIES, F.unix_micros("ts").alias("_us"), F.col("value").cast("double").alias("value"))
+        *SERIES, F.unix_micros("ts").alias("us"), F.col("value").cast("double").alias("value"))
     out = rows.groupBy(*SERIES).transformWithStateInPandas(
         statefulProcessor=_Trend(params, threshold),
-        outputStructType="host string, metric string, _us long, value double, ema double, slope double",
+        outputStructType="host string, metric string, us long, value double, ema double, slope double",
         outputMode="Append", timeMode="None")
     return _widen(out).withColumn("direction", F.when(F.col("slope") > 0, "rising").otherwise("falling"))
