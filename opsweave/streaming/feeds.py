@@ -121,25 +121,30 @@ def on_event(callback: Callable[[Row], None]) -> Sink:
     return sink
 
 
-def on_status_change(callback: Callable[[str, str, str], None],
-                     history: Callable[[], DataFrame]) -> Sink:
-    """A sink that calls `callback(host, old, new)` for status changes the batch brings.
+def status_changes(batch: DataFrame, history: Callable[[], DataFrame]) -> DataFrame | None:
+    """Status changes (host, id, old, new) that a batch of events brings.
 
     The status before the batch follows from the hour before its first event, so that
     much of the stored history (host, ts, id, severity) is read along, and the hour that
     precedes it to tell the status the batch starts from.
     """
+    first = batch.agg(F.min("ts")).first()[0]
+    if first is None:
+        return None
+    fresh = batch.select("host", "id")
+    seen = (history().select("host", "ts", "id", "severity")
+            .where(F.col("ts") >= F.lit(first) - F.expr("INTERVAL 2 HOURS"))
+            .join(batch.select("host").distinct(), "host", "left_semi"))
+    rows = seen.unionByName(batch.select("host", "ts", "id", "severity")).dropDuplicates(["host", "id"])
+    return status_transitions(rolling_status(rows)).join(fresh, ["host", "id"], "left_semi")
+
+
+def on_status_change(callback: Callable[[str, str, str], None], history: Callable[[], DataFrame]) -> Sink:
+    """A sink that calls `callback(host, old, new)` for every status change, where the rows are."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        first = batch.agg(F.min("ts")).first()[0]
-        if first is None:
-            return
-        fresh = batch.select("host", "id")
-        seen = (history().select("host", "ts", "id", "severity")
-                .where(F.col("ts") >= F.lit(first) - F.expr("INTERVAL 2 HOURS"))
-                .join(batch.select("host").distinct(), "host", "left_semi"))
-        rows = seen.unionByName(batch.select("host", "ts", "id", "severity")).dropDuplicates(["host", "id"])
-        changed = status_transitions(rolling_status(rows)).join(fresh, ["host", "id"], "left_semi")
-        changed.foreach(lambda r: callback(r["host"], r["old"], r["new"]))
+        changed = status_changes(batch, history)
+        if changed is not None:
+            changed.foreach(lambda r: callback(r["host"], r["old"], r["new"]))
     return sink
 
 
