@@ -194,13 +194,13 @@ def actionable(spark, folder):
 
 
 _UPDATES = f"""WITH {EV}, upd AS (
-  SELECT id, 'postponed' AS v, us AS at FROM ev WHERE event_type IN ('error', 'click')
+  SELECT id, 'postponed' AS v, us AS since FROM ev WHERE event_type IN ('error', 'click')
   UNION ALL SELECT id, 'restarted', us + 1 FROM ev WHERE event_type = 'error')
 """
 
 
 @query(_UPDATES + "SELECT ev.id, coalesce(u.v, ev.user_action) AS user_action FROM ev LEFT JOIN "
-       "(SELECT id, arg_max(v, at) AS v FROM upd GROUP BY id) u USING (id)")
+       "(SELECT id, arg_max(v, since) AS v FROM upd GROUP BY id) u USING (id)")
 def set_user_action(spark, folder):
     e = sample_events(spark, folder)
     later = F.timestamp_micros(F.unix_micros("ts") + 1)

@@ -2,7 +2,7 @@
 
 Rows are taken in time order within a micro-batch; across batches the source is expected
 to deliver them in order. The batch operators give the answer for out-of-order history.
-State lives in RocksDB, one small record per key, and expires.
+State lives in RocksDB, one small record per key, and expires by event time.
 """
 
 from __future__ import annotations
@@ -31,27 +31,42 @@ def _in_order(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
 
 
 class _Cooldown(StatefulProcessor):
-    def __init__(self, params: DedupParams, ttl_ms: int):
-        self.gap, self.ttl_ms = round(params.cooldown * MICROS), ttl_ms
+    """Last emission, rows since, and last row of one fingerprint; forgotten after `keep_ms` of event time."""
+
+    def __init__(self, params: DedupParams, keep_ms: int):
+        self.gap, self.keep_ms = round(params.cooldown * MICROS), keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last", "last long, since long", self.ttl_ms)
+        self.handle = handle
+        self.state = handle.getValueState("last", "last long, since long, seen_us long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _in_order(rows, ["us", "id"])
-        last, since = self.state.get() if self.state.exists() else (None, 0)
+        known = self.state.exists()
+        last, since, _ = self.state.get() if known else (None, 0, 0)
         us = pdf["us"].to_numpy()
         kept = greedy_kept(us, self.gap, last)
-        counts, previous = [], -since if last is not None else None
+        counts, previous = [], -since if known else None
         for k in kept.tolist():
             counts.append(0 if previous is None else k - previous)
             previous = k
         if len(kept):
-            self.state.update((int(us[kept[-1]]), int(len(us) - kept[-1])))
-        elif last is not None:
-            self.state.update((last, since + len(us)))
+            last, since = int(us[kept[-1]]), int(len(us) - kept[-1])
+        else:
+            since += len(us)
+        self.state.update((last, since, int(us[-1])))
+        if not known:
+            self.handle.registerTimer(int(us[-1]) // 1000 + self.keep_ms)
         yield pdf.iloc[kept].assign(suppressed_count=pd.Series(counts, dtype="int64").to_numpy())
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = self.state.get()[2] // 1000 + self.keep_ms
+        if due <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+        else:
+            self.handle.registerTimer(due)
+        yield pd.DataFrame()
+
     def close(self) -> None:
         pass
 
@@ -105,13 +120,14 @@ def _widen(out: DataFrame) -> DataFrame:
     return out.withColumn("ts", F.timestamp_micros("us")).drop("us")
 
 
-def dedup_stream(stream: DataFrame, params: DedupParams = DedupParams(), ttl_hours: float = 24) -> DataFrame:
-    """Emitted rows, keyed by fingerprint; a fingerprint unseen for `ttl_hours` is forgotten."""
-    rows = _narrow(stream)
+def dedup_stream(stream: DataFrame, params: DedupParams = DedupParams(), keep_hours: float = 24,
+                 delay: str = "10 minutes") -> DataFrame:
+    """Emitted rows, keyed by fingerprint; a fingerprint unseen for `keep_hours` is forgotten."""
+    rows = _narrow(stream.withWatermark("ts", delay))
     out = rows.groupBy(*FP).transformWithStateInPandas(
-        statefulProcessor=_Cooldown(params, int(ttl_hours * 3_600_000)),
+        statefulProcessor=_Cooldown(params, int(keep_hours * 3_600_000)),
         outputStructType=f"{_types(rows, rows.columns)}, suppressed_count long",
-        outputMode="Append", timeMode="ProcessingTime")
+        outputMode="Append", timeMode="EventTime")
     return _widen(out)
 
 
