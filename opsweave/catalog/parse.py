@@ -3,11 +3,12 @@
 from pyspark.sql import functions as F
 
 from opsweave.catalog import EV, query, us
+from opsweave.catalog.series import rate_limited_sql
 from opsweave.operators import change
 from opsweave.plans import journal
+from opsweave.operators.series import level_check
 from opsweave.sources import logs, tools
 from opsweave.sources.tables import raw_blobs, raw_lines, sample_events
-from opsweave.operators.series import level_check
 
 C = F.col
 L = F.lit
@@ -100,10 +101,17 @@ def journal_fingerprints(spark, folder):
             .agg(F.sum("n").alias("n"), F.count("*").alias("fps")))
 
 
-@query(name="journal_to_events_rate_limited")
-def _journal_limited(spark, folder):
-    return journal.journal_to_events(_journal(spark, folder), rate_limited=True).select(
-        "id", us(), "type", "severity", "raw_data")
+_JOURNAL_MARKED = _JOURNAL + f""", marked AS (SELECT id, host, 'journald' AS source, us, unit, priority, message,
+  sha256(concat('journald:', unit, ':', regexp_replace(regexp_replace(regexp_replace(message, '\\[[0-9]+\\]', '[*]', 'g'),
+    '0x[0-9a-fA-F]+', '0x*', 'g'), '^ +| +$', '', 'g')))[1:16] AS fingerprint FROM je WHERE {_KEPT})"""
+
+
+@query(f"WITH {rate_limited_sql(_JOURNAL_MARKED, 20, 60 * 10**6, 60 * 10**6, 600 * 10**6)} SELECT c.id, c.us AS ts_us, "
+       "concat('unit=', unit, ' priority=', priority, ' msg=', message, CASE WHEN n > 0 THEN concat(' [+', n, ' suppressed]') "
+       "ELSE '' END) AS raw_data FROM counted c JOIN marked m USING (id) WHERE passed")
+def journal_to_events(spark, folder):
+    return journal.journal_to_events(_journal(spark, folder), rate_limited=True, units=["me.service"], idents=["me"]).select(
+        "id", us(), "raw_data")
 
 
 def _packages(spark, folder):

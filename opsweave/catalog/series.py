@@ -283,12 +283,13 @@ def dedup_decisions(spark, folder):
     return throttle.dedup_decisions(_marked(spark, folder), DEDUP).select("id", "action", "suppressed_count")
 
 
-def _rate_limited(limit: int = 3, period: int = 3600 * 10**6, cooldown: int = 3600 * 10**6, stale: int = 36000 * 10**6) -> str:
+def rate_limited_sql(marked: str = _MARKED, limit: int = 3, period: int = 3600 * 10**6, cooldown: int = 3600 * 10**6,
+                     stale: int = 36000 * 10**6) -> str:
     """The rules row by row along each source: the state is the list of recent emissions."""
     passes = (f"len(list_filter(r.log, lambda x: x.us >= n.us - {period})) < {limit} AND "
               f"len(list_filter(r.log, lambda x: x.fp = n.fingerprint AND n.us - x.us < {cooldown})) = 0")
     alive = f"list_filter(r.log, lambda x: x.us >= n.us - {max(period, cooldown)})"
-    return f"""{_MARKED}, numbered AS (SELECT *, row_number() OVER (PARTITION BY host, source ORDER BY us, id) AS rn FROM marked),
+    return f"""{marked}, numbered AS (SELECT *, row_number() OVER (PARTITION BY host, source ORDER BY us, id) AS rn FROM marked),
 decided AS (WITH RECURSIVE r AS (
   SELECT host, source, id, fingerprint, us, rn, true AS passed, us AS prune_us, [{{'us': us, 'fp': fingerprint}}] AS log
   FROM numbered WHERE rn = 1
@@ -305,7 +306,7 @@ counted AS (SELECT *, CASE WHEN passed AND NOT fresh THEN pos - last_value(CASE
   FROM starts)"""
 
 
-@query(f"WITH {_rate_limited()} SELECT id, CASE WHEN passed THEN 'emit' ELSE 'suppress' END AS action, n AS suppressed_count "
+@query(f"WITH {rate_limited_sql()} SELECT id, CASE WHEN passed THEN 'emit' ELSE 'suppress' END AS action, n AS suppressed_count "
        "FROM counted")
 def dedup_rate_limited(spark, folder):
     return throttle.dedup_rate_limited(_marked(spark, folder), DEDUP).select("id", "action", "suppressed_count")

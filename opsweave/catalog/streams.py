@@ -77,8 +77,12 @@ def enrich_stream(spark, folder):
     return spark.read.parquet(log).select("id", "summary")
 
 
-@query(name="debounce_stream")
-def _debounce(spark, folder):
+@query(f"""WITH {EV}, gaps AS (SELECT host, source, us, coalesce(us - lag(us) OVER w >= 1800000000, true) AS opens
+  FROM ev WINDOW w AS (PARTITION BY host, source ORDER BY us)),
+bursts AS (SELECT host, source, us, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY host, source ORDER BY us) AS b FROM gaps)
+SELECT host, source, max(us) AS ts_us, max(us) + 1800000000 AS fire_ts_us, count(*) AS n FROM bursts GROUP BY host, source, b
+HAVING max(us) + 1800000000 <= ((SELECT max(us) FROM ev) - 600000000) // 1000 * 1000""")
+def debounce_stream(spark, folder):
     """Closed bursts only: the last ones stay open until the watermark passes them."""
     return _run(feeds.debounce_stream(_stream(spark, folder), ["host", "source"], "30 minutes")).select(
         "host", "source", us(), us("fire_ts"), "n")
