@@ -24,7 +24,7 @@ def with_previous_tick(ticks: DataFrame) -> DataFrame:
 
 def with_next_tick(ticks: DataFrame) -> DataFrame:
     polls = ticks.select(*POLL).distinct()
-    return Timeline(polls, ["host", "source"], ["tick"], descending=True).carry({"next_tick": F.col("tick")}).df
+    return Timeline(polls, ["host", "source"], ["tick"]).carry({"next_tick": F.col("tick")}, reverse=True).df
 
 
 def new_entities(entities: DataFrame, ticks: DataFrame, prime: bool = False) -> DataFrame:

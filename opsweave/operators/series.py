@@ -148,7 +148,7 @@ def trend_alerts(samples: DataFrame, params: TrendParams = TrendParams(),
             .select(*SERIES, "ts", "value", "ema", "slope", "threshold"))
     if params.cooldown > 0:
         over = kept_rows(over, SERIES, params.cooldown, tie="value",
-                         payload=("ema", "slope", "threshold")).drop("repeats")
+                         payload=("ema", "slope", "threshold"), like=samples).drop("repeats")
     return over.withColumn("direction", F.when(F.col("slope") > 0, "rising").otherwise("falling"))
 
 

@@ -55,10 +55,10 @@ def status_timeline(events: DataFrame, window: float = HOUR) -> DataFrame:
                            F.when(warn, F.col("us")).alias("warn"))
                .union(loud.select("host", F.col("us") + width, F.lit(None).cast("long"), F.lit(None).cast("long")))
                .groupBy("host", "us").agg(F.max("crit").alias("crit"), F.max("warn").alias("warn")))
-    rows = Timeline(moments, ["host"], ["us"]).carry({"_crit": F.col("crit"), "_warn": F.col("warn")}).df
-    at = rows.select("host", "us", _status(
-        F.col("us"), F.coalesce("crit", "_crit"), F.coalesce("warn", "_warn"), width, F.lit(False)).alias("status"))
-    changes = status_transitions(at, ["us"]).select("host", "us", F.col("new").alias("status"))
-    ends = Timeline(changes, ["host"], ["us"], descending=True).carry({"_end": F.col("us")}).df
-    return ends.select("host", F.timestamp_micros("us").alias("start_ts"),
-                       F.timestamp_micros("_end").alias("end_ts"), "status")
+    now = F.col("us")
+    rows = Timeline(moments, ["host"], ["us"]).carry({"_crit": F.col("crit"), "_warn": F.col("warn")})
+    rows = rows.with_columns({"status": _status(now, F.coalesce("crit", "_crit"), F.coalesce("warn", "_warn"),
+                                                width, F.lit(False))})
+    changes = rows.carry({"_old": F.col("status")}).where(F.coalesce("_old", F.lit("healthy")) != F.col("status"))
+    return changes.carry({"_end": now}, reverse=True).df.select(
+        "host", F.timestamp_micros("us").alias("start_ts"), F.timestamp_micros("_end").alias("end_ts"), "status")

@@ -38,10 +38,11 @@ def _types(df: DataFrame, columns: list[str]) -> str:
 
 
 def kept_rows(df: DataFrame, keys: list[str], gap: float, ts: str = "ts", tie: str = "id",
-              payload: tuple[str, ...] = ()) -> DataFrame:
+              payload: tuple[str, ...] = (), like: DataFrame | None = None) -> DataFrame:
     """keys, ts, tie, payload and `repeats` of the rows a cooldown of `gap` seconds keeps.
 
     `repeats` counts the key's rows since the row kept before, that row included; 0 for the first.
+    `like`: see Timeline.
     """
     width = round(gap * MICROS)
     narrow = df.select(*keys, F.unix_micros(ts).alias("us"), tie, *payload)
@@ -60,7 +61,7 @@ def kept_rows(df: DataFrame, keys: list[str], gap: float, ts: str = "ts", tie: s
         out = pdf.iloc[kept].assign(repeats=repeats.astype(np.int64))
         return out, [last, since]
 
-    kept = Timeline(narrow, keys, ["us", tie]).fold(step, f"{_types(narrow, narrow.columns)}, repeats long")
+    kept = Timeline(narrow, keys, ["us", tie], like).fold(step, f"{_types(narrow, narrow.columns)}, repeats long")
     return kept.select(*keys, F.timestamp_micros("us").alias(ts), tie, *payload, "repeats")
 
 
@@ -153,7 +154,7 @@ def dedup_rate_limited(df: DataFrame, params: DedupParams = DedupParams()) -> Da
         rate_limited_step(params),
         f"{_types(narrow, narrow.columns)}, passed boolean, prune_us long")
     gap = round(2 * params.baseline * MICROS)
-    rows = Timeline(decided, FP, ["us", "id"]).carry({"_prev": F.col("us")}).index("_pos")
+    rows = Timeline(decided, FP, ["us", "id"], like=narrow).carry({"_prev": F.col("us")}).index("_pos")
     rows = rows.with_columns({"_first": F.col("_prev").isNull() | (F.col("_prev") < F.col("prune_us") - gap)})
     rows = rows.carry({"_anchor": F.when(F.col("passed") | F.col("_first"), F.col("_pos"))})
     counts = rows.df.where("passed").select(
@@ -181,7 +182,7 @@ def dedup_stats(decisions: DataFrame, width: str = "1 hour") -> DataFrame:
 def debounce(df: DataFrame, keys: list[str], quiet: float = 0.2) -> DataFrame:
     """One firing per burst: rows with nothing after them for `quiet` seconds fire once it has passed."""
     width = round(quiet * MICROS)
-    later = Timeline(df, keys, ["ts", "id"], descending=True).carry({"_next": F.col("ts")}).df
+    later = Timeline(df, keys, ["ts", "id"]).carry({"_next": F.col("ts")}, reverse=True).df
     gap = F.unix_micros("_next") - F.unix_micros("ts")
     return (later.where(F.col("_next").isNull() | (gap >= width))
             .withColumn("fire_ts", F.timestamp_micros(F.unix_micros("ts") + width)).drop("_next"))

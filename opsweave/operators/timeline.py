@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SEGMENT_ROWS = 2_000_000
+SEGMENT_ROWS = 4_000_000
 SEG = "_seg"
 
 
@@ -49,10 +49,6 @@ def segment_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.opsweave.segmentRows", str(SEGMENT_ROWS)))
 
 
-def _ordering(order: list[str], descending: bool) -> list[Column]:
-    return [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-
-
 def segments_needed(df: DataFrame, keys: list[str]) -> int:
     """0 while every key is small, else the number of segments to cut the table into."""
     limit = segment_rows(df.sparkSession)
@@ -61,15 +57,14 @@ def segments_needed(df: DataFrame, keys: list[str]) -> int:
     return 0 if (biggest or 0) <= limit else max(2, math.ceil(total / limit))
 
 
-def write_segments(df: DataFrame, keys: list[str], order: list[str], descending: bool, n: int) -> DataFrame:
+def write_segments(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """The table cut into `n` ranges of (keys, order), with the range number in `_seg`.
 
     It is written before use so that every later job, and every retry after a lost
     executor, sees the same borders.
     """
     path = new_path(df.sparkSession, "segments")
-    ranged = (df.repartitionByRange(n, *[F.col(k) for k in keys], *_ordering(order, descending))
-              .withColumn(SEG, F.spark_partition_id()))
+    ranged = df.repartitionByRange(n, *keys, *order).withColumn(SEG, F.spark_partition_id())
     ranged.write.parquet(path)
     return df.sparkSession.read.schema(ranged.schema).parquet(path)
 
@@ -77,19 +72,16 @@ def write_segments(df: DataFrame, keys: list[str], order: list[str], descending:
 class Timeline:
     """A table viewed as ordered rows per key.
 
-    `order` must order the rows of a key totally. Methods return a new Timeline;
-    `df` is the table with the columns added so far.
+    `order` must order the rows of a key totally. Methods return a new Timeline on the
+    same segments; `df` is the table with the columns added so far. Give `like`, a table
+    with at least as many rows of every key, where counting `df` itself would run costly
+    work twice.
     """
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list[str], descending: bool = False,
-                 _table: DataFrame | None = None):
-        self.keys, self.order, self.descending = keys, order, descending
-        if _table is not None:
-            self._table = _table
-        elif (n := segments_needed(df, keys)) > 0:
-            self._table = write_segments(df, keys, order, descending, n)
-        else:
-            self._table = df
+    def __init__(self, df: DataFrame, keys: list[str], order: list[str], like: DataFrame | None = None):
+        self.keys, self.order = keys, order
+        n = segments_needed(df if like is None else like, keys)
+        self._table = write_segments(df, keys, order, n) if n else df
 
     @property
     def df(self) -> DataFrame:
@@ -100,14 +92,23 @@ class Timeline:
         return SEG in self._table.columns
 
     def _with(self, table: DataFrame) -> Timeline:
-        return Timeline(table, self.keys, self.order, self.descending, _table=table)
+        new = object.__new__(Timeline)
+        new.keys, new.order, new._table = self.keys, self.order, table
+        return new
 
     def with_columns(self, columns: dict[str, Column]) -> Timeline:
         return self._with(self._table.withColumns(columns))
 
-    def _window(self):
+    def where(self, condition: Column) -> Timeline:
+        return self._with(self._table.where(condition))
+
+    def _window(self, reverse: bool):
         parts = [*self.keys, SEG] if self.segmented else self.keys
-        return Window.partitionBy(*parts).orderBy(*_ordering(self.order, self.descending))
+        return Window.partitionBy(*parts).orderBy(*[F.desc(c) if reverse else F.asc(c) for c in self.order])
+
+    def _earlier_segments(self, reverse: bool):
+        return (Window.partitionBy(*self.keys).orderBy(F.desc(SEG) if reverse else F.asc(SEG))
+                .rowsBetween(Window.unboundedPreceding, -1))
 
     def _join_carry(self, carry: DataFrame, names: list[str]) -> DataFrame:
         """Adds the carries; at most one row per segment, hence small enough to broadcast."""
@@ -118,34 +119,32 @@ class Timeline:
             cond = cond & self._table[c].eqNullSafe(renamed[f"__{c}"])
         return self._table.join(F.broadcast(renamed), cond, "left").drop(*[f"__{c}" for c in on])
 
-    def carry(self, values: dict[str, Column]) -> Timeline:
-        """For each name, the last non-null value among the rows strictly before this one."""
-        before = self._window().rowsBetween(Window.unboundedPreceding, -1)
+    def carry(self, values: dict[str, Column], reverse: bool = False) -> Timeline:
+        """For each name, the last non-null value among the rows strictly before this one;
+        with `reverse`, the next one among the rows after it."""
+        before = self._window(reverse).rowsBetween(Window.unboundedPreceding, -1)
+        local = {name: F.last(v, ignorenulls=True).over(before) for name, v in values.items()}
         if not self.segmented:
-            return self._with(self._table.withColumns(
-                {name: F.last(v, ignorenulls=True).over(before) for name, v in values.items()}))
-        at = F.struct(*self.order)
-        newest = F.min_by if self.descending else F.max_by
+            return self._with(self._table.withColumns(local))
+        at, nearest = F.struct(*self.order), F.min_by if reverse else F.max_by
         ends = self._table.groupBy(*self.keys, SEG).agg(
-            *[newest(v, F.when(v.isNotNull(), at)).alias(f"_end_{name}") for name, v in values.items()])
-        earlier = Window.partitionBy(*self.keys).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
+            *[nearest(v, F.when(v.isNotNull(), at)).alias(f"_end_{name}") for name, v in values.items()])
         names = [f"_in_{name}" for name in values]
         carry = ends.select(*self.keys, SEG, *[
-            F.last(f"_end_{name}", ignorenulls=True).over(earlier).alias(f"_in_{name}") for name in values])
+            F.last(f"_end_{name}", ignorenulls=True).over(self._earlier_segments(reverse)).alias(f"_in_{name}")
+            for name in values])
         carry = carry.where(F.coalesce(*[F.when(F.col(c).isNotNull(), True) for c in names]))
         joined = self._join_carry(carry, names)
         return self._with(joined.withColumns(
-            {name: F.coalesce(F.last(v, ignorenulls=True).over(before), F.col(f"_in_{name}"))
-             for name, v in values.items()}).drop(*names))
+            {name: F.coalesce(v, F.col(f"_in_{name}")) for name, v in local.items()}).drop(*names))
 
-    def index(self, name: str) -> Timeline:
-        """Position of the row within its key, from 1."""
-        local = F.row_number().over(self._window()).cast("long")
+    def index(self, name: str, reverse: bool = False) -> Timeline:
+        """Position of the row within its key, from 1; with `reverse`, counted from the end."""
+        local = F.row_number().over(self._window(reverse)).cast("long")
         if not self.segmented:
             return self._with(self._table.withColumn(name, local))
-        earlier = Window.partitionBy(*self.keys).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
         carry = (self._table.groupBy(*self.keys, SEG).agg(F.count(F.lit(1)).alias("n"))
-                 .select(*self.keys, SEG, F.sum("n").over(earlier).alias("_before"))
+                 .select(*self.keys, SEG, F.sum("n").over(self._earlier_segments(reverse)).alias("_before"))
                  .where(F.col("_before").isNotNull()))
         joined = self._join_carry(carry, ["_before"])
         return self._with(joined.withColumn(name, local + F.coalesce("_before", F.lit(0))).drop("_before"))

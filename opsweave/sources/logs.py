@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from opsweave.functions.severity import priority_to_severity
 from opsweave.functions.text import display_text, journal_raw, package_summary, strip
+from opsweave.operators.timeline import Timeline
 from opsweave.schemas import JOURNAL_JSON
 
 # Package log line format and its time format; longest ring log message.
@@ -176,7 +177,6 @@ def log_lines_schema() -> T.StructType:
 
 def retain_last_lines(lines: DataFrame, max_lines: int = 50_000, max_archives: int = 3) -> DataFrame:
     """The newest lines that fit the current log and its archives, per host."""
-    from opsweave.operators.timeline import Timeline
     order = ["session", "line_no"] if "session" in lines.columns else ["line_no"]
-    return (Timeline(lines, ["host"], order, descending=True).index("_r").df
+    return (Timeline(lines, ["host"], order).index("_r", reverse=True).df
             .where(F.col("_r") <= max_lines * (1 + max_archives)).drop("_r"))

@@ -53,10 +53,11 @@ def container_events(containers: DataFrame) -> DataFrame:
 def parse_peer_status(raw_blobs: DataFrame) -> DataFrame:
     """One row per peer name with `up`; of several peers with one name the last counts."""
     keep = _others(raw_blobs, "body")
-    peers = (raw_blobs.select(*keep, F.map_values(F.from_json("body", PEER_STATUS)["Peer"]).alias("_peers"))
-             .select(*keep, F.posexplode("_peers").alias("_pos", "_peer")))
-    return (peers.groupBy(*keep, F.coalesce("_peer.HostName", F.lit("?")).alias("entity"))
-            .agg(F.max_by(F.coalesce("_peer.Online", F.lit(False)), F.col("_pos")).alias("up")))
+    named = F.transform(F.map_values(F.from_json("body", PEER_STATUS)["Peer"]), lambda p: F.struct(
+        F.coalesce(p["HostName"], F.lit("?")).alias("entity"), F.coalesce(p["Online"], F.lit(False)).alias("up")))
+    last = F.transform(F.array_distinct(F.transform("_peers", lambda p: p["entity"])),
+                       lambda name: F.element_at(F.filter("_peers", lambda p: p["entity"] == name), -1))
+    return (raw_blobs.select(*keep, named.alias("_peers")).select(*keep, F.inline(last)))
 
 
 def parse_gpu_csv(raw_lines: DataFrame) -> DataFrame:

@@ -198,7 +198,7 @@ def test_segmented_equals_whole(spark):
     def run():
         t = (Timeline(df, ["host"], ["ts", "id"]).index("n")
              .carry({"prev": F.col("id"), "crit": F.when(F.col("severity") == "critical", F.col("id"))}))
-        back = Timeline(df, ["host"], ["ts", "id"], descending=True).index("n").carry({"next": F.col("id")})
+        back = Timeline(df, ["host"], ["ts", "id"]).index("n", reverse=True).carry({"next": F.col("id")}, reverse=True)
         return [sorted(map(str, x.collect())) for x in (
             t.df, back.df, status.rolling_status(df), status.status_timeline(df),
             status.status_transitions(status.rolling_status(df)))]
