@@ -17,7 +17,7 @@ BROWSER_PREFIX = r"\[\p{Nd}+:\p{Nd}+:\p{Nd}+/\p{Nd}+\.\p{Nd}+:"
 PID = r"\[\p{Nd}+\]"
 UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 HEX = r"0x[0-9a-fA-F]+"
-LONG_NUMBER = rf"(?<!{_WORD})\p{{Nd}}{{4,}}(?!{_WORD})"
+LONG_NUMBER = rf"(?=\p{{Nd}})(?<!{_WORD})\p{{Nd}}{{4,}}+(?!{_WORD})"
 MESSAGE_RULES = (
     (BROWSER_PREFIX, "[*:"),
     (PID, "[*]"),
@@ -30,16 +30,19 @@ SUMMARY_RULES = (
     (HEX, ""),
     (LONG_NUMBER, ""),
 )
-BLANK = r"[\s\x1c-\x1f]"  # used under (?U)
+# Every character that counts as white space.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + (
+    "\u2028\u2029\u202f\u205f\u3000")
+BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def strip(text: Column) -> Column:
-    """Trim every kind of white space at both ends (SQL trim takes only blanks)."""
-    return F.regexp_replace(text, rf"(?U)^{BLANK}+|{BLANK}+$", "")
+    """Trim every kind of white space at both ends (SQL trim takes only blanks by itself)."""
+    return F.trim(text, F.lit(BLANKS))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U){BLANK}+$", "")
+    return F.rtrim(text, F.lit(BLANKS))
 
 
 def _apply(rules, text: Column) -> Column:
@@ -58,8 +61,8 @@ def fingerprint(source: Column, unit: Column, message: Column) -> Column:
 
 def normalize_summary(summary: Column) -> Column:
     """Lower-case words of a summary with numbers, punctuation and extra blanks gone."""
-    words = F.regexp_replace(_apply(SUMMARY_RULES, F.lower(summary)), rf"(?U)[^\p{{L}}\p{{N}}_\s\x1c-\x1f]", "")
-    return strip(F.regexp_replace(words, rf"(?U){BLANK}+", " "))
+    words = F.regexp_replace(_apply(SUMMARY_RULES, F.lower(summary)), rf"[^\p{{L}}\p{{N}}_{BLANK[1:-1]}]+", "")
+    return strip(F.regexp_replace(words, rf"{BLANK}+", " "))
 
 
 def summary_fingerprint(summary: Column) -> Column:

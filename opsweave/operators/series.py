@@ -9,7 +9,6 @@ from __future__ import annotations
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +16,7 @@ from opsweave.config import LevelParams, TrendParams
 from opsweave.functions.text import fixed
 from opsweave.operators.change import new_entities
 from opsweave.operators.throttle import MICROS, kept_rows
-from opsweave.operators.timeline import Timeline
+from opsweave.operators.timeline import Columns, Timeline, segments_needed
 
 SERIES = ["host", "metric"]
 
@@ -85,13 +84,10 @@ def _trend_step(params: TrendParams):
     a, b, width = params.alpha, 1 - params.alpha, params.window
     half = width // 2
 
-    def step(pdf: pd.DataFrame, state):
-        values, us = pdf["value"].tolist(), pdf["us"].to_numpy()
-        last, tail = state or (None, [])
-        if not values:
-            return pdf.assign(ema=[], slope=[]), state
-        start = values[0] if last is None else last
-        ema = list(accumulate(values, lambda y, x: a * x + b * y, initial=start))[1:]
+    def step(rows: Columns, state):
+        us = rows["us"]
+        last, tail = state or (float(rows["value"][0]), [])
+        ema = list(accumulate(rows["value"].tolist(), lambda y, x: a * x + b * y, initial=last))[1:]
         y = np.array([e for _, e in tail] + ema)
         t = np.concatenate([np.array([u for u, _ in tail], dtype=np.int64), us])
         slope = np.full(len(y), np.nan)
@@ -101,13 +97,13 @@ def _trend_step(params: TrendParams):
             hours = (t[width - 1:] - t[:len(t) - width + 1]) / 1e6 / 3600.0
             with np.errstate(divide="ignore", invalid="ignore"):
                 slope[width - 1:] = np.where(hours < 0.001, np.nan, rise / hours)
-        keep = list(zip(t.tolist(), y.tolist()))[-(width - 1):]
-        return pdf.assign(ema=ema, slope=slope[len(tail):]), [ema[-1], keep]
+        keep = list(zip(t[-(width - 1):].tolist(), y[-(width - 1):].tolist()))
+        return None, {"ema": np.array(ema), "slope": slope[len(tail):]}, [ema[-1], keep]
 
     return step
 
 
-def trend(samples: DataFrame, params: TrendParams = TrendParams()) -> DataFrame:
+def trend(samples: DataFrame, params: TrendParams = TrendParams(), segments: int | None = None) -> DataFrame:
     """Each sample with its running average `ema` and `slope` per hour.
 
     The slope is the mean of the later half of the last `window` averages minus that of
@@ -117,7 +113,7 @@ def trend(samples: DataFrame, params: TrendParams = TrendParams()) -> DataFrame:
     """
     narrow = samples.where(F.col("value").isNotNull()).select(
         *SERIES, F.unix_micros("ts").alias("us"), F.col("value").cast("double").alias("value"))
-    out = Timeline(narrow, SERIES, ["us", "value"]).fold(
+    out = Timeline(narrow, SERIES, ["us", "value"], segments).fold(
         _trend_step(params), "host string, metric string, us long, value double, ema double, slope double")
     return out.select(*SERIES, F.timestamp_micros("us").alias("ts"), "value", "ema",
                       F.when(~F.isnan("slope"), F.col("slope")).alias("slope"))
@@ -142,13 +138,14 @@ def trend_alerts(samples: DataFrame, params: TrendParams = TrendParams(),
     never alert.
     """
     default = None if configured is not None else slope_limit(F.col("metric"))
-    rated = with_thresholds(trend(samples, params).where(F.col("slope").isNotNull()),
+    segments = segments_needed(samples, SERIES)
+    rated = with_thresholds(trend(samples, params, segments).where(F.col("slope").isNotNull()),
                             configured, explicit, default)
     over = (rated.where(F.abs("slope") >= F.col("threshold"))
             .select(*SERIES, "ts", "value", "ema", "slope", "threshold"))
     if params.cooldown > 0:
         over = kept_rows(over, SERIES, params.cooldown, tie="value",
-                         payload=("ema", "slope", "threshold"), like=samples).drop("repeats")
+                         payload=("ema", "slope", "threshold"), segments=segments).drop("repeats")
     return over.withColumn("direction", F.when(F.col("slope") > 0, "rising").otherwise("falling"))
 
 

@@ -10,12 +10,11 @@ from __future__ import annotations
 from collections import deque
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsweave.config import DedupParams
-from opsweave.operators.timeline import Timeline
+from opsweave.operators.timeline import Columns, Timeline
 
 MICROS = 1_000_000
 
@@ -38,30 +37,27 @@ def _types(df: DataFrame, columns: list[str]) -> str:
 
 
 def kept_rows(df: DataFrame, keys: list[str], gap: float, ts: str = "ts", tie: str = "id",
-              payload: tuple[str, ...] = (), like: DataFrame | None = None) -> DataFrame:
+              payload: tuple[str, ...] = (), segments: int | None = None) -> DataFrame:
     """keys, ts, tie, payload and `repeats` of the rows a cooldown of `gap` seconds keeps.
 
     `repeats` counts the key's rows since the row kept before, that row included; 0 for the first.
-    `like`: see Timeline.
+    `segments`: see Timeline.
     """
     width = round(gap * MICROS)
     narrow = df.select(*keys, F.unix_micros(ts).alias("us"), tie, *payload)
 
-    def step(pdf: pd.DataFrame, state):
+    def step(rows: Columns, state):
+        us = rows["us"]
         last, since = state or (None, 0)
-        us = pdf["us"].to_numpy()
         kept = greedy_kept(us, width, last)
-        repeats = np.diff(kept, prepend=-since if last is not None else 0)
-        if last is None and len(kept):
-            repeats[0] = 0
+        repeats = np.diff(kept, prepend=0 if last is None else -since)
         if len(kept):
             last, since = int(us[kept[-1]]), int(len(us) - kept[-1])
         else:
             since += len(us)
-        out = pdf.iloc[kept].assign(repeats=repeats.astype(np.int64))
-        return out, [last, since]
+        return kept, {"repeats": repeats}, [last, since]
 
-    kept = Timeline(narrow, keys, ["us", tie], like).fold(step, f"{_types(narrow, narrow.columns)}, repeats long")
+    kept = Timeline(narrow, keys, ["us", tie], segments).fold(step, f"{_types(narrow, narrow.columns)}, repeats long")
     return kept.select(*keys, F.timestamp_micros("us").alias(ts), tie, *payload, "repeats")
 
 
@@ -106,9 +102,9 @@ def rate_limited_step(params: DedupParams):
     prune_gap = round(2 * params.baseline * MICROS)
     limit, reach = params.max_per_period, max(period, cooldown)
 
-    def step(pdf: pd.DataFrame, state):
+    def step(rows: Columns, state):
+        us, fps = rows["us"], rows["fingerprint"]
         emitted, pruned = state or ([], None)
-        us, fps = pdf["us"].to_numpy(), pdf["fingerprint"].tolist()
         recent = deque(t for t, _ in emitted)
         last_of = {fp: t for t, fp in emitted}
         log = [tuple(e) for e in emitted]
@@ -132,11 +128,9 @@ def rate_limited_step(params: DedupParams):
         prunes = us[greedy_kept(us, prune_gap, pruned)]
         if pruned is not None:
             prunes = np.insert(prunes, 0, pruned)
-        clock = prunes[np.searchsorted(prunes, us, "right") - 1] if len(us) else us
-        out = pdf.assign(passed=passed, prune_us=clock)
-        end = int(us[-1]) if len(us) else 0
-        live = [[t, fp] for t, fp in log if t >= end - reach]
-        return out, [live, int(prunes[-1]) if len(prunes) else pruned]
+        clock = prunes[np.searchsorted(prunes, us, "right") - 1]
+        live = [[t, fp] for t, fp in log if t >= int(us[-1]) - reach]
+        return None, {"passed": passed, "prune_us": clock}, [live, int(prunes[-1])]
 
     return step
 
@@ -150,11 +144,11 @@ def dedup_rate_limited(df: DataFrame, params: DedupParams = DedupParams()) -> Da
     twice the baseline when the prune clock ticks is forgotten, and counts as first again.
     """
     narrow = df.select("host", "source", F.unix_micros("ts").alias("us"), "id", "fingerprint")
-    decided = Timeline(narrow, ["host", "source"], ["us", "id"]).fold(
-        rate_limited_step(params),
-        f"{_types(narrow, narrow.columns)}, passed boolean, prune_us long")
+    sources = Timeline(narrow, ["host", "source"], ["us", "id"])
+    decided = sources.fold(rate_limited_step(params),
+                           f"{_types(narrow, narrow.columns)}, passed boolean, prune_us long")
     gap = round(2 * params.baseline * MICROS)
-    rows = Timeline(decided, FP, ["us", "id"], like=narrow).carry({"_prev": F.col("us")}).index("_pos")
+    rows = Timeline(decided, FP, ["us", "id"], sources.segments).carry({"_prev": F.col("us")}).index("_pos")
     rows = rows.with_columns({"_first": F.col("_prev").isNull() | (F.col("_prev") < F.col("prune_us") - gap)})
     rows = rows.carry({"_anchor": F.when(F.col("passed") | F.col("_first"), F.col("_pos"))})
     counts = rows.df.where("passed").select(

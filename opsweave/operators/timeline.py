@@ -18,9 +18,10 @@ import math
 import tempfile
 import uuid
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -73,15 +74,15 @@ class Timeline:
     """A table viewed as ordered rows per key.
 
     `order` must order the rows of a key totally. Methods return a new Timeline on the
-    same segments; `df` is the table with the columns added so far. Give `like`, a table
-    with at least as many rows of every key, where counting `df` itself would run costly
-    work twice.
+    same segments; `df` is the table with the columns added so far. Give `segments`, found by
+    `segments_needed` on a table whose keys are at least as large, where counting `df`
+    itself would run costly work twice.
     """
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list[str], like: DataFrame | None = None):
+    def __init__(self, df: DataFrame, keys: list[str], order: list[str], segments: int | None = None):
         self.keys, self.order = keys, order
-        n = segments_needed(df if like is None else like, keys)
-        self._table = write_segments(df, keys, order, n) if n else df
+        self.segments = segments_needed(df, keys) if segments is None else segments
+        self._table = write_segments(df, keys, order, self.segments) if self.segments else df
 
     @property
     def df(self) -> DataFrame:
@@ -93,7 +94,7 @@ class Timeline:
 
     def _with(self, table: DataFrame) -> Timeline:
         new = object.__new__(Timeline)
-        new.keys, new.order, new._table = self.keys, self.order, table
+        new.keys, new.order, new.segments, new._table = self.keys, self.order, self.segments, table
         return new
 
     def with_columns(self, columns: dict[str, Column]) -> Timeline:
@@ -154,75 +155,84 @@ class Timeline:
         return fold_rows(self, step, schema)
 
 
-# A step takes the ordered rows of one run of one key and the state left by the run
-# before (None at the start of the key); it returns output rows and the new state.
-# States are JSON values of bounded size.
-Step = Callable[[pd.DataFrame, Any], tuple[pd.DataFrame, Any]]
+# A step takes the columns of consecutive rows of one key and the state left by the rows
+# before (None at the start of the key). It returns the positions of the rows to put out
+# (None for all), new columns for them, and the new state. States are JSON values of
+# bounded size.
+Columns = dict[str, np.ndarray]
+Step = Callable[[Columns, Any], "tuple[np.ndarray | None, Columns, Any]"]
 
 
 def _plain(key: tuple) -> tuple:
     return tuple(None if k is None or k != k else str(k) for k in key)
 
 
+def _runs(pdf: pd.DataFrame, by: list[str]) -> list[tuple[int, int]]:
+    """Start and end of each run of rows with equal keys."""
+    new = np.zeros(len(pdf), dtype=bool)
+    for k in by:
+        before = pdf[k].shift()
+        new |= (pdf[k].ne(before) & ~(pdf[k].isna() & before.isna())).to_numpy()
+    new[0] = True
+    starts = np.flatnonzero(new).tolist()
+    return list(zip(starts, [*starts[1:], len(pdf)]))
+
+
 def fold_rows(timeline: Timeline, step: Step, schema: str) -> DataFrame:
-    """Apply a step that depends on its own earlier output, as one grouped map per key.
+    """Apply a step that depends on its own earlier output.
 
+    Rows are shuffled by key, sorted by Spark and streamed through in Arrow batches, many
+    keys to a batch; the state passes from batch to batch, so a key need not fit in memory.
     On a segmented table every segment first runs as if nothing came before it; then
     segments whose true entry state differs from the one they ran with run again, until
     all agree. Only entry and exit states, one per segment, pass through the driver.
     """
-    table, keys, order = timeline._table, timeline.keys, timeline.order
-
-    def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.sort_values(order, kind="stable", ignore_index=True)
-
-    if not timeline.segmented:
-        return table.groupBy(*keys).applyInPandas(
-            lambda pdf: step(in_order(pdf), None)[0], schema)
-
-    entry = _settle(table, keys, in_order, step)
-
-    def final(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        state = entry.get(_plain(key))
-        return step(in_order(pdf.drop(columns=SEG)), None if state is None else json.loads(state))[0]
-
-    return table.groupBy(*keys, SEG).applyInPandas(final, schema)
-
-
-def _settle(table: DataFrame, keys: list[str], in_order, step: Step) -> dict[tuple, str]:
+    keys = [*timeline.keys, SEG] if timeline.segmented else timeline.keys
+    entry = _settle(timeline, keys, step) if timeline.segmented else {}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = state = None
+        for pdf in frames:
+            if pdf.empty:
+                continue
+            columns = {c: pdf[c].to_numpy() for c in pdf.columns}
+            taken, added = [], defaultdict(list)
+            for a, b in _runs(pdf, keys):
+                key = _plain(tuple(columns[k][a] for k in keys))
+                if key != held:
+                    held, state = key, json.loads(entry[key]) if key in entry else None
+                keep, new, state = step({c: v[a:b] for c, v in columns.items()}, state)
+                taken.append(np.arange(a, b) if keep is None else keep + a)
+                for name, v in new.items():
+                    added[name].append(v)
+            out = pdf.take(np.concatenate(taken)).drop(columns=SEG, errors="ignore")
+            yield out.assign(**{name: np.concatenate(v) for name, v in added.items()})
+
+    return _sorted(timeline._table, keys, timeline.order).mapInPandas(run, schema)
+
+
+def _sorted(table: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    return table.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+
+def _settle(timeline: Timeline, keys: list[str], step: Step) -> dict[tuple, str]:
     """Entry state of every segment that continues a key."""
-    runs = table.select(*keys, SEG).distinct()
-    split = (runs.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    table = timeline._table
+    runs = table.select(*keys).distinct()
+    split = (runs.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*timeline.keys)))
              .where("n > 1").drop("n").collect())  # at most two rows per segment border
     chains: dict[tuple, list[int]] = defaultdict(list)
     for row in split:
-        chains[_plain(tuple(row[k] for k in keys))].append(row[SEG])
+        chains[_plain(tuple(row[k] for k in timeline.keys))].append(row[SEG])
     for segs in chains.values():
         segs.sort()
 
-    entry: dict[tuple, str | None] = {}
+    entry: dict[tuple, str] = {}
     exits: dict[tuple, str] = {}
     pending = {(*key, str(s)) for key, segs in chains.items() for s in segs[:-1]}
-    key_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema if f.name in keys)
     rounds = 0
     while pending:
-        now, states = frozenset(pending), dict(entry)
-
-        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            name = _plain(key)
-            left = None
-            if name in now:
-                state = states.get(name)
-                left = json.dumps(step(in_order(pdf.drop(columns=SEG)),
-                                       None if state is None else json.loads(state))[1])
-            return pd.DataFrame([[*key, left]], columns=[*keys, SEG, "state"])
-
-        segs = sorted({int(name[-1]) for name in now})
-        done = (table.where(F.col(SEG).isin(segs)).groupBy(*keys, SEG)
-                .applyInPandas(run, f"{key_types}, {SEG} int, state string")
-                .where("state is not null").collect())
-        for row in done:
-            exits[_plain((*[row[k] for k in keys], row[SEG]))] = row["state"]
+        exits.update(_exit_states(table, keys, timeline.order, step, frozenset(pending), dict(entry)))
         pending = set()
         for key, chain in chains.items():
             for a, b in zip(chain, chain[1:]):
@@ -234,4 +244,27 @@ def _settle(table: DataFrame, keys: list[str], in_order, step: Step) -> dict[tup
                     if rounds >= 3:
                         break  # states do not converge by themselves: go on in order
         rounds += 1
-    return {k: v for k, v in entry.items() if v is not None}
+    return entry
+
+
+def _exit_states(table: DataFrame, keys: list[str], order: list[str], step: Step, wanted: frozenset,
+                 entry: dict[tuple, str]) -> dict[tuple, str]:
+    """The state each wanted (key, segment) leaves when it starts from its entry state."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = state = None
+        left: dict[tuple, str] = {}
+        for pdf in frames:
+            columns = {c: pdf[c].to_numpy() for c in pdf.columns}
+            for a, b in _runs(pdf, keys) if len(pdf) else []:
+                key = _plain(tuple(columns[k][a] for k in keys))
+                if key not in wanted:
+                    continue
+                if key != held:
+                    held, state = key, json.loads(entry[key]) if key in entry else None
+                state = step({c: v[a:b] for c, v in columns.items()}, state)[2]
+                left[key] = json.dumps(state)
+        yield pd.DataFrame({"key": [json.dumps(k) for k in left], "state": list(left.values())}, dtype=object)
+
+    segs = sorted({int(key[-1]) for key in wanted})
+    rows = _sorted(table.where(F.col(SEG).isin(segs)), keys, order).mapInPandas(run, "key string, state string")
+    return {tuple(json.loads(r["key"])): r["state"] for r in rows.collect()}

@@ -23,6 +23,11 @@ SMART = {
     "media_errors": (r"Media and Data Integrity Errors:\s+(\d+)", 0),
 }
 DEVICE_COUNTER = r"\[(/dev/\S+)\]\.(\w+)\s+(\d+)"
+WORD_START = r"(?:^|\s)"
+# Text before the first all-digit word, that word, and the text after it.
+DUMP = r"(?s)^\s*((?:(?!\p{Nd}+(?:\s|$))\S+\s+)*+)(\p{Nd}+)(?=\s|$)(.*)$"
+# A signal that comes before any path, and the text after it.
+SIGNAL_FIRST = r"(?s)^(?:\s+(?!SIG)[^\s/]+)*+\s+(SIG\S*)(.*)$"
 AUDIT = r"^(\S+) is affected by (.+)\. (\w+) risk!$"
 
 
@@ -104,19 +109,19 @@ def parse_btrfs_stats(raw_blobs: DataFrame) -> DataFrame:
 
 def parse_coredumps(raw_lines: DataFrame) -> DataFrame:
     """Process id, signal and executable, read left to right; reading stops at the executable."""
-    words = F.transform(F.split(strip(F.col("line")), r"\s+"),
-                        lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    first = lambda keep: F.get(F.filter("_w", keep), F.lit(0))
-    pid, sig, exe = F.col("_pid"), F.col("_sig"), F.col("_exe")
-    return (raw_lines.withColumn("_w", words)
-            .withColumns({"_pid": first(lambda w: w["x"].rlike(r"^\p{Nd}+$")),
-                          "_sig": first(lambda w: w["x"].startswith("SIG"))})
-            .where(F.col("_pid").isNotNull() & F.col("_sig").isNotNull())
-            .withColumn("_exe", first(lambda w: (w["i"] > pid["i"]) & (w["i"] != sig["i"])
-                                      & w["x"].contains("/")))
-            .where(exe.isNull() | (sig["i"] < exe["i"]))
-            .select(*_others(raw_lines, "line"), pid["x"].alias("pid"), sig["x"].alias("signal"),
-                    exe["x"].alias("exe"), F.concat(pid["x"], F.lit("_"), sig["x"]).alias("dump_key")))
+    part = lambda g: F.regexp_extract("line", DUMP, g)
+    early, rest = _found(F.col("_before"), rf"{WORD_START}(SIG\S*)", 1), F.col("_rest")
+    late = lambda g: F.regexp_extract(rest, SIGNAL_FIRST, g)
+    parts = (raw_lines.select(*_others(raw_lines, "line"), part(1).alias("_before"), part(2).alias("pid"),
+                              part(3).alias("_rest"))
+             .where(F.col("pid") != "")
+             .select(*_others(raw_lines, "line"), "pid",
+                     F.coalesce(early, F.nullif(late(1), F.lit(""))).alias("signal"),
+                     F.when(early.isNotNull(), rest).otherwise(late(2)).alias("_rest"))
+             .where(F.col("signal").isNotNull()))
+    return parts.select(*_others(raw_lines, "line"), "pid", "signal",
+                        _found(rest, rf"{WORD_START}(\S*/\S*)", 1).alias("exe"),
+                        F.concat("pid", F.lit("_"), "signal").alias("dump_key"))
 
 
 def coredump_events(dumps: DataFrame) -> DataFrame:

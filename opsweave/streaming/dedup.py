@@ -85,7 +85,8 @@ class _RateLimited(StatefulProcessor):
         pdf = _in_order(rows, ["us", "id"])
         state = json.loads(self.carry.get()[0]) if self.carry.exists() else None
         pruned = state[1] if state else None
-        out, state = self.step(pdf, state)
+        _, added, state = self.step({c: pdf[c].to_numpy() for c in ("us", "fingerprint")}, state)
+        out = pdf.assign(**added)
         self.carry.update((json.dumps(state),))
         local: dict[str, tuple[int, int] | None] = {}
         counts = []
@@ -152,7 +153,8 @@ class _Trend(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _in_order(rows, ["us", "value"])
         series, last = json.loads(self.carry.get()[0]) if self.carry.exists() else (None, None)
-        out, series = self.step(pdf, series)
+        _, added, series = self.step({c: pdf[c].to_numpy() for c in ("us", "value")}, series)
+        out = pdf.assign(**added)
         over = out[out["slope"].abs() >= self.threshold]
         kept = greedy_kept(over["us"].to_numpy(), self.cooldown, last)
         alerts = over.iloc[kept]
