@@ -82,7 +82,7 @@ def count_by_type(spark, folder):
 @query(f"WITH {EV} SELECT type, count(*) AS n, min(us) AS first_us FROM ev GROUP BY type ORDER BY n DESC, first_us")
 def type_counts_ranked(spark, folder):
     return ev.type_counts_ranked(system_events(spark, folder)).select(
-        "type", "n", F.unix_micros("first.ts").alias("first_us"))
+        "type", "n", F.unix_micros("first_ts").alias("first_us"))
 
 
 @query(f"WITH {EV} SELECT severity, count(*) AS n FROM ev GROUP BY severity")

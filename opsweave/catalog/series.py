@@ -71,7 +71,7 @@ def trend_alerts(spark, folder):
         "host", "metric", us(), F.round("slope", 6).alias("slope"), "direction")
 
 
-_RAM = SAMPLES + ", ram AS (SELECT host, metric, us, least(value, 99.0) AS value FROM samples WHERE least(value, 99.0) > 20)"
+_RAM = SAMPLES + ", ram AS (SELECT host, metric, us, least(value, 99.99) AS value FROM samples WHERE least(value, 99.99) > 20)"
 
 
 @query(f"WITH {_RAM}, {_alerts('ram', '0.01')} SELECT host, metric, us AS ts_us, "
@@ -79,7 +79,7 @@ _RAM = SAMPLES + ", ram AS (SELECT host, metric, us, least(value, 99.0) AS value
        "CASE WHEN (100.0 - value) / slope * 60 < 15 THEN 'critical' ELSE 'warning' END AS severity FROM alerts "
        "WHERE slope > 0 AND (100.0 - value) / slope * 60 < 60")
 def ram_projection(spark, folder):
-    s = metric_samples(spark, folder).withColumn("value", F.least("value", F.lit(99.0)))
+    s = metric_samples(spark, folder).withColumn("value", F.least("value", F.lit(99.99)))
     return series.ram_projection(s, TREND, above=20.0, slope=0.01).select(
         "host", "metric", us(), F.round("minutes", 4).alias("minutes"), "severity")
 
@@ -87,7 +87,7 @@ def ram_projection(spark, folder):
 @query(f"WITH {_RAM}, {_alerts('ram', '0.01')} SELECT host, metric, us AS ts_us, "
        "round((100.0 - value) / slope, 4) AS hours FROM alerts WHERE slope > 0 AND (100.0 - value) / slope < 720")
 def disk_projection(spark, folder):
-    s = metric_samples(spark, folder).withColumn("value", F.least("value", F.lit(99.0))).where("value > 20")
+    s = metric_samples(spark, folder).withColumn("value", F.least("value", F.lit(99.99))).where("value > 20")
     return series.disk_projection(s, TREND, slope=0.01, within_hours=720).select(
         "host", "metric", us(), F.round("hours", 4).alias("hours"))
 

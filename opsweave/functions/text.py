@@ -33,7 +33,10 @@ SUMMARY_RULES = (
 # Every character that counts as white space.
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + (
     "\u2028\u2029\u202f\u205f\u3000")
-BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_BLANK = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # all but the plain one
+PUNCTUATION = r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f]+"
+# Runs of white space other than a single plain blank, which needs no replacing.
+BLANK_RUN = rf" [ {_BLANK}]+|[{_BLANK}][ {_BLANK}]*"
 
 
 def strip(text: Column) -> Column:
@@ -61,8 +64,8 @@ def fingerprint(source: Column, unit: Column, message: Column) -> Column:
 
 def normalize_summary(summary: Column) -> Column:
     """Lower-case words of a summary with numbers, punctuation and extra blanks gone."""
-    words = F.regexp_replace(_apply(SUMMARY_RULES, F.lower(summary)), rf"[^\p{{L}}\p{{N}}_{BLANK[1:-1]}]+", "")
-    return strip(F.regexp_replace(words, rf"{BLANK}+", " "))
+    words = F.regexp_replace(_apply(SUMMARY_RULES, F.lower(summary)), PUNCTUATION, "")
+    return strip(F.regexp_replace(words, BLANK_RUN, " "))
 
 
 def summary_fingerprint(summary: Column) -> Column:

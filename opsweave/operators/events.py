@@ -80,11 +80,15 @@ def count_by_type(df: DataFrame, since: Instant) -> DataFrame:
 
 
 def type_counts_ranked(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Counts by type, largest first; equal counts in order of first occurrence."""
+    """Counts by type, largest first; equal counts in order of first occurrence.
+
+    Time and id are taken as two plain minima, which aggregate by hashing; a minimum over a
+    struct would sort every task's rows first.
+    """
     keys = keys or []
     return (df.groupBy(*keys, "type")
-            .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ts", "id")).alias("first"))
-            .orderBy(*keys, F.desc("n"), "first"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.min("id").alias("first_id"))
+            .orderBy(*keys, F.desc("n"), "first_ts", "first_id"))
 
 
 def severity_counts(df: DataFrame, keys: list[str] | None = None) -> DataFrame:

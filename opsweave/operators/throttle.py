@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsweave.config import DedupParams
-from opsweave.operators.timeline import Columns, Timeline
+from opsweave.operators.timeline import Columns, Timeline, segments_needed
 
 MICROS = 1_000_000
 
@@ -68,22 +68,29 @@ def throttle(df: DataFrame, keys: list[str], gap: float, ts: str = "ts", tie: st
 
 
 FP = ["host", "source", "fingerprint"]
+ROW = ["host", "source", "id"]  # names a row, so that decisions can be joined back
+
+
+def _segments(df: DataFrame) -> int:
+    """Segments for the fingerprints of a table; fingerprints are only counted, which means
+    computed, when a whole source is large enough to hold a large one."""
+    return segments_needed(df, ["host", "source"]) and segments_needed(df, FP)
 
 
 def dedup_by_fingerprint(df: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
     """Rows to emit, one fingerprint at a time, with `suppressed_count`.
 
-    df: host, source, fingerprint, ts, id and any payload. A repeat passes once the
-    cooldown since the last emission is over.
+    df: host, source, fingerprint, ts, id (unique per host and source) and any payload. A
+    repeat passes once the cooldown since the last emission is over.
     """
-    kept = kept_rows(df, FP, params.cooldown)
-    return df.join(kept.withColumnRenamed("repeats", "suppressed_count"), [*FP, "ts", "id"])
+    kept = kept_rows(df, FP, params.cooldown, segments=_segments(df)).select(*ROW, F.col("repeats").alias("suppressed_count"))
+    return df.join(kept, ROW)
 
 
 def dedup_decisions(df: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
     """Every row with its action (emit or suppress) and suppressed count."""
-    kept = kept_rows(df, FP, params.cooldown)
-    return _actions(df.join(kept.withColumnRenamed("repeats", "_n"), [*FP, "ts", "id"], "left"))
+    kept = kept_rows(df, FP, params.cooldown, segments=_segments(df)).select(*ROW, F.col("repeats").alias("_n"))
+    return _actions(df.join(kept, ROW, "left"))
 
 
 def _actions(df: DataFrame) -> DataFrame:
@@ -152,9 +159,8 @@ def dedup_rate_limited(df: DataFrame, params: DedupParams = DedupParams()) -> Da
     rows = rows.with_columns({"_first": F.col("_prev").isNull() | (F.col("_prev") < F.col("prune_us") - gap)})
     rows = rows.carry({"_anchor": F.when(F.col("passed") | F.col("_first"), F.col("_pos"))})
     counts = rows.df.where("passed").select(
-        "host", "source", "fingerprint", "id",
-        F.when(F.col("_first"), 0).otherwise(F.col("_pos") - F.col("_anchor")).alias("_n"))
-    return _actions(df.join(counts, [*FP, "id"], "left"))
+        *ROW, F.when(F.col("_first"), 0).otherwise(F.col("_pos") - F.col("_anchor")).alias("_n"))
+    return _actions(df.join(counts, ROW, "left"))
 
 
 def dedup_stats(decisions: DataFrame, width: str = "1 hour") -> DataFrame:

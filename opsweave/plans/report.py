@@ -48,11 +48,11 @@ def briefing_facts(events: DataFrame) -> DataFrame:
     """Per host: total, type lines, severity lines, notable lines, critical lines."""
     line = F.concat(F.lit("  "), F.col("type"), F.lit(": "), F.col("n").cast("string"))
     per_type = events.groupBy("host", "type").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("ts", "id")).alias("first"),
+        F.count(F.lit(1)).alias("n"), F.min("ts").alias("ts"), F.min("id").alias("id"),
         *[F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "warning", "info")])
     facts = per_type.groupBy("host").agg(
         F.sum("n").alias("total"),
-        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "first", line.alias("line")))).alias("t"),
+        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "ts", "id", line.alias("line")))).alias("t"),
         *[F.sum(s).alias(s) for s in ("critical", "warning", "info")])
     severities = F.filter(F.array(*[
         F.when(F.col(s) > 0, F.concat(F.lit(f"  {s}: "), F.col(s).cast("string")))

@@ -69,6 +69,7 @@ JOURNAL_JSON = T.StructType([
     T.StructField("_SYSTEMD_USER_UNIT", T.StringType()),
     T.StructField("SYSLOG_IDENTIFIER", T.StringType()),
     T.StructField("__REALTIME_TIMESTAMP", T.StringType()),
+    T.StructField("__CURSOR", T.StringType()),
 ])
 
 PEER_STATUS = T.StructType([

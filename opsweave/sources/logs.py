@@ -22,14 +22,15 @@ LINE_LIMIT = 2000
 
 
 def journal_entries(raw: DataFrame) -> DataFrame:
-    """Journal fields (see JOURNAL_JSON) to host, ts, unit, priority, message and identity columns.
+    """Journal fields (see JOURNAL_JSON) to id, host, ts, unit, priority, message and identity columns.
 
-    Entries without a time get `captured_at`.
+    Entries without a time get `captured_at`; without an id, a hash of the journal's cursor,
+    which names an entry uniquely.
     """
-    passed = [c for c in ("id",) if c in raw.columns]
+    named = F.xxhash64("host", "__CURSOR", "__REALTIME_TIMESTAMP", "_SYSTEMD_UNIT", "MESSAGE")
     unit = F.nullif(F.col("_SYSTEMD_UNIT"), F.lit(""))
     return raw.select(
-        "host", *passed,
+        "host", F.col("id") if "id" in raw.columns else named.alias("id"),
         F.coalesce(F.timestamp_micros(F.col("__REALTIME_TIMESTAMP").try_cast("bigint")),
                    F.col("captured_at")).alias("ts"),
         default_unit(unit, F.col("_TRANSPORT")).alias("unit"),

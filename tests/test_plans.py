@@ -177,6 +177,20 @@ def test_route(spark, tmp_path):
     assert seen == {"all": 3, "snap": 1}
 
 
+def test_hooks(spark):
+    calls = spark.sparkContext.accumulator(0)
+    feeds.on_event(lambda row: calls.add(1))(events(spark, (0,), (0,)), 0)
+    assert calls.value == 2
+    past = events(spark, (0.5, "disk_alert", "critical"), (0, "snapshot", "warning"), (0, "snapshot", "critical"))
+    fresh = past.where("id > 0")
+    moves = feeds.status_changes(fresh, lambda: past.where("id = 0"))
+    assert sorted((r["id"], r["old"], r["new"]) for r in moves.collect()) == [
+        (1, "healthy", "degraded"), (2, "degraded", "critical")]
+    changed = spark.sparkContext.accumulator(0)
+    feeds.on_status_change(lambda host, old, new: changed.add(1), lambda: past)(fresh, 0)
+    assert changed.value == 2
+
+
 def stream_of(spark, df, folder, parts=3):
     """The rows as files in time order, read one per micro-batch."""
     rows = df.orderBy("ts", df.columns[0]).collect()
