@@ -4,8 +4,9 @@ from pyspark.sql import SparkSession
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = (SparkSession.builder.master("local[8]").appName("opsweave-tests")
-               .config("spark.sql.shuffle.partitions", "4")
+    session = (SparkSession.builder.master("local[4]").appName("opsweave-tests")
+               .config("spark.sql.shuffle.partitions", "2")
+               .config("spark.default.parallelism", "2")
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.ui.enabled", "false")
                .config("spark.driver.memory", "8g")
