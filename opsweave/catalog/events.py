@@ -120,7 +120,7 @@ def retention_deleted(spark, folder):
     return ev.retention_deleted(system_events(spark, folder), AS_OF, KEEP)
 
 
-@query(f"WITH {EV} SELECT CAST(ts AS DATE) AS event_date, count(*) AS n, sum(id) AS ids FROM ev "
+@query(f"WITH {EV} SELECT CAST(ts AS DATE) AS event_date, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM ev "
        f"WHERE NOT ({_EXPIRED}) GROUP BY 1")
 def apply_retention(spark, folder):
     """Store the events, delete the expired ones in place, read back what is left."""
@@ -130,7 +130,7 @@ def apply_retention(spark, folder):
     return scan_events(spark, path).groupBy("event_date").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
-@query(f"WITH {EV} SELECT CAST(ts AS DATE) AS event_date, host, count(*) AS n, sum(id) AS ids, "
+@query(f"WITH {EV} SELECT CAST(ts AS DATE) AS event_date, host, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids, "
        "count(summary) AS summaries FROM ev GROUP BY 1, 2")
 def append_events(spark, folder):
     path = new_path(spark, "events")

@@ -57,8 +57,8 @@ def trend_stream(spark, folder):
         "host", "metric", us(), F.round("slope", 6).alias("slope"), "direction")
 
 
-@query(f"WITH {EV} SELECT type, host, count(*) AS n, sum(id) AS ids FROM ev GROUP BY ALL UNION ALL "
-       "SELECT 'service_fail only', host, count(*), sum(id) FROM ev WHERE type = 'service_fail' GROUP BY ALL")
+@query(f"WITH {EV} SELECT type, host, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM ev GROUP BY ALL UNION ALL "
+       "SELECT 'service_fail only', host, count(*), CAST(sum(id) AS BIGINT) FROM ev WHERE type = 'service_fail' GROUP BY ALL")
 def route_events(spark, folder):
     """All events to one table, service failures to a second one as well."""
     every, fails = new_path(spark, "events"), new_path(spark, "fails")

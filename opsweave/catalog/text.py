@@ -54,7 +54,7 @@ _MSG = """msg AS (SELECT doc_id, source, lang, concat('[66:212:0328/063400.', do
 @query(f"WITH {_MSG} SELECT doc_id, n, length(n) AS n_chars FROM (SELECT doc_id, {_normalized('message')} AS n FROM msg)")
 def normalize_message(spark, folder):
     n = text.normalize_message(F.col("message"))
-    return _messages(spark, folder).select("doc_id", n.alias("n")).withColumn("n_chars", F.length("n"))
+    return _messages(spark, folder).select("doc_id", n.alias("n")).withColumn("n_chars", F.length("n").cast("long"))
 
 
 @query(f"WITH {_MSG} SELECT doc_id, sha256(concat(source, ':', lang, ':', {_normalized('message')}))[1:16] AS fp FROM msg")

@@ -77,13 +77,15 @@ def _segments(df: DataFrame) -> int:
     return segments_needed(df, ["host", "source"]) and segments_needed(df, FP)
 
 
-def dedup_by_fingerprint(df: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
+def dedup_by_fingerprint(df: DataFrame, params: DedupParams = DedupParams(),
+                         segments: int | None = None) -> DataFrame:
     """Rows to emit, one fingerprint at a time, with `suppressed_count`.
 
     df: host, source, fingerprint, ts, id (unique per host and source) and any payload. A
-    repeat passes once the cooldown since the last emission is over.
+    repeat passes once the cooldown since the last emission is over. `segments`: see Timeline.
     """
-    kept = kept_rows(df, FP, params.cooldown, segments=_segments(df)).select(*ROW, F.col("repeats").alias("suppressed_count"))
+    segments = _segments(df) if segments is None else segments
+    kept = kept_rows(df, FP, params.cooldown, segments=segments).select(*ROW, F.col("repeats").alias("suppressed_count"))
     return df.join(kept, ROW)
 
 
@@ -142,16 +144,18 @@ def rate_limited_step(params: DedupParams):
     return step
 
 
-def dedup_rate_limited(df: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
+def dedup_rate_limited(df: DataFrame, params: DedupParams = DedupParams(),
+                       segments: int | None = None) -> DataFrame:
     """Every row with its action under cooldown, rate limit and state pruning.
 
     The rate limit couples all fingerprints of a source, so decisions fold over
     (host, source). Counts of suppressed rows need no fold: they are differences of
     positions within the fingerprint, which is keyed finer. A fingerprint unseen for
     twice the baseline when the prune clock ticks is forgotten, and counts as first again.
+    `segments`: see Timeline.
     """
     narrow = df.select("host", "source", F.unix_micros("ts").alias("us"), "id", "fingerprint")
-    sources = Timeline(narrow, ["host", "source"], ["us", "id"])
+    sources = Timeline(narrow, ["host", "source"], ["us", "id"], segments)
     decided = sources.fold(rate_limited_step(params),
                            f"{_types(narrow, narrow.columns)}, passed boolean, prune_us long")
     gap = round(2 * params.baseline * MICROS)

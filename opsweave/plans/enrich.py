@@ -63,7 +63,10 @@ def rule_analyzer(prompt: str, system: str = "", temperature: float = 0.0) -> st
 
 def analyze(prompts: DataFrame, generate: Generate = rule_analyzer, system: str = SYSTEM_PROMPT,
             temperature: float = 0.0) -> DataFrame:
-    """Adds `response`, one analyzer call per prompt; null where the analyzer fails or has none."""
+    """Adds `response`, one analyzer call per prompt; null where the analyzer fails or has none.
+
+    Every use of the result calls the analyzer again: write it to a table to use it twice.
+    """
     def call(prompt: str) -> str | None:
         try:
             return generate(prompt, system, temperature)

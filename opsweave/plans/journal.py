@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from opsweave.config import DedupParams
 from opsweave.functions.text import fingerprint
 from opsweave.operators.throttle import dedup_by_fingerprint, dedup_rate_limited
+from opsweave.operators.timeline import segments_needed
 from opsweave.sources.logs import journal_events, journal_filter
 
 
@@ -23,14 +24,16 @@ def journal_to_events(raw_lines: DataFrame, params: DedupParams | None = DedupPa
     """Events from JSON journal lines; `params=None` keeps every entry.
 
     Filters come before the fingerprint and the shuffle. The rate limit is exact but folds
-    over a whole source; without it suppression goes by fingerprint.
+    over a whole source; without it suppression goes by fingerprint. Lines are counted per
+    host before anything is parsed; only a large host has its parsed entries counted too.
     """
     entries = journal_filter(raw_lines, units, idents)
     if params is None:
         return journal_events(entries)
     marked = with_fingerprint(entries)
+    segments = None if segments_needed(raw_lines, ["host"]) else 0
     if rate_limited:
-        kept = dedup_rate_limited(marked, params).where(F.col("action") == "emit")
+        kept = dedup_rate_limited(marked, params, segments).where(F.col("action") == "emit")
     else:
-        kept = dedup_by_fingerprint(marked, params)
+        kept = dedup_by_fingerprint(marked, params, segments)
     return journal_events(kept, F.col("suppressed_count"))
