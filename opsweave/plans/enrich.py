@@ -131,8 +131,8 @@ def enrich(events: DataFrame, generate: Generate = rule_analyzer, available: boo
 
 def parse_classification(response: Column) -> Column:
     """A classification struct, or null unless type, severity and summary are all there."""
-    parsed = F.from_json(response, CLASSIFICATION)
-    return F.when(parsed["type"].isNotNull() & parsed["severity"].isNotNull() & parsed["summary"].isNotNull(), parsed)
+    complete = lambda c: c["type"].isNotNull() & c["severity"].isNotNull() & c["summary"].isNotNull()
+    return F.get(F.filter(F.array(F.from_json(response, CLASSIFICATION)), complete), F.lit(0))
 
 
 def classification_prompt(text: Column) -> Column:
