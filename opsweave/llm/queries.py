@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from opsweave.llm.exact import exact_groups
 from opsweave.llm.lines import dedup_lines
 from opsweave.llm.mixing import mix_sources, rates_by_temperature
+from opsweave.llm.packing import pack
+from opsweave.llm.simhash import near_groups
+from opsweave.llm.tokens import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,6 +68,17 @@ def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
             .withColumn("mix_rate", F.round("mix_rate", 9)))
 
 
+@query()
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(documents(spark, folder))
+
+
+@query()
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return (near_groups(documents(spark, folder), words=3, hashes=1, max_bits=2)
+            .select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id"))
+
+
 @query(sql=f"""
 WITH rows AS (SELECT doc_id, {ASCII_LOWER} AS content FROM documents)
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -72,3 +86,8 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM rows WINDOW same AS (PARTITION BY content)""")
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(documents(spark, folder))
+
+
+@query()
+def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(documents(spark, folder))
