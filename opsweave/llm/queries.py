@@ -11,6 +11,7 @@ from opsweave.llm.exact import exact_groups
 from opsweave.llm.lines import dedup_lines
 from opsweave.llm.mixing import mix_sources, rates_by_temperature
 from opsweave.llm.packing import pack
+from opsweave.llm.quality import score_quality, train_quality
 from opsweave.llm.simhash import near_groups
 from opsweave.llm.tokens import token_counts
 
@@ -79,6 +80,12 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
             .select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id"))
 
 
+@query()
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return score_quality(docs, train_quality(docs, spark.read.parquet(f"{folder}/labels.parquet")))
+
+
 @query(sql=f"""
 WITH rows AS (SELECT doc_id, {ASCII_LOWER} AS content FROM documents)
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
