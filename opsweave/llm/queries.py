@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from opsweave.llm.exact import exact_groups
 from opsweave.llm.lines import dedup_lines
 from opsweave.llm.mixing import mix_sources, rates_by_temperature
+from opsweave.llm.order_minhash import as_string, edited_fingerprints
 from opsweave.llm.packing import pack
 from opsweave.llm.quality import score_quality, train_quality
 from opsweave.llm.simhash import near_groups
@@ -69,6 +70,14 @@ def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
             .withColumn("mix_rate", F.round("mix_rate", 9)))
 
 
+@query()
+def op3_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = edited_fingerprints(documents(spark, folder))
+    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"),
+                        as_string(F.col("fingerprint")).alias("fingerprint"),
+                        as_string(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 @query()
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(documents(spark, folder))
