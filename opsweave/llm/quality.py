@@ -217,8 +217,8 @@ def score_quality(docs: DataFrame, model: Model, key: str = "doc_id", text: str
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows with a score of 0.5 or more, all columns as they are."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield pdf[[model.score(t or "") >= 0.5 for t in pdf[text]]]
+    @F.pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.score(t or "") >= 0.5 for t in texts], dtype=bool)
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.where(good(F.col(text)))
