@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsweave.llm.exact import exact_groups
+from opsweave.llm.licenses import license_scan
 from opsweave.llm.lines import dedup_lines
 from opsweave.llm.mixing import mix_sources, rates_by_temperature
 from opsweave.llm.order_minhash import as_string, edited_fingerprints
@@ -107,3 +108,8 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(documents(spark, folder))
+
+
+@query()
+def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan(documents(spark, folder))
