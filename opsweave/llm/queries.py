@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsweave.llm.exact import exact_groups
+from opsweave.llm.html import extract_text
 from opsweave.llm.licenses import license_scan
 from opsweave.llm.lines import dedup_lines
 from opsweave.llm.mixing import mix_sources, rates_by_temperature
@@ -84,6 +85,12 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(documents(spark, folder))
 
 
+@query()
+def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return (extract_text(spark.read.parquet(f"{folder}/pages.parquet"))
+            .withColumn("n_chars", F.length("text").cast("long")))
+
+
 @query()
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return (near_groups(documents(spark, folder), words=3, hashes=1, max_bits=2)
