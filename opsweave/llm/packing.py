@@ -17,7 +17,7 @@ from opsweave.llm.tokens import default_tokenizer, ids_of
 
 #: Pieces of one packing problem on average: bounds what a task holds.
 SHARD_ITEMS = 1500
-ISLANDS, POPULATION, GENERATIONS, EPOCHS = 2, 4, 6, 2
+ISLANDS, POPULATION, GENERATIONS, EPOCHS = 2, 4, 10, 2
 #: Sequences filled less than this after the first round are packed again with those of other shards.
 WELL_FILLED = 0.98
 
@@ -77,13 +77,14 @@ class _Open:
         return room, number
 
 
-def best_fit(bins: Bins, items: list[int], lengths: list[int], size: int) -> Bins:
-    """`bins` with `items`, longest first, each put where it leaves the least room."""
+def best_fit(bins: Bins, items: list[int], lengths: list[int], size: int, rng: random.Random | None = None) -> Bins:
+    """`bins` with `items`, each put where it leaves the least room: longest first, with `rng` in any order."""
     bins = [list(b) for b in bins]
     open_ = _Open(size)
     for number, b in enumerate(bins):
         open_.put(size - sum(lengths[i] for i in b), number)
-    for item in sorted(items, key=lambda i: -lengths[i]):
+    order = rng.sample(items, len(items)) if rng else sorted(items, key=lambda i: -lengths[i])
+    for item in order:
         found = open_.take(lengths[item])
         if found is None:
             found = size, len(bins)
@@ -115,14 +116,13 @@ def crossover(a: Bins, b: Bins, lengths: list[int], size: int, rng: random.Rando
 
 
 def mutate(bins: Bins, lengths: list[int], size: int, rng: random.Random) -> Bins:
-    """Dissolve the emptiest bins and a few others, and best-fit their items again."""
+    """Dissolve the emptiest bins and a few others, and best-fit their items again, in any order every other time."""
     order = sorted(bins, key=lambda x: _fill(x, lengths))
-    few = max(2, len(bins) // 50)
+    few = max(2, len(bins) // 10)
     gone = order[:few] + rng.sample(order[few:], min(few, max(0, len(order) - few)))
-    kept = [x for x in bins if not any(x is g for g in gone)]
-    items = [i for x in gone for i in x]
-    rng.shuffle(items)
-    return best_fit(kept, items, lengths, size)
+    dissolved = {id(x) for x in gone}
+    kept = [x for x in bins if id(x) not in dissolved]
+    return best_fit(kept, [i for x in gone for i in x], lengths, size, rng if rng.random() < 0.5 else None)
 
 
 def evolve(lengths: list[int], size: int, population: list[Bins], seed: int) -> list[Bins]:
@@ -136,7 +136,7 @@ def evolve(lengths: list[int], size: int, population: list[Bins], seed: int) ->
     if not people:
         people = [best_fit([], list(range(len(lengths))), lengths, size)]
     while len(people[0]) > least and len(people) < POPULATION:
-        people.append(mutate(people[0], lengths, size, rng))
+        people.append(best_fit([], list(range(len(lengths))), lengths, size, rng))
     for _ in range(GENERATIONS):
         people.sort(key=lambda x: fitness(x, lengths), reverse=True)
         if len(people[0]) <= least:
