@@ -56,9 +56,12 @@ def status_timeline(events: DataFrame, window: float = HOUR) -> DataFrame:
                .union(loud.select("host", F.col("us") + width, F.lit(None).cast("long"), F.lit(None).cast("long")))
                .groupBy("host", "us").agg(F.max("crit").alias("crit"), F.max("warn").alias("warn")))
     now = F.col("us")
-    rows = Timeline(moments, ["host"], ["us"]).carry({"_crit": F.col("crit"), "_warn": F.col("warn")})
-    rows = rows.with_columns({"status": _status(now, F.coalesce("crit", "_crit"), F.coalesce("warn", "_warn"),
-                                                width, F.lit(False))})
-    changes = rows.carry({"_old": F.col("status")}).where(F.coalesce("_old", F.lit("healthy")) != F.col("status"))
+    # what precedes a moment also tells the status at the moment before it
+    rows = Timeline(moments, ["host"], ["us"]).carry({"_crit": F.col("crit"), "_warn": F.col("warn"), "_before": now})
+    down = F.lit(False)
+    rows = rows.with_columns({
+        "status": _status(now, F.coalesce("crit", "_crit"), F.coalesce("warn", "_warn"), width, down),
+        "_old": _status(F.col("_before"), F.col("_crit"), F.col("_warn"), width, down)})
+    changes = rows.where(F.col("_old") != F.col("status"))
     return changes.carry({"_end": now}, reverse=True).df.select(
         "host", F.timestamp_micros("us").alias("start_ts"), F.timestamp_micros("_end").alias("end_ts"), "status")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsweave.config import DedupParams
-from opsweave.operators.timeline import Columns, Timeline, segments_needed
+from opsweave.operators.timeline import Columns, Timeline
 
 MICROS = 1_000_000
 
@@ -37,11 +37,10 @@ def _types(df: DataFrame, columns: list[str]) -> str:
 
 
 def kept_rows(df: DataFrame, keys: list[str], gap: float, ts: str = "ts", tie: str = "id",
-              payload: tuple[str, ...] = (), segments: int | None = None) -> DataFrame:
+              payload: tuple[str, ...] = ()) -> DataFrame:
     """keys, ts, tie, payload and `repeats` of the rows a cooldown of `gap` seconds keeps.
 
     `repeats` counts the key's rows since the row kept before, that row included; 0 for the first.
-    `segments`: see Timeline.
     """
     width = round(gap * MICROS)
     narrow = df.select(*keys, F.unix_micros(ts).alias("us"), tie, *payload)
@@ -57,7 +56,7 @@ def kept_rows(df: DataFrame, keys: list[str], gap: float, ts: str = "ts", tie: s
             since += len(us)
         return kept, {"repeats": repeats}, [last, since]
 
-    kept = Timeline(narrow, keys, ["us", tie], segments).fold(step, f"{_types(narrow, narrow.columns)}, repeats long")
+    kept = Timeline(narrow, keys, ["us", tie]).fold(step, f"{_types(narrow, narrow.columns)}, repeats long")
     return kept.select(*keys, F.timestamp_micros("us").alias(ts), tie, *payload, "repeats")
 
 
@@ -71,27 +70,19 @@ FP = ["host", "source", "fingerprint"]
 ROW = ["host", "source", "id"]  # names a row, so that decisions can be joined back
 
 
-def _segments(df: DataFrame) -> int:
-    """Segments for the fingerprints of a table; fingerprints are only counted, which means
-    computed, when a whole source is large enough to hold a large one."""
-    return segments_needed(df, ["host", "source"]) and segments_needed(df, FP)
-
-
-def dedup_by_fingerprint(df: DataFrame, params: DedupParams = DedupParams(),
-                         segments: int | None = None) -> DataFrame:
+def dedup_by_fingerprint(df: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
     """Rows to emit, one fingerprint at a time, with `suppressed_count`.
 
     df: host, source, fingerprint, ts, id (unique per host and source) and any payload. A
-    repeat passes once the cooldown since the last emission is over. `segments`: see Timeline.
+    repeat passes once the cooldown since the last emission is over.
     """
-    segments = _segments(df) if segments is None else segments
-    kept = kept_rows(df, FP, params.cooldown, segments=segments).select(*ROW, F.col("repeats").alias("suppressed_count"))
+    kept = kept_rows(df, FP, params.cooldown).select(*ROW, F.col("repeats").alias("suppressed_count"))
     return df.join(kept, ROW)
 
 
 def dedup_decisions(df: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
     """Every row with its action (emit or suppress) and suppressed count."""
-    kept = kept_rows(df, FP, params.cooldown, segments=_segments(df)).select(*ROW, F.col("repeats").alias("_n"))
+    kept = kept_rows(df, FP, params.cooldown).select(*ROW, F.col("repeats").alias("_n"))
     return _actions(df.join(kept, ROW, "left"))
 
 
@@ -144,22 +135,20 @@ def rate_limited_step(params: DedupParams):
     return step
 
 
-def dedup_rate_limited(df: DataFrame, params: DedupParams = DedupParams(),
-                       segments: int | None = None) -> DataFrame:
+def dedup_rate_limited(df: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
     """Every row with its action under cooldown, rate limit and state pruning.
 
     The rate limit couples all fingerprints of a source, so decisions fold over
     (host, source). Counts of suppressed rows need no fold: they are differences of
     positions within the fingerprint, which is keyed finer. A fingerprint unseen for
     twice the baseline when the prune clock ticks is forgotten, and counts as first again.
-    `segments`: see Timeline.
     """
     narrow = df.select("host", "source", F.unix_micros("ts").alias("us"), "id", "fingerprint")
-    sources = Timeline(narrow, ["host", "source"], ["us", "id"], segments)
+    sources = Timeline(narrow, ["host", "source"], ["us", "id"])
     decided = sources.fold(rate_limited_step(params),
                            f"{_types(narrow, narrow.columns)}, passed boolean, prune_us long")
     gap = round(2 * params.baseline * MICROS)
-    rows = Timeline(decided, FP, ["us", "id"], sources.segments).carry({"_prev": F.col("us")}).index("_pos")
+    rows = Timeline(decided, FP, ["us", "id"]).carry({"_prev": F.col("us")}).index("_pos")
     rows = rows.with_columns({"_first": F.col("_prev").isNull() | (F.col("_prev") < F.col("prune_us") - gap)})
     rows = rows.carry({"_anchor": F.when(F.col("passed") | F.col("_first"), F.col("_pos"))})
     counts = rows.df.where("passed").select(

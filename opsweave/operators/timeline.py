@@ -1,20 +1,19 @@
 """Rows of one key in time order, for keys of any size.
 
 Operators that look back along a key (previous row, last known state, running
-count, folds) need the rows of the key together and in order. While every key is
-small that is one window or one grouped map, a single shuffle. A key holding a
-large share of the table would put that share into one task, so once a key has
-more than `spark.opsweave.segmentRows` rows the table is range-partitioned on
-(keys, order), which cuts a large key into runs of bounded size, and written
-once to the shared checkpoint folder. Work then goes by (key, segment); what a
-segment needs from earlier ones is one small value, its carry. A segment border
-splits at most one key, so there are never more carries than segments.
+count) need its rows in order, yet a key may hold a large share of the table. So work
+always goes by (key, bucket), buckets being fixed ranges of the order: what a bucket
+needs from those before it is one value, its carry. Every bucket is reduced to what it
+leaves behind (a combined aggregate of few columns), carries run through one small window over
+the buckets of a key, and come back as one row in front of each bucket's own rows. The
+width of a bucket never changes the result, and the plan is the same at every size.
+
+Folds, whose decisions depend on their own earlier output, stream a key's sorted rows
+through one task in Arrow batches: state is bounded, time is not divided.
 """
 
 from __future__ import annotations
 
-import json
-import math
 import tempfile
 import uuid
 from collections import defaultdict
@@ -25,9 +24,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-SEGMENT_ROWS = 4_000_000
-SEG = "_seg"
+#: Width of a bucket: seconds of a time (or of microseconds in `us`), steps of another number.
+BUCKET_SECONDS, BUCKET_STEPS = 3600, 65_536
+BUCKET, REAL = "_bucket", "_real"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,109 +47,74 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def segment_rows(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.opsweave.segmentRows", str(SEGMENT_ROWS)))
-
-
-def segments_needed(df: DataFrame, keys: list[str]) -> int:
-    """0 while every key is small, else the number of segments to cut the table into."""
-    limit = segment_rows(df.sparkSession)
-    biggest, total = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-                      .agg(F.max("n"), F.sum("n")).first())
-    return 0 if (biggest or 0) <= limit else max(2, math.ceil(total / limit))
-
-
-def write_segments(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
-    """The table cut into `n` ranges of (keys, order), with the range number in `_seg`.
-
-    It is written before use so that every later job, and every retry after a lost
-    executor, sees the same borders.
-    """
-    path = new_path(df.sparkSession, "segments")
-    ranged = df.repartitionByRange(n, *keys, *order).withColumn(SEG, F.spark_partition_id())
-    ranged.write.parquet(path)
-    return df.sparkSession.read.schema(ranged.schema).parquet(path)
+def bucket_of(df: DataFrame, column: str, width: int | None = None) -> Column:
+    """A number (or the value itself) that never falls as `column` grows."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        micros = F.unix_micros(F.col(column).cast("timestamp"))
+        return F.call_function("div", micros, F.lit((width or BUCKET_SECONDS) * 1_000_000))
+    if isinstance(kind, T.IntegralType):
+        step = (width or BUCKET_SECONDS) * 1_000_000 if column == "us" else width or BUCKET_STEPS
+        return F.call_function("div", F.col(column), F.lit(step))
+    return F.col(column)
 
 
 class Timeline:
     """A table viewed as ordered rows per key.
 
-    `order` must order the rows of a key totally. Methods return a new Timeline on the
-    same segments; `df` is the table with the columns added so far. Give `segments`, found by
-    `segments_needed` on a table whose keys are at least as large, where counting `df`
-    itself would run costly work twice.
+    `order` must order the rows of a key totally. Methods return a new Timeline; `df` is the
+    table with the columns added so far.
     """
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list[str], segments: int | None = None):
-        self.keys, self.order = keys, order
-        self.segments = segments_needed(df, keys) if segments is None else segments
-        self._table = write_segments(df, keys, order, self.segments) if self.segments else df
-
-    @property
-    def df(self) -> DataFrame:
-        return self._table.drop(SEG)
-
-    @property
-    def segmented(self) -> bool:
-        return SEG in self._table.columns
+    def __init__(self, df: DataFrame, keys: list[str], order: list[str], width: int | None = None):
+        self.df, self.keys, self.order, self.width = df, keys, order, width
 
-    def _with(self, table: DataFrame) -> Timeline:
-        new = object.__new__(Timeline)
-        new.keys, new.order, new.segments, new._table = self.keys, self.order, self.segments, table
-        return new
+    def _with(self, df: DataFrame) -> Timeline:
+        return Timeline(df, self.keys, self.order, self.width)
 
     def with_columns(self, columns: dict[str, Column]) -> Timeline:
-        return self._with(self._table.withColumns(columns))
+        return self._with(self.df.withColumns(columns))
 
     def where(self, condition: Column) -> Timeline:
-        return self._with(self._table.where(condition))
+        return self._with(self.df.where(condition))
 
     def _window(self, reverse: bool):
-        parts = [*self.keys, SEG] if self.segmented else self.keys
-        return Window.partitionBy(*parts).orderBy(*[F.desc(c) if reverse else F.asc(c) for c in self.order])
+        """Rows of a bucket in order, its carry first."""
+        return (Window.partitionBy(*self.keys, BUCKET)
+                .orderBy(REAL, *[F.desc(c) if reverse else F.asc(c) for c in self.order]))
 
-    def _earlier_segments(self, reverse: bool):
-        return (Window.partitionBy(*self.keys).orderBy(F.desc(SEG) if reverse else F.asc(SEG))
+    def _earlier(self, reverse: bool):
+        return (Window.partitionBy(*self.keys).orderBy(F.desc(BUCKET) if reverse else F.asc(BUCKET))
                 .rowsBetween(Window.unboundedPreceding, -1))
 
-    def _join_carry(self, carry: DataFrame, names: list[str]) -> DataFrame:
-        """Adds the carries; at most one row per segment, hence small enough to broadcast."""
-        on = [*self.keys, SEG]
-        renamed = carry.select(*[F.col(c).alias(f"__{c}") for c in on], *names)
-        cond = F.lit(True)
-        for c in on:
-            cond = cond & self._table[c].eqNullSafe(renamed[f"__{c}"])
-        return self._table.join(F.broadcast(renamed), cond, "left").drop(*[f"__{c}" for c in on])
+    def _led(self, rows: DataFrame, carries: DataFrame) -> DataFrame:
+        return rows.withColumn(REAL, F.lit(True)).unionByName(
+            carries.withColumn(REAL, F.lit(False)), allowMissingColumns=True)
 
     def carry(self, values: dict[str, Column], reverse: bool = False) -> Timeline:
         """For each name, the last non-null value among the rows strictly before this one;
         with `reverse`, the next one among the rows after it."""
-        before = self._window(reverse).rowsBetween(Window.unboundedPreceding, -1)
-        local = {name: F.last(v, ignorenulls=True).over(before) for name, v in values.items()}
-        if not self.segmented:
-            return self._with(self._table.withColumns(local))
+        held = {name: f"_value_{name}" for name in values}
+        rows = self.df.withColumns({held[n]: v for n, v in values.items()}).withColumn(
+            BUCKET, bucket_of(self.df, self.order[0], self.width))
         at, nearest = F.struct(*self.order), F.min_by if reverse else F.max_by
-        ends = self._table.groupBy(*self.keys, SEG).agg(
-            *[nearest(v, F.when(v.isNotNull(), at)).alias(f"_end_{name}") for name, v in values.items()])
-        names = [f"_in_{name}" for name in values]
-        carry = ends.select(*self.keys, SEG, *[
-            F.last(f"_end_{name}", ignorenulls=True).over(self._earlier_segments(reverse)).alias(f"_in_{name}")
-            for name in values])
-        carry = carry.where(F.coalesce(*[F.when(F.col(c).isNotNull(), True) for c in names]))
-        joined = self._join_carry(carry, names)
-        return self._with(joined.withColumns(
-            {name: F.coalesce(v, F.col(f"_in_{name}")) for name, v in local.items()}).drop(*names))
+        ends = rows.groupBy(*self.keys, BUCKET).agg(
+            *[nearest(h, F.when(F.col(h).isNotNull(), at)).alias(h) for h in held.values()])
+        carries = ends.select(*self.keys, BUCKET, *[
+            F.last(h, ignorenulls=True).over(self._earlier(reverse)).alias(h) for h in held.values()])
+        before = self._window(reverse).rowsBetween(Window.unboundedPreceding, -1)
+        found = self._led(rows, carries).withColumns(
+            {n: F.last(h, ignorenulls=True).over(before) for n, h in held.items()})
+        return self._with(found.where(REAL).drop(BUCKET, REAL, *held.values()))
 
     def index(self, name: str, reverse: bool = False) -> Timeline:
         """Position of the row within its key, from 1; with `reverse`, counted from the end."""
-        local = F.row_number().over(self._window(reverse)).cast("long")
-        if not self.segmented:
-            return self._with(self._table.withColumn(name, local))
-        carry = (self._table.groupBy(*self.keys, SEG).agg(F.count(F.lit(1)).alias("n"))
-                 .select(*self.keys, SEG, F.sum("n").over(self._earlier_segments(reverse)).alias("_before"))
-                 .where(F.col("_before").isNotNull()))
-        joined = self._join_carry(carry, ["_before"])
-        return self._with(joined.withColumn(name, local + F.coalesce("_before", F.lit(0))).drop("_before"))
+        rows = self.df.withColumn(BUCKET, bucket_of(self.df, self.order[0], self.width))
+        counts = rows.groupBy(*self.keys, BUCKET).agg(F.count(F.lit(1)).alias("_ones"))
+        carries = counts.select(*self.keys, BUCKET, F.sum("_ones").over(self._earlier(reverse)).alias("_ones"))
+        upto = self._window(reverse).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        found = self._led(rows.withColumn("_ones", F.lit(1).cast("long")), carries).withColumn(name, F.sum("_ones").over(upto))
+        return self._with(found.where(REAL).drop(BUCKET, REAL, "_ones"))
 
     def fold(self, step: Step, schema: str) -> DataFrame:
         """Run `step` along each key; see :func:`fold_rows`."""
@@ -157,8 +123,7 @@ class Timeline:
 
 # A step takes the columns of consecutive rows of one key and the state left by the rows
 # before (None at the start of the key). It returns the positions of the rows to put out
-# (None for all), new columns for them, and the new state. States are JSON values of
-# bounded size.
+# (None for all), new columns for them, and the new state, of bounded size.
 Columns = dict[str, np.ndarray]
 Step = Callable[[Columns, Any], "tuple[np.ndarray | None, Columns, Any]"]
 
@@ -183,12 +148,8 @@ def fold_rows(timeline: Timeline, step: Step, schema: str) -> DataFrame:
 
     Rows are shuffled by key, sorted by Spark and streamed through in Arrow batches, many
     keys to a batch; the state passes from batch to batch, so a key need not fit in memory.
-    On a segmented table every segment first runs as if nothing came before it; then
-    segments whose true entry state differs from the one they ran with run again, until
-    all agree. Only entry and exit states, one per segment, pass through the driver.
     """
-    keys = [*timeline.keys, SEG] if timeline.segmented else timeline.keys
-    entry = _settle(timeline, keys, step) if timeline.segmented else {}
+    keys = timeline.keys
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = state = None
@@ -200,71 +161,13 @@ def fold_rows(timeline: Timeline, step: Step, schema: str) -> DataFrame:
             for a, b in _runs(pdf, keys):
                 key = _plain(tuple(columns[k][a] for k in keys))
                 if key != held:
-                    held, state = key, json.loads(entry[key]) if key in entry else None
+                    held, state = key, None
                 keep, new, state = step({c: v[a:b] for c, v in columns.items()}, state)
                 taken.append(np.arange(a, b) if keep is None else keep + a)
                 for name, v in new.items():
                     added[name].append(v)
-            out = pdf.take(np.concatenate(taken)).drop(columns=SEG, errors="ignore")
+            out = pdf.take(np.concatenate(taken))
             yield out.assign(**{name: np.concatenate(v) for name, v in added.items()})
 
-    return _sorted(timeline._table, keys, timeline.order).mapInPandas(run, schema)
-
-
-def _sorted(table: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return table.repartition(*keys).sortWithinPartitions(*keys, *order)
-
-
-def _settle(timeline: Timeline, keys: list[str], step: Step) -> dict[tuple, str]:
-    """Entry state of every segment that continues a key."""
-    table = timeline._table
-    runs = table.select(*keys).distinct()
-    split = (runs.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*timeline.keys)))
-             .where("n > 1").drop("n").collect())  # at most two rows per segment border
-    chains: dict[tuple, list[int]] = defaultdict(list)
-    for row in split:
-        chains[_plain(tuple(row[k] for k in timeline.keys))].append(row[SEG])
-    for segs in chains.values():
-        segs.sort()
-
-    entry: dict[tuple, str] = {}
-    exits: dict[tuple, str] = {}
-    pending = {(*key, str(s)) for key, segs in chains.items() for s in segs[:-1]}
-    rounds = 0
-    while pending:
-        exits.update(_exit_states(table, keys, timeline.order, step, frozenset(pending), dict(entry)))
-        pending = set()
-        for key, chain in chains.items():
-            for a, b in zip(chain, chain[1:]):
-                here, last = (*key, str(b)), b == chain[-1]
-                if exits[(*key, str(a))] != entry.get(here):
-                    entry[here] = exits[(*key, str(a))]
-                    if not last:
-                        pending.add(here)
-                    if rounds >= 3:
-                        break  # states do not converge by themselves: go on in order
-        rounds += 1
-    return entry
-
-
-def _exit_states(table: DataFrame, keys: list[str], order: list[str], step: Step, wanted: frozenset,
-                 entry: dict[tuple, str]) -> dict[tuple, str]:
-    """The state each wanted (key, segment) leaves when it starts from its entry state."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = state = None
-        left: dict[tuple, str] = {}
-        for pdf in frames:
-            columns = {c: pdf[c].to_numpy() for c in pdf.columns}
-            for a, b in _runs(pdf, keys) if len(pdf) else []:
-                key = _plain(tuple(columns[k][a] for k in keys))
-                if key not in wanted:
-                    continue
-                if key != held:
-                    held, state = key, json.loads(entry[key]) if key in entry else None
-                state = step({c: v[a:b] for c, v in columns.items()}, state)[2]
-                left[key] = json.dumps(state)
-        yield pd.DataFrame({"key": [json.dumps(k) for k in left], "state": list(left.values())}, dtype=object)
-
-    segs = sorted({int(key[-1]) for key in wanted})
-    rows = _sorted(table.where(F.col(SEG).isin(segs)), keys, order).mapInPandas(run, "key string, state string")
-    return {tuple(json.loads(r["key"])): r["state"] for r in rows.collect()}
+    ordered = timeline.df.repartition(*keys).sortWithinPartitions(*keys, *timeline.order)
+    return ordered.mapInPandas(run, schema)

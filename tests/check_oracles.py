@@ -38,8 +38,6 @@ def rows(columns, data):
 def main(folder="/root/testdata/sf0.01", *names):
     import __spark_entry__ as entry
     spark, con = session(), duckdb.connect()
-    if os.environ.get("SEGMENT_ROWS"):  # cut keys up even though they are small
-        spark.conf.set("spark.opsweave.segmentRows", os.environ["SEGMENT_ROWS"])
     for f in glob.glob(f"{folder}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
     queries, sqls, bad = entry.queries(), entry.oracle_sql(), []

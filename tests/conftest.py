@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from opsweave.operators import timeline
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -18,8 +20,7 @@ def spark(tmp_path_factory):
 
 
 @pytest.fixture
-def segmented(spark):
-    """Force tables through the segmented path, a handful of rows per segment."""
-    spark.conf.set("spark.opsweave.segmentRows", "7")
-    yield
-    spark.conf.unset("spark.opsweave.segmentRows")
+def narrow_buckets(monkeypatch):
+    """A handful of rows per bucket, so that carries pass through many."""
+    monkeypatch.setattr(timeline, "BUCKET_SECONDS", 7)
+    monkeypatch.setattr(timeline, "BUCKET_STEPS", 3)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from opsweave.config import LevelParams
 from opsweave.operators import change, series, status
+from opsweave.operators import timeline
 from opsweave.operators.timeline import Timeline
 
 T0 = datetime(2026, 3, 1, tzinfo=timezone.utc)
@@ -121,7 +122,7 @@ def test_two_levels(spark):
     assert at(series.two_level_alerts(metric(spark, DISK), LevelParams()), "severity") == DISK_ALERTS
 
 
-def test_two_levels_segmented(spark, segmented):
+def test_two_levels_over_buckets(spark, narrow_buckets):
     assert at(series.two_level_alerts(metric(spark, DISK * 3), LevelParams()), "severity") == sorted(
         (t + 9 * k, s) for k in range(3) for t, s in DISK_ALERTS)
 
@@ -192,8 +193,8 @@ def random_events(spark, n=120):
     return events(spark, seq)
 
 
-def test_segmented_equals_whole(spark):
-    """Every window primitive gives the same rows whether or not keys are cut up."""
+def test_bucket_width_changes_nothing(spark, monkeypatch):
+    """Every window primitive gives the same rows for one bucket as for many, hot key included."""
     df = random_events(spark).cache()
     def run():
         t = (Timeline(df, ["host"], ["ts", "id"]).index("n")
@@ -202,10 +203,8 @@ def test_segmented_equals_whole(spark):
         return [sorted(map(str, x.collect())) for x in (
             t.df, back.df, status.rolling_status(df), status.status_timeline(df),
             status.status_transitions(status.rolling_status(df)))]
+    monkeypatch.setattr(timeline, "BUCKET_SECONDS", 10 ** 9)
     whole = run()
-    spark.conf.set("spark.opsweave.segmentRows", "9")
-    try:
-        assert Timeline(df, ["host"], ["ts", "id"]).segmented
+    for seconds in (61, 600, 86_400):
+        monkeypatch.setattr(timeline, "BUCKET_SECONDS", seconds)
         assert run() == whole
-    finally:
-        spark.conf.unset("spark.opsweave.segmentRows")

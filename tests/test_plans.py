@@ -93,7 +93,7 @@ def test_enrichment(spark):
     assert enrich.enrich(df, available=False).where("summary is null").count() == 3
 
 
-def test_batches_are_bounded_and_whole(spark, segmented):
+def test_batches_are_bounded_and_whole(spark, narrow_buckets):
     df = events(spark, *[(0,)] * 123)
     prompts = enrich.batch_prompts(enrich.in_batches(df)).orderBy("batch").collect()
     assert [p["n"] for p in prompts] == [50, 50, 23]

@@ -1,4 +1,4 @@
-"""Cooldown, repeat suppression and trends, each also on a segmented table."""
+"""Cooldown, repeat suppression and trends."""
 
 import random
 from collections import defaultdict, deque
@@ -94,13 +94,13 @@ def test_rate_limited_matches_fold(spark, seed, p):
     assert actions(throttle.dedup_rate_limited(rows(spark, seq), p)) == fold_reference(seq, p)
 
 
-def test_rate_limited_segmented(spark, segmented):
+def test_rate_limited_over_buckets(spark, narrow_buckets):
     p, seq = DedupParams(20, 50, 3, 15), random_rows(3, n=150)
     assert actions(throttle.dedup_rate_limited(rows(spark, seq), p)) == fold_reference(seq, p)
 
 
-def test_cooldown_segmented(spark, segmented):
-    """A dense key whose phase never settles, so that segments must be settled in order."""
+def test_cooldown_of_even_cadence(spark):
+    """A dense key whose phase never settles."""
     p = DedupParams(window=10, baseline=300, max_per_period=10 ** 6)
     seq = [(3 * i, "f", "s") for i in range(100)]
     assert actions(throttle.dedup_decisions(rows(spark, seq), p)) == fold_reference(seq, p)
@@ -150,16 +150,16 @@ def test_alpha_bounds(alpha):
         TrendParams(alpha=alpha)
 
 
-def test_trend_segmented_is_exact(spark):
+def test_trend_passes_state_between_batches(spark):
     rng = random.Random(5)
     df = samples(spark, [rng.random() * 100 for _ in range(200)])
     read = lambda: [tuple(r) for r in series.trend(df, TrendParams(0.3, 8)).orderBy("ts").collect()]
     whole = read()
-    spark.conf.set("spark.opsweave.segmentRows", "11")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
     try:
         assert read() == whole
     finally:
-        spark.conf.unset("spark.opsweave.segmentRows")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_debounce(spark):
