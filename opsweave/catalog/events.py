@@ -49,18 +49,36 @@ def rejected_events(spark, folder):
 
 @query(f"WITH {EV} SELECT id, us AS ts_us, type FROM ev WHERE ts >= '{SINCE}' ORDER BY ts, id LIMIT 1000")
 def events_since(spark, folder):
-    return ev.events_since(system_events(spark, folder), SINCE).select("id", us(), "type")
+    return ev.events_since(system_events(spark, folder), SINCE, limit=1000).select("id", us(), "type")
 
 
 @query(f"WITH {EV} SELECT id, us AS ts_us, type FROM ev WHERE ts >= '{SINCE}' AND type = 'service_fail' "
        "ORDER BY ts, id LIMIT 1000")
 def events_since_of_type(spark, folder):
-    return ev.events_since(system_events(spark, folder), SINCE, "service_fail").select("id", us(), "type")
+    return ev.events_since(system_events(spark, folder), SINCE, "service_fail", limit=1000).select("id", us(), "type")
 
 
 @query(f"WITH {EV} SELECT id, us AS ts_us FROM ev WHERE ts >= '{SINCE}' AND summary IS NULL ORDER BY ts, id LIMIT 50")
 def unanalyzed_since(spark, folder):
-    return ev.unanalyzed_since(system_events(spark, folder), SINCE).select("id", us())
+    return ev.unanalyzed_since(system_events(spark, folder), SINCE, limit=50).select("id", us())
+
+
+@query(f"WITH {EV} SELECT id, us AS ts_us, summary IS NULL AS waiting FROM ev WHERE ts >= '{SINCE}'")
+def events_since_stored(spark, folder):
+    """All events since an instant from a stored table, written and read under two other time zones."""
+    path, out = new_path(spark, "events"), new_path(spark, "since")
+    zone, events = spark.conf.get("spark.sql.session.timeZone"), system_events(spark, folder)
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        store.append_events(events, path)
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        stored = scan_events(spark, path)
+        waiting = ev.unanalyzed_since(stored, SINCE).select("id", F.lit(True).alias("waiting"))
+        (ev.events_since(stored, SINCE).join(waiting, "id", "left")
+         .select("id", us(), F.coalesce("waiting", F.lit(False)).alias("waiting")).write.parquet(out))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    return spark.read.parquet(out)
 
 
 @query(f"WITH {EV} SELECT id, us AS ts_us, host FROM ev ORDER BY ts DESC, id DESC LIMIT 50")

@@ -277,6 +277,14 @@ def dedup_by_fingerprint(spark, folder):
     return throttle.dedup_by_fingerprint(_marked(spark, folder), DEDUP).select("id", "fingerprint", us(), "suppressed_count")
 
 
+@query(f"WITH {_MARKED}, {_ONE} SELECT id, fingerprint, us AS ts_us, 1 AS n FROM first")
+def dedup_equal_rows(spark, folder):
+    """Every row comes twice, equal in all columns: still one of the two is emitted."""
+    twice = _marked(spark, folder).unionByName(_marked(spark, folder))
+    return (throttle.dedup_by_fingerprint(twice, DEDUP).groupBy("id", "fingerprint", us())
+            .agg(F.count("*").cast("int").alias("n")))
+
+
 @query(f"WITH {_MARKED}, {_ONE} SELECT m.id, CASE WHEN f.id IS NULL THEN 'suppress' ELSE 'emit' END AS action, "
        "coalesce(f.gap, 0) AS suppressed_count FROM marked m LEFT JOIN first f USING (id)")
 def dedup_decisions(spark, folder):

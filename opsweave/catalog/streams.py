@@ -1,5 +1,6 @@
 """Streaming queries: the event table read as a stream, run to its end, results read back."""
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -7,8 +8,9 @@ from opsweave.catalog import EV, ORACLES, query, us
 from opsweave.catalog.series import DEDUP, TREND
 from opsweave.functions.text import fingerprint
 from opsweave.operators.timeline import new_path
+from opsweave.plans.store import append_events
 from opsweave.sources.logs import package_events, parse_package_log
-from opsweave.sources.tables import EVENT_COLUMNS, scan_events, shape_events, system_events, table
+from opsweave.sources.tables import EVENT_COLUMNS, scan_events, shape_events, table
 from opsweave.streaming import dedup, feeds
 
 
@@ -26,8 +28,8 @@ def _run(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def _drain(writer, spark: SparkSession) -> None:
-    (writer.option("checkpointLocation", new_path(spark, "progress")).trigger(availableNow=True).start().awaitTermination())
+def _drain(writer, progress: str) -> None:
+    writer.option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
 
 
 def _marked(spark, folder):
@@ -61,9 +63,11 @@ def trend_stream(spark, folder):
        "SELECT 'service_fail only', host, count(*), CAST(sum(id) AS BIGINT) FROM ev WHERE type = 'service_fail' GROUP BY ALL")
 def route_events(spark, folder):
     """All events to one table, service failures to a second one as well."""
-    every, fails = new_path(spark, "events"), new_path(spark, "fails")
+    every, fails, progress = (new_path(spark, x) for x in ("events", "fails", "progress"))
     stream = _stream(spark, folder).select(*EVENT_COLUMNS)
-    _drain(feeds.route_events(stream, [(None, feeds.store_sink(every)), ("service_fail", feeds.store_sink(fails))]), spark)
+    sinks = [(None, feeds.store_sink(spark, every, "all", progress)),
+             ("service_fail", feeds.store_sink(spark, fails, "failures", progress))]
+    _drain(feeds.route_events(stream, sinks), progress)
     both = scan_events(spark, every).unionByName(scan_events(spark, fails).withColumn("type", F.lit("service_fail only")))
     return both.groupBy("type", "host").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
@@ -71,9 +75,9 @@ def route_events(spark, folder):
 @query(f"WITH {EV} SELECT id, concat(source, ': ', event_type, '[', id, ']') AS summary FROM ev WHERE summary IS NULL")
 def enrich_stream(spark, folder):
     """The update log an enrichment stream leaves."""
-    log = new_path(spark, "updates")
+    log, progress = new_path(spark, "updates"), new_path(spark, "progress")
     stream = _stream(spark, folder).select(*EVENT_COLUMNS)
-    _drain(feeds.route_events(stream, [(None, feeds.enrich_sink(log))]), spark)
+    _drain(feeds.route_events(stream, [(None, feeds.enrich_sink(spark, log, "enrich", progress))]), progress)
     return spark.read.parquet(log).select("id", "summary")
 
 
@@ -108,16 +112,67 @@ def tail_package_log(spark, folder):
     return _run(package_events(parse_package_log(feeds.tail_lines(spark, landed)))).select("summary")
 
 
-@query(ORACLES["status_transitions"].replace("SELECT id, host, old, status AS new", "SELECT host, old, status AS new, count(*) AS n")
-       + " GROUP BY ALL")
-def on_status_change(spark, folder):
-    """The changes that status callbacks are called for, written out; the history is the table."""
-    out = new_path(spark, "calls")
-    stream = _stream(spark, folder).select(*EVENT_COLUMNS)
+_CHANGES = (ORACLES["status_transitions"].replace("SELECT id, host, old, status AS new", "SELECT host, old, status AS new, count(*) AS n")
+            + " GROUP BY ALL")
+
 
-    def record(batch, batch_id):
-        changed = feeds.status_changes(batch, lambda: system_events(spark, folder))
-        if changed is not None:
-            changed.select("host", "old", "new").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-    _drain(stream.writeStream.foreachBatch(record), spark)
-    return spark.read.parquet(out).groupBy("host", "old", "new").agg(F.count("*").alias("n"))
+@query(_CHANGES)
+def on_status_change(spark, folder):
+    """The changes that status callbacks are called for, written out."""
+    dedup.use_rocksdb(spark)
+    changes = _run(feeds.status_changes(_stream(spark, folder)))
+    return changes.groupBy("host", "old", "new").agg(F.count("*").alias("n"))
+
+
+def _slices(spark, folder: str, n: int) -> DataFrame:
+    """The event stream in `n` micro-batches of consecutive times."""
+    raw = table(spark, folder, "events")
+    cuts = raw.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).agg(
+        F.percentile_approx("us", [i / n for i in range(1, n)])).first()[0]
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    landed = new_path(spark, "slices")
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = raw.where((us > low if low is not None else F.lit(True)) & (us <= high if high is not None else F.lit(True)))
+        part.coalesce(1).write.mode("append").parquet(landed)
+    return shape_events(feeds.read_files(spark, landed, raw.schema, max_files=1))
+
+
+@query(_CHANGES)
+def status_changes_of_batches(spark, folder):
+    """The same over several micro-batches: hosts are quiet in between, their status is not forgotten."""
+    dedup.use_rocksdb(spark)
+    return (_run(feeds.status_changes(_slices(spark, folder, 6))).groupBy("host", "old", "new").agg(F.count("*").alias("n")))
+
+
+@query(f"WITH {EV} SELECT host, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM ev GROUP BY ALL")
+def append_two_streams(spark, folder):
+    """Two streams, each with batch numbers from 0, write one table: no row is lost."""
+    path = new_path(spark, "events")
+    for name, part in (("odd", "id % 2 = 1"), ("even", "id % 2 = 0")):
+        progress = new_path(spark, "progress")
+        sink = feeds.store_sink(spark, path, name, progress)
+        _drain(feeds.route_events(_stream(spark, folder).select(*EVENT_COLUMNS).where(part), [(None, sink)]), progress)
+    return scan_events(spark, path).groupBy("host").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+@query(f"WITH {EV} SELECT host, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM ev GROUP BY ALL")
+def append_restarted_stream(spark, folder):
+    """A stream that is stopped after some batches and goes on from its checkpoint writes every row once."""
+    path, progress = new_path(spark, "events"), new_path(spark, "progress")
+    stream = _slices(spark, folder, 4).select(*EVENT_COLUMNS)
+    done = []
+
+    def failing(batch, batch_id):
+        if batch_id == 2 and not done:
+            done.append(batch_id)
+            append_events(batch.where("id % 2 = 0"), path, f"main-{batch_id}")  # the batch is cut off half written
+            raise RuntimeError("stopped")
+        sink(batch, batch_id)
+
+    for _ in range(2):
+        sink = feeds.store_sink(spark, path, "main", progress)
+        try:
+            _drain(stream.writeStream.foreachBatch(failing), progress)
+        except StreamingQueryException:
+            pass
+    return scan_events(spark, path).groupBy("host").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))

@@ -5,27 +5,19 @@ Orderings end in `id` so that results do not depend on how rows are spread.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsweave.config import RetentionParams
 from opsweave.functions import severity as sev
 from opsweave.functions.text import display_text, fallback_summary, summary_fingerprint
-
-Instant = str | dt.datetime
-
-
-def at(instant: Instant) -> Column:
-    return F.lit(instant).cast("timestamp")
-
+from opsweave.functions.times import Instant, at, utc_clock, utc_day
 
 def _on_or_after(df: DataFrame, since: Instant) -> Column:
     """ts >= since, with the day as well where the table is partitioned by it."""
     cond = F.col("ts") >= at(since)
     if "event_date" in df.columns:
-        cond = cond & (F.col("event_date") >= F.to_date(at(since)))
+        cond = cond & (F.col("event_date") >= utc_day(at(since)))
     return cond
 
 
@@ -50,18 +42,18 @@ def _checked(df: DataFrame) -> DataFrame:
                   & F.col("ts").isNotNull())
 
 
-def events_since(df: DataFrame, since: Instant, event_type: str | None = None, limit: int = 1000) -> DataFrame:
-    """Oldest `limit` events from `since` on."""
+def events_since(df: DataFrame, since: Instant, event_type: str | None = None,
+                 limit: int | None = None) -> DataFrame:
+    """Events from `since` on; with `limit` the oldest so many, in order."""
     df = df.where(_on_or_after(df, since))
     if event_type is not None:
         df = df.where(F.col("type") == event_type)
-    return df.orderBy("ts", "id").limit(limit)
+    return df if limit is None else df.orderBy("ts", "id").limit(limit)
 
 
-def unanalyzed_since(df: DataFrame, since: Instant, limit: int = 50) -> DataFrame:
-    """Oldest `limit` events from `since` on that have no summary."""
-    return (df.where(_on_or_after(df, since) & F.col("summary").isNull())
-            .orderBy("ts", "id").limit(limit))
+def unanalyzed_since(df: DataFrame, since: Instant, limit: int | None = None) -> DataFrame:
+    """Events from `since` on that have no summary; with `limit` the oldest so many, in order."""
+    return events_since(df.where(F.col("summary").isNull()), since, limit=limit)
 
 
 def recent_events(df: DataFrame, limit: int = 50) -> DataFrame:
@@ -71,7 +63,7 @@ def recent_events(df: DataFrame, limit: int = 50) -> DataFrame:
 def feed(df: DataFrame, n: int = 200) -> DataFrame:
     """The newest events as a reader sees them: time of day, text, severity, source."""
     return recent_events(df, n).select(
-        "id", "host", F.date_format("ts", "HH:mm").alias("time"),
+        "id", "host", utc_clock(F.col("ts")).alias("time"),
         display_text(F.col("summary"), F.col("raw_data"), 120).alias("text"), "severity", "source")
 
 

@@ -6,16 +6,16 @@ need no fold: whether a latch is set is the last row that set or cleared it.
 
 from __future__ import annotations
 
-from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsweave.config import LevelParams, TrendParams
 from opsweave.functions.text import fixed
 from opsweave.operators.change import new_entities
-from opsweave.operators.throttle import MICROS, kept_rows
+from opsweave.operators.throttle import MICROS, cooldown_rows
 from opsweave.operators.timeline import Columns, Timeline
 
 SERIES = ["host", "metric"]
@@ -81,14 +81,15 @@ def samples_from_readings(readings: DataFrame, ids: list[str], metrics: list[str
 
 
 def _trend_step(params: TrendParams):
-    a, b, width = params.alpha, 1 - params.alpha, params.window
+    width = params.window
     half = width // 2
 
     def step(rows: Columns, state):
         us = rows["us"]
         last, tail = state or (float(rows["value"][0]), [])
-        ema = list(accumulate(rows["value"].tolist(), lambda y, x: a * x + b * y, initial=last))[1:]
-        y = np.array([e for _, e in tail] + ema)
+        seeded = pd.Series(np.concatenate(([last], rows["value"])))
+        ema = seeded.ewm(alpha=params.alpha, adjust=False).mean().to_numpy()[1:]
+        y = np.concatenate(([e for _, e in tail], ema))
         t = np.concatenate([np.array([u for u, _ in tail], dtype=np.int64), us])
         slope = np.full(len(y), np.nan)
         if len(y) >= width:
@@ -98,7 +99,7 @@ def _trend_step(params: TrendParams):
             with np.errstate(divide="ignore", invalid="ignore"):
                 slope[width - 1:] = np.where(hours < 0.001, np.nan, rise / hours)
         keep = list(zip(t[-(width - 1):].tolist(), y[-(width - 1):].tolist()))
-        return None, {"ema": np.array(ema), "slope": slope[len(tail):]}, [ema[-1], keep]
+        return None, {"ema": ema, "slope": slope[len(tail):]}, [float(ema[-1]), keep]
 
     return step
 
@@ -114,7 +115,7 @@ def trend(samples: DataFrame, params: TrendParams = TrendParams()) -> DataFrame:
     narrow = samples.where(F.col("value").isNotNull()).select(
         *SERIES, F.unix_micros("ts").alias("us"), F.col("value").cast("double").alias("value"))
     out = Timeline(narrow, SERIES, ["us", "value"]).fold(
-        _trend_step(params), "host string, metric string, us long, value double, ema double, slope double")
+        _trend_step(params), "ema double, slope double")
     return out.select(*SERIES, F.timestamp_micros("us").alias("ts"), "value", "ema",
                       F.when(~F.isnan("slope"), F.col("slope")).alias("slope"))
 
@@ -143,8 +144,7 @@ def trend_alerts(samples: DataFrame, params: TrendParams = TrendParams(),
     over = (rated.where(F.abs("slope") >= F.col("threshold"))
             .select(*SERIES, "ts", "value", "ema", "slope", "threshold"))
     if params.cooldown > 0:
-        over = kept_rows(over, SERIES, params.cooldown, tie="value",
-                         payload=("ema", "slope", "threshold")).drop("repeats")
+        over = cooldown_rows(over, SERIES, params.cooldown, tie="value").drop("repeats")
     return over.withColumn("direction", F.when(F.col("slope") > 0, "rising").otherwise("falling"))
 
 

@@ -36,17 +36,17 @@ def _types(df: DataFrame, columns: list[str]) -> str:
     return ", ".join(f"`{c}` {kinds[c]}" for c in columns)
 
 
-def kept_rows(df: DataFrame, keys: list[str], gap: float, ts: str = "ts", tie: str = "id",
-              payload: tuple[str, ...] = ()) -> DataFrame:
-    """keys, ts, tie, payload and `repeats` of the rows a cooldown of `gap` seconds keeps.
+def cooldown_rows(df: DataFrame, keys: list[str], gap: float, ts: str = "ts", tie: str = "id",
+                  kept_only: bool = True) -> DataFrame:
+    """All columns of the rows a cooldown of `gap` seconds keeps, with `repeats`; or of all rows, with `passed` as well.
 
-    `repeats` counts the key's rows since the row kept before, that row included; 0 for the first.
+    `repeats` counts the key's rows since the row kept before, that row included; 0 for the
+    first. Rows are told apart by their place in the order, so equal rows are decided one by one.
     """
     width = round(gap * MICROS)
-    narrow = df.select(*keys, F.unix_micros(ts).alias("us"), tie, *payload)
 
     def step(rows: Columns, state):
-        us = rows["us"]
+        us = rows["_us"]
         last, since = state or (None, 0)
         kept = greedy_kept(us, width, last)
         repeats = np.diff(kept, prepend=0 if last is None else -since)
@@ -54,36 +54,38 @@ def kept_rows(df: DataFrame, keys: list[str], gap: float, ts: str = "ts", tie: s
             last, since = int(us[kept[-1]]), int(len(us) - kept[-1])
         else:
             since += len(us)
-        return kept, {"repeats": repeats}, [last, since]
+        if kept_only:
+            return kept, {"repeats": repeats}, [last, since]
+        every, passed = np.zeros(len(us), dtype=np.int64), np.zeros(len(us), dtype=bool)
+        every[kept], passed[kept] = repeats, True
+        return None, {"repeats": every, "passed": passed}, [last, since]
 
-    kept = Timeline(narrow, keys, ["us", tie]).fold(step, f"{_types(narrow, narrow.columns)}, repeats long")
-    return kept.select(*keys, F.timestamp_micros("us").alias(ts), tie, *payload, "repeats")
+    timed = df.withColumn("_us", F.unix_micros(ts))
+    return Timeline(timed, keys, ["_us", tie]).fold(
+        step, "repeats long" if kept_only else "repeats long, passed boolean").drop("_us")
 
 
 def throttle(df: DataFrame, keys: list[str], gap: float, ts: str = "ts", tie: str = "id") -> DataFrame:
     """The first row per key, then every row at least `gap` seconds after the last row kept."""
-    kept = kept_rows(df, keys, gap, ts, tie).drop("repeats")
-    return df.join(kept, [*keys, ts, tie], "left_semi")
+    return cooldown_rows(df, keys, gap, ts, tie).drop("repeats")
 
 
 FP = ["host", "source", "fingerprint"]
-ROW = ["host", "source", "id"]  # names a row, so that decisions can be joined back
 
 
 def dedup_by_fingerprint(df: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
     """Rows to emit, one fingerprint at a time, with `suppressed_count`.
 
-    df: host, source, fingerprint, ts, id (unique per host and source) and any payload. A
-    repeat passes once the cooldown since the last emission is over.
+    df: host, source, fingerprint, ts, id and any payload. A repeat passes once the
+    cooldown since the last emission is over; of rows equal in all columns only one can pass.
     """
-    kept = kept_rows(df, FP, params.cooldown).select(*ROW, F.col("repeats").alias("suppressed_count"))
-    return df.join(kept, ROW)
+    return cooldown_rows(df, FP, params.cooldown).withColumnRenamed("repeats", "suppressed_count")
 
 
 def dedup_decisions(df: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
     """Every row with its action (emit or suppress) and suppressed count."""
-    kept = kept_rows(df, FP, params.cooldown).select(*ROW, F.col("repeats").alias("_n"))
-    return _actions(df.join(kept, ROW, "left"))
+    return _actions(cooldown_rows(df, FP, params.cooldown, kept_only=False).withColumn("_n", F.when(F.col("passed"), F.col("repeats")))
+                    .drop("passed", "repeats"))
 
 
 def _actions(df: DataFrame) -> DataFrame:
@@ -143,17 +145,17 @@ def dedup_rate_limited(df: DataFrame, params: DedupParams = DedupParams()) -> Da
     positions within the fingerprint, which is keyed finer. A fingerprint unseen for
     twice the baseline when the prune clock ticks is forgotten, and counts as first again.
     """
-    narrow = df.select("host", "source", F.unix_micros("ts").alias("us"), "id", "fingerprint")
-    sources = Timeline(narrow, ["host", "source"], ["us", "id"])
-    decided = sources.fold(rate_limited_step(params),
-                           f"{_types(narrow, narrow.columns)}, passed boolean, prune_us long")
+    timed = df.withColumn("us", F.unix_micros("ts"))
+    decided = Timeline(timed, ["host", "source"], ["us", "id"]).fold(
+        rate_limited_step(params), "passed boolean, prune_us long", reads=["fingerprint"])
+    # a total order again, for rows that are equal: at one time, what passed comes first
+    decided = decided.withColumn("_late", ~F.col("passed"))
     gap = round(2 * params.baseline * MICROS)
-    rows = Timeline(decided, FP, ["us", "id"]).carry({"_prev": F.col("us")}).index("_pos")
+    rows = Timeline(decided, FP, ["us", "id", "_late"]).carry({"_prev": F.col("us")}).index("_pos")
     rows = rows.with_columns({"_first": F.col("_prev").isNull() | (F.col("_prev") < F.col("prune_us") - gap)})
     rows = rows.carry({"_anchor": F.when(F.col("passed") | F.col("_first"), F.col("_pos"))})
-    counts = rows.df.where("passed").select(
-        *ROW, F.when(F.col("_first"), 0).otherwise(F.col("_pos") - F.col("_anchor")).alias("_n"))
-    return _actions(df.join(counts, ROW, "left"))
+    n = F.when(F.col("passed"), F.when(F.col("_first"), 0).otherwise(F.col("_pos") - F.col("_anchor")))
+    return _actions(rows.df.withColumn("_n", n).drop("us", "passed", "prune_us", "_late", "_prev", "_pos", "_first", "_anchor"))
 
 
 def dedup_stats(decisions: DataFrame, width: str = "1 hour") -> DataFrame:

@@ -22,6 +22,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,9 +117,9 @@ class Timeline:
         found = self._led(rows.withColumn("_ones", F.lit(1).cast("long")), carries).withColumn(name, F.sum("_ones").over(upto))
         return self._with(found.where(REAL).drop(BUCKET, REAL, "_ones"))
 
-    def fold(self, step: Step, schema: str) -> DataFrame:
+    def fold(self, step: Step, added: str, reads: list[str] = ()) -> DataFrame:
         """Run `step` along each key; see :func:`fold_rows`."""
-        return fold_rows(self, step, schema)
+        return fold_rows(self, step, added, reads)
 
 
 # A step takes the columns of consecutive rows of one key and the state left by the rows
@@ -132,42 +133,48 @@ def _plain(key: tuple) -> tuple:
     return tuple(None if k is None or k != k else str(k) for k in key)
 
 
-def _runs(pdf: pd.DataFrame, by: list[str]) -> list[tuple[int, int]]:
+def _runs(columns: Columns, by: list[str], n: int) -> list[tuple[int, int]]:
     """Start and end of each run of rows with equal keys."""
-    new = np.zeros(len(pdf), dtype=bool)
+    new = np.zeros(n, dtype=bool)
     for k in by:
-        before = pdf[k].shift()
-        new |= (pdf[k].ne(before) & ~(pdf[k].isna() & before.isna())).to_numpy()
+        here = pd.Series(columns[k])
+        before = here.shift()
+        new |= (here.ne(before) & ~(here.isna() & before.isna())).to_numpy()
     new[0] = True
     starts = np.flatnonzero(new).tolist()
-    return list(zip(starts, [*starts[1:], len(pdf)]))
+    return list(zip(starts, [*starts[1:], n]))
 
 
-def fold_rows(timeline: Timeline, step: Step, schema: str) -> DataFrame:
-    """Apply a step that depends on its own earlier output.
+def fold_rows(timeline: Timeline, step: Step, added: str, reads: list[str] = ()) -> DataFrame:
+    """Apply a step that depends on its own earlier output; adds the columns `added` ("name type, ..").
 
     Rows are shuffled by key, sorted by Spark and streamed through in Arrow batches, many
     keys to a batch; the state passes from batch to batch, so a key need not fit in memory.
+    The step sees keys, order and `reads`; all other columns stay in Arrow as they are.
     """
     keys = timeline.keys
+    seen = list(dict.fromkeys([*keys, *timeline.order, *reads]))
+    names = [field.split()[0] for field in added.split(",")]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = state = None
-        for pdf in frames:
-            if pdf.empty:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            columns = {c: pdf[c].to_numpy() for c in pdf.columns}
-            taken, added = [], defaultdict(list)
-            for a, b in _runs(pdf, keys):
+            columns = {c: batch.column(c).to_pandas().to_numpy() for c in seen}
+            taken, new_columns = [], defaultdict(list)
+            for a, b in _runs(columns, keys, batch.num_rows):
                 key = _plain(tuple(columns[k][a] for k in keys))
                 if key != held:
                     held, state = key, None
                 keep, new, state = step({c: v[a:b] for c, v in columns.items()}, state)
                 taken.append(np.arange(a, b) if keep is None else keep + a)
-                for name, v in new.items():
-                    added[name].append(v)
-            out = pdf.take(np.concatenate(taken))
-            yield out.assign(**{name: np.concatenate(v) for name, v in added.items()})
-
-    ordered = timeline.df.repartition(*keys).sortWithinPartitions(*keys, *timeline.order)
-    return ordered.mapInPandas(run, schema)
+                for name in names:
+                    new_columns[name].append(new[name])
+            out = batch.take(pa.array(np.concatenate(taken), type=pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*out.columns, *[pa.array(np.concatenate(new_columns[n])) for n in names]], names=[*out.schema.names, *names])
+
+    rows = timeline.df
+    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(added).fields])
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *timeline.order).mapInArrow(run, schema)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from opsweave.functions import severity as sev
 from opsweave.functions.text import cut, display_text
 from opsweave.operators.change import unclean_sessions
-from opsweave.operators.events import Instant, at
+from opsweave.functions.times import Instant, at, utc_day
 from opsweave.operators.timeline import Timeline
 from opsweave.plans.enrich import Generate, analyze, briefing_prompt
 from opsweave.sources.logs import log_tail
@@ -32,7 +32,7 @@ def last_day(events: DataFrame, as_of: Instant) -> DataFrame:
     end = at(as_of)
     cond = (F.col("ts") >= end - F.expr("INTERVAL 24 HOURS")) & (F.col("ts") <= end)
     if "event_date" in events.columns:
-        cond = cond & F.col("event_date").between(F.date_sub(F.to_date(end), 1), F.to_date(end))
+        cond = cond & F.col("event_date").between(F.date_sub(utc_day(end), 1), utc_day(end))
     return events.where(cond)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from opsweave.functions.severity import priority_to_severity
 from opsweave.functions.text import display_text, journal_raw, package_summary, strip
+from opsweave.functions.times import utc_stamp
 from opsweave.operators.timeline import Timeline
 from opsweave.schemas import JOURNAL_JSON
 
@@ -164,7 +165,7 @@ def log_line(events: DataFrame) -> DataFrame:
                        display_text(F.col("summary"), F.col("raw_data"), 200))
     short = F.when(F.length(message) > LINE_LIMIT,
                    F.concat(F.substring(message, 1, LINE_LIMIT), F.lit("..."))).otherwise(message)
-    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
+    stamp = utc_stamp(F.col("ts"))
     return events.select("host", "id", F.concat_ws(" ", stamp, F.upper("severity"), "source", short).alias("line"))
 
 

@@ -31,9 +31,9 @@ def _in_order(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
 
 
 class _Cooldown(StatefulProcessor):
-    """Last emission, rows since, and last row of one fingerprint; forgotten after `keep_ms` of event time."""
+    """Last emission, rows since, and last row of one fingerprint; forgotten after `keep_ms` of event time if given."""
 
-    def __init__(self, params: DedupParams, keep_ms: int):
+    def __init__(self, params: DedupParams, keep_ms: int | None):
         self.gap, self.keep_ms = round(params.cooldown * MICROS), keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -55,7 +55,7 @@ class _Cooldown(StatefulProcessor):
         else:
             since += len(us)
         self.state.update((last, since, int(us[-1])))
-        if not known:
+        if not known and self.keep_ms is not None:
             self.handle.registerTimer(int(us[-1]) // 1000 + self.keep_ms)
         yield pdf.iloc[kept].assign(suppressed_count=pd.Series(counts, dtype="int64").to_numpy())
 
@@ -121,12 +121,16 @@ def _widen(out: DataFrame) -> DataFrame:
     return out.withColumn("ts", F.timestamp_micros("us")).drop("us")
 
 
-def dedup_stream(stream: DataFrame, params: DedupParams = DedupParams(), keep_hours: float = 24,
+def dedup_stream(stream: DataFrame, params: DedupParams = DedupParams(), keep_hours: float | None = None,
                  delay: str = "10 minutes") -> DataFrame:
-    """Emitted rows, keyed by fingerprint; a fingerprint unseen for `keep_hours` is forgotten."""
+    """Emitted rows, keyed by fingerprint, decided as in batch.
+
+    State is one small record per fingerprint. With `keep_hours` one unseen for so long is
+    forgotten and counts as first again, which bounds the state and is not what batch does.
+    """
     rows = _narrow(stream.withWatermark("ts", delay))
     out = rows.groupBy(*FP).transformWithStateInPandas(
-        statefulProcessor=_Cooldown(params, int(keep_hours * 3_600_000)),
+        statefulProcessor=_Cooldown(params, None if keep_hours is None else int(keep_hours * 3_600_000)),
         outputStructType=f"{_types(rows, rows.columns)}, suppressed_count long",
         outputMode="Append", timeMode="EventTime")
     return _widen(out)

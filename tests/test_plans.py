@@ -181,16 +181,52 @@ def test_hooks(spark):
     calls = spark.sparkContext.accumulator(0)
     feeds.on_event(lambda row: calls.add(1))(events(spark, (0,), (0,)), 0)
     assert calls.value == 2
-    past = events(spark, (0.5, "disk_alert", "critical"), (0, "snapshot", "warning"), (0, "snapshot", "critical"))
-    fresh = past.where("id > 0")
-    moves = feeds.status_changes(fresh, lambda: past.where("id = 0"))
-    assert sorted((r["id"], r["old"], r["new"]) for r in moves.collect()) == [
-        (1, "healthy", "degraded"), (2, "degraded", "critical")]
     changed = spark.sparkContext.accumulator(0)
-    feeds.on_status_change(lambda host, old, new: changed.add(1), lambda: past)(fresh, 0)
+    moves = spark.createDataFrame([("h", "healthy", "degraded"), ("h", "degraded", "critical")], "host string, old string, new string")
+    feeds.on_status_change(lambda host, old, new: changed.add(1))(moves, 0)
     assert changed.value == 2
 
 
+def test_stream_names_have_one_owner(spark, tmp_path):
+    path = str(tmp_path / "events")
+    feeds.store_sink(spark, path, "a", "checkpoint-1")(events(spark, (0,)), 0)
+    feeds.store_sink(spark, path, "b", "checkpoint-2")(events(spark, (0,)), 0)
+    feeds.store_sink(spark, path, "a", "checkpoint-1")
+    with pytest.raises(ValueError):
+        feeds.store_sink(spark, path, "a", "checkpoint-3")
+    assert scan_events(spark, path).count() == 2
+
+
+def test_days_do_not_depend_on_the_session(spark, tmp_path):
+    path, zone = str(tmp_path / "events"), spark.conf.get("spark.sql.session.timeZone")
+    late = spark.sql("SELECT 1L AS id, 'h' AS host, timestamp_micros(1774567800000000) AS ts, 'snapshot' AS type, "
+                     "'info' AS severity, 's' AS source")  # 2026-03-26 23:30 UTC
+    try:
+        for name in ("America/New_York", "Asia/Tokyo", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            store.append_events(late, path, name[:2])
+        for name in ("Asia/Tokyo", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            assert ev.events_since(scan_events(spark, path), "2026-03-26 23:00:00").count() == 3
+            assert ev.feed(late.withColumns({"summary": F.lit("x"), "raw_data": F.lit("y")})).first()["time"] == "23:30"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_equal_rows_are_told_apart(spark):
+    two = spark.createDataFrame([("h", NOW, "log_anomaly", "j", "same")] * 3, "host string, ts timestamp, type string, source string, raw_data string")
+    assert store.with_event_id(two).select("id").distinct().count() == 3
+
+
+def test_status_of_a_quiet_host(spark, tmp_path):
+    dedup.use_rocksdb(spark)
+    df = spark.createDataFrame(
+        [(1, "h", NOW, "critical"), (2, "k", NOW + timedelta(hours=1), "info"), (3, "h", NOW + timedelta(hours=5), "info")],
+        "id long, host string, ts timestamp, severity string")
+    out = run_stream(feeds.status_changes(stream_of(spark, df, tmp_path / "in")), "out", tmp_path)
+    assert sorted((r["id"], r["old"], r["new"]) for r in out.collect()) == [(1, "healthy", "critical"), (3, "critical", "healthy")]
+
+
 def stream_of(spark, df, folder, parts=3):
     """The rows as files in time order, read one per micro-batch."""
     rows = df.orderBy("ts", df.columns[0]).collect()
