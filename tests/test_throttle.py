@@ -1,7 +1,6 @@
 """Cooldown, repeat suppression and trends."""
 
 import random
-from collections import defaultdict, deque
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -24,35 +23,32 @@ def actions(df):
     return [(r["action"], r["suppressed_count"]) for r in df.orderBy("id").collect()]
 
 
-def fold_reference(seq, p):
-    """The decision rules written as one plain loop over the rows of a host, per source."""
-    states, rate, pruned, out = defaultdict(dict), defaultdict(deque), {}, []
-    for t, fp, src in seq:
-        known, q = states[src], rate[src]
-        if src not in pruned or t - pruned[src] >= 2 * p.baseline:
-            pruned[src] = t
-            for k in [k for k, s in known.items() if s["seen"] < t - 2 * p.baseline]:
-                del known[k]
-        while q and q[0] < t - p.period:
-            q.popleft()
-        free = len(q) < p.max_per_period
-        s = known.get(fp)
-        if s is None:
-            known[fp] = {"count": 1, "seen": t, "emitted": t if free else None}
-            out.append(("emit" if free else "suppress", 0))
-            if free:
-                q.append(t)
-            continue
-        s["count"] += 1
-        s["seen"] = t
-        due = s["emitted"] is None or t - s["emitted"] >= min(p.window, p.baseline)
-        if free and due:
-            out.append(("emit", s["count"] - 1))
-            s["emitted"], s["count"] = t, 1
-            q.append(t)
+def from_history(seq, p):
+    """Each row's decision, worked out anew from all rows before it and from what they were decided."""
+    cooldown, forget = min(p.window, p.baseline), 2 * p.baseline
+    decided = []
+    for i, (t, fp, src) in enumerate(seq):
+        mates = [j for j in range(i) if seq[j][2] == src]
+        ticks = []  # the rows of a source at which old fingerprints are forgotten
+        for j in [*mates, i]:
+            if not ticks or seq[j][0] - seq[ticks[-1]][0] >= forget:
+                ticks.append(j)
+        own = [j for j in mates if seq[j][1] == fp]
+        # the rows of the fingerprint since it was last forgotten
+        for k in range(len(own) - 1, -1, -1):
+            later = own[k + 1] if k + 1 < len(own) else i
+            if any(own[k] < c <= later and seq[own[k]][0] < seq[c][0] - forget for c in ticks):
+                own = own[k + 1:]
+                break
+        emitted = [j for j in mates if decided[j][0] == "emit"]
+        free = sum(seq[j][0] >= t - p.period for j in emitted) < p.max_per_period
+        mine = [j for j in own if decided[j][0] == "emit"]
+        if free and (not mine or t - seq[mine[-1]][0] >= cooldown):
+            anchor = mine[-1] if mine else own[0] if own else i
+            decided.append(("emit", sum(j > anchor for j in own) + (anchor < i)))
         else:
-            out.append(("suppress", 0))
-    return out
+            decided.append(("suppress", 0))
+    return decided
 
 
 @pytest.mark.parametrize("params, seq, expected", [
@@ -69,7 +65,7 @@ def test_decisions(spark, params, seq, expected):
 def test_repeats_are_reported(spark):
     seq = [(t, "f", "s") for t in [0, *range(1, 51), 61]]
     got = actions(throttle.dedup_decisions(rows(spark, seq), DedupParams(window=10, baseline=60)))
-    assert got == fold_reference(seq, DedupParams(window=10, baseline=60, max_per_period=1000))
+    assert got == from_history(seq, DedupParams(window=10, baseline=60, max_per_period=1000))
     assert got[-1] == ("emit", got[-1][1]) and got[-1][1] > 0
 
 
@@ -91,19 +87,19 @@ def random_rows(seed, n=400, gap=8):
 @pytest.mark.parametrize("p", [DedupParams(20, 50, 3, 15), DedupParams(40, 10, 2, 30), DedupParams(5, 100, 50, 10)])
 def test_rate_limited_matches_fold(spark, seed, p):
     seq = random_rows(seed)
-    assert actions(throttle.dedup_rate_limited(rows(spark, seq), p)) == fold_reference(seq, p)
+    assert actions(throttle.dedup_rate_limited(rows(spark, seq), p)) == from_history(seq, p)
 
 
 def test_rate_limited_over_buckets(spark, narrow_buckets):
     p, seq = DedupParams(20, 50, 3, 15), random_rows(3, n=150)
-    assert actions(throttle.dedup_rate_limited(rows(spark, seq), p)) == fold_reference(seq, p)
+    assert actions(throttle.dedup_rate_limited(rows(spark, seq), p)) == from_history(seq, p)
 
 
 def test_cooldown_of_even_cadence(spark):
     """A dense key whose phase never settles."""
     p = DedupParams(window=10, baseline=300, max_per_period=10 ** 6)
     seq = [(3 * i, "f", "s") for i in range(100)]
-    assert actions(throttle.dedup_decisions(rows(spark, seq), p)) == fold_reference(seq, p)
+    assert actions(throttle.dedup_decisions(rows(spark, seq), p)) == from_history(seq, p)
 
 
 def test_throttle_keeps_greedily(spark):
