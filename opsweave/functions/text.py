@@ -89,8 +89,22 @@ def cut(text: Column, n: int) -> Column:
 
 
 def fixed(number: Column, digits: int) -> Column:
-    """A number as text with a fixed number of decimals, ties to even."""
-    return F.format_string(f"%.{digits}f", F.bround(number.cast("double"), digits))
+    """A number as text with a fixed number of decimals: its exact binary value rounded, ties to even.
+
+    Whether a number lies above or below the middle between two texts is told without a rounding error:
+    it is split into two halves whose products with a small integer are exact.
+    """
+    x = F.abs(number.cast("double"))
+    power = 10 ** digits
+    below = F.floor(x * power)  # may be one too large where the product is rounded up; the rest says so
+    wide = x * 134217729.0  # 2 ** 27 + 1 cuts a double into halves
+    high = wide - (wide - x)
+    rest = (high * (2 * power) - (2 * below + 1)) + (x - high) * (2 * power)
+    units = F.when(rest > 0, below + 1).when(rest < 0, below).otherwise(below + below % 2)
+    shown = units.cast("string") if digits == 0 else F.concat(
+        F.floor(units / power).cast("string"), F.lit("."), F.lpad((units % power).cast("string"), digits, "0"))
+    signed = F.concat(F.when(number < 0, "-").otherwise(""), shown)
+    return F.when(x < 2.0 ** 40, signed).otherwise(F.format_string(f"%.{digits}f", number.cast("double")))
 
 
 def package_summary(name: Column, action: Column, old: Column, new: Column) -> Column:

@@ -1,6 +1,7 @@
 """Severities, text normalisation and evidence truth tables."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,7 +76,7 @@ def test_builders(spark):
         text.journal_raw(lit("u"), lit(3), lit("m"), lit(2)), text.journal_raw(lit("u"), lit(3), lit("m"), lit(0)),
     ).first()
     assert list(got) == ["linux upgraded (1 -> 2)", "x upgraded (1)", "x removed",
-                         "cpu falling at 2.34/hour (current: 50.0)", "[id=1] [info] s: raw",
+                         "cpu falling at 2.35/hour (current: 50.0)", "[id=1] [info] s: raw",
                          "<log_content>\n{a}\n</log_content>", "foo", "unknown",
                          "unit=u priority=3 msg=m [+2 suppressed]", "unit=u priority=3 msg=m"]
 
@@ -112,3 +113,13 @@ def test_validate(spark):
     again = df.select("doc_id", evidence.reformat_evidence(F.col("text"), "LLM analysis").alias("text"))
     assert [r["x"] for r in again.select(evidence.all_sourced(F.col("text")).alias("x")).collect()] == [True] * 3
     assert "Memory high [Source: LLM analysis]\n---" in again.where("doc_id = 1").first()["text"]
+
+
+@pytest.mark.parametrize("digits", [0, 1, 2])
+def test_fixed_is_exact(spark, digits):
+    rng = random.Random(digits)
+    values = [0.0, 0.05, 0.15, 0.25, 0.35, 0.5, 1.5, 2.5, 2.675, 100.35, 147.35, 1e-9, 0.95, 0.995, 9.995, 99.95, 12345678.125, -0.3,
+              -2.5, 1e13, 4503599627370497.5]
+    values += [rng.randrange(10 ** 6) / 1000 for _ in range(300)] + [rng.random() * 10 ** rng.randrange(9) for _ in range(200)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", text.fixed(F.col("v"), digits).alias("t"))
+    assert [(r["v"], r["t"]) for r in df.collect()] == [(v, f"{v:.{digits}f}") for v in values]
