@@ -117,8 +117,8 @@ def with_next(rows: DataFrame, key: str, carried: list[str]) -> DataFrame:
     comes first in its range and is put, once more, behind the rows of the range before it:
     so no range needs another, and none is larger than its share of the rows.
     """
-    ranges = partitions(rows.sparkSession)
-    cuts = rows.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)] or [0.5], max(10_000, 100 * ranges)).alias("c"),
+    ranges = 4 * partitions(rows.sparkSession)  # several to a partition even out
+    cuts = rows.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)] or [0.5], max(10_000, 20 * ranges)).alias("c"),
                     F.max(key).alias("m")).first()
     borders = sorted({*(cuts["c"] or []), *([cuts["m"]] if cuts["m"] is not None else [])}, reverse=True)
     kind = rows.schema[key].dataType.simpleString()
