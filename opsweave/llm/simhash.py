@@ -113,12 +113,43 @@ def links_by_segments(prints: DataFrame, hashes: int, max_bits: int, nodes: int,
     return both.where(bits <= max_bits).select("u", "v")
 
 
+def alike(docs: DataFrame, links: DataFrame, key: str, text: str, words: int, least: float) -> DataFrame:
+    """The links (u, v) whose texts share at least `least` of their distinct shingles (Jaccard), compared in full.
+
+    Only texts at an end of a link are cut into shingles; what is joined are sets of 32-bit hashes.
+    """
+    ends = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct()
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pd.DataFrame({"node": pdf["node"], "grams": [
+                np.unique(np.fromiter(map(xxhash.xxh32_intdigest, shingles(t, words)), dtype="<u4")).tobytes() for t in pdf["text"]]})
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            close = []
+            for a, b in zip(pdf["a"], pdf["b"]):
+                x, y = np.frombuffer(a, dtype="<u4"), np.frombuffer(b, dtype="<u4")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                close.append(both >= least * (len(x) + len(y) - both))
+            yield pdf.loc[close, ["u", "v"]]
+
+    kind = links.schema["u"].dataType.simpleString()
+    texts = docs.select(F.col(key).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    sets = (texts.join(ends, "node", "left_semi").mapInPandas(cut, f"node {kind}, grams binary")
+            .groupBy("node").agg(F.max("grams").alias("grams")))  # rows may repeat a key
+    sets = written(sets, "shingles")
+    both = (links.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("a")), "u")
+            .join(sets.select(F.col("node").alias("v"), F.col("grams").alias("b")), "v").select("u", "v", "a", "b"))
+    return both.mapInPandas(compare, f"u {kind}, v {kind}")
+
+
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, hashes: int = 1,
-                max_bits: int = 2) -> DataFrame:
+                max_bits: int = 2, least: float | None = None) -> DataFrame:
     """key, fp (array of longs), component_id of every row.
 
-    Rows are linked if their fingerprints differ in at most `max_bits` bits, and component_id is the smallest
-    key that can be reached by links. With one hash and 2 bits all links count; with
+    Rows are linked if their fingerprints differ in at most `max_bits` bits and, where `least` is given, their texts
+    share so much of their shingles; component_id is the smallest key that can be reached by links. With one hash and 2 bits all links count; with
     more, see :func:`links_by_segments`. Equal fingerprints are one node, however many rows
     have them. Null and empty texts have fingerprint zero and are linked like any other. Rows
     with a null key belong to the component of their fingerprint, and have none (null)
@@ -132,6 +163,9 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
         links = links_within_two(known)
     else:
         links = links_by_segments(known, hashes, max_bits, known.count())
+    if least is not None:
+        links = written(links, "candidates")
+        links = alike(docs, links, key, text, words, least)
     roots = components(links)
     rooted = (nodes.join(roots, "node", "left")
               .select("fp", F.coalesce("root", "node").alias("component_id")))
@@ -139,12 +173,12 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
 
 
 def drop_near(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, hashes: int = 4,
-              max_bits: int = 44) -> DataFrame:
+              max_bits: int = 56, least: float = 0.8) -> DataFrame:
     """The rows of `docs` that stay when each group of near copies keeps its row with the smallest key.
 
-    Rows with a null key stay. 44 of 256 bits is what texts differ in that share 0.8 of
-    their five-word shingles (39 on average, 6 the standard deviation).
+    Near copies share `least` of their shingles of `words` words. Texts that share 0.8 differ in 39
+    of 256 bits on average with a standard deviation of 6, so 56 bits let hardly any of them go. Rows with a null key stay.
     """
-    gone = (near_groups(docs, key, text, words, hashes, max_bits).where(F.col(key) > F.col("component_id"))
+    gone = (near_groups(docs, key, text, words, hashes, max_bits, least).where(F.col(key) > F.col("component_id"))
             .select(F.col(key).alias("_gone")).distinct())
     return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
