@@ -183,5 +183,6 @@ def reboot_events(df: DataFrame, sentinel: str = "/run/reboot-required") -> Data
 
 def unclean_sessions(sessions: DataFrame) -> DataFrame:
     """(host, ts, state) rows with state 'booted' that follow another 'booted': a crash between."""
-    return (Timeline(sessions, ["host"], ["ts"]).carry({"previous_state": F.col("state")}).df
+    order = ["ts", "session"] if "session" in sessions.columns else ["ts", "state"]
+    return (Timeline(sessions, ["host"], order).carry({"previous_state": F.col("state")}).df
             .where((F.col("state") == "booted") & (F.col("previous_state") == "booted")))

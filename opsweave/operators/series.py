@@ -57,12 +57,16 @@ def slope_limit(metric: Column) -> Column:
     return out
 
 
+#: Configured metrics that are broadcast at most, some 2 MB.
+BROADCAST_METRICS = 20_000
+
+
 def with_thresholds(samples: DataFrame, configured: DataFrame | None = None,
                     explicit: float | None = None, default: Column | None = None) -> DataFrame:
     """Adds `threshold`: the explicit value, else the configured one for the metric, else `default`.
 
-    configured: (metric, threshold), one row per metric; joined without a broadcast hint,
-    as a fleet may configure any number of metrics.
+    configured: (metric, threshold). Up to BROADCAST_METRICS metrics are broadcast; more, which
+    makes a metric's samples few, are joined by shuffle.
     """
     fallback = F.lit(None).cast("double") if default is None else default
     if explicit is not None:
@@ -70,7 +74,8 @@ def with_thresholds(samples: DataFrame, configured: DataFrame | None = None,
     if configured is None:
         return samples.withColumn("threshold", fallback)
     dim = configured.groupBy("metric").agg(F.max("threshold").alias("_configured"))
-    return (samples.join(dim, "metric", "left")
+    few = dim.limit(BROADCAST_METRICS + 1).count() <= BROADCAST_METRICS
+    return (samples.join(F.broadcast(dim) if few else dim, "metric", "left")
             .withColumn("threshold", F.coalesce("_configured", fallback)).drop("_configured"))
 
 

@@ -63,22 +63,30 @@ def rule_analyzer(prompt: str, system: str = "", temperature: float = 0.0) -> st
 
 def analyze(prompts: DataFrame, generate: Generate = rule_analyzer, system: str = SYSTEM_PROMPT,
             temperature: float = 0.0) -> DataFrame:
-    """Adds `response`, one analyzer call per prompt; null where the analyzer fails or has none.
+    """Adds `response`, one analyzer call per prompt, null where the analyzer fails or has none, and
+    `error`, what it raised; an unavailable analyzer means fallback summaries, not a failed job.
 
     Every use of the result calls the analyzer again: write it to a table to use it twice.
     """
-    def call(prompt: str) -> str | None:
+    def call(prompt: str) -> tuple[str | None, str | None]:
         try:
-            return generate(prompt, system, temperature)
-        except Exception:  # an unavailable analyzer means fallback summaries, not a failed job
-            return None
+            return generate(prompt, system, temperature), None
+        except Exception as e:
+            return None, f"{type(e).__name__}: {e}"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pdf.assign(response=pd.Series([call(p) for p in pdf["prompt"]], dtype=object, index=pdf.index))
+            said = [call(p) for p in pdf["prompt"]]
+            yield pdf.assign(**{name: pd.Series([s[i] for s in said], dtype=object, index=pdf.index)
+                                for i, name in enumerate(("response", "error"))})
 
     fields = ", ".join(f"`{n}` {t}" for n, t in prompts.dtypes)
-    return prompts.mapInPandas(run, f"{fields}, response string")
+    return prompts.mapInPandas(run, f"{fields}, response string, error string")
+
+
+def analyzer_failures(responses: DataFrame) -> DataFrame:
+    """How many calls failed, by error."""
+    return responses.where(F.col("error").isNotNull()).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
 
 
 def parsed_responses(responses: DataFrame) -> DataFrame:

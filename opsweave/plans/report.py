@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from opsweave.functions import severity as sev
 from opsweave.functions.text import cut, display_text
-from opsweave.operators.change import unclean_sessions
 from opsweave.functions.times import Instant, at, utc_day
 from opsweave.operators.timeline import Timeline
 from opsweave.plans.enrich import Generate, analyze, briefing_prompt
@@ -110,7 +109,7 @@ def briefing(events: DataFrame, as_of: Instant, generate: Generate | None = None
                        F.coalesce("summary", F.lit(QUIET_PLAIN)).alias("summary")))
     if generate is not None:
         out = (analyze(out.withColumn("prompt", briefing_prompt(F.col("raw_data"))), generate, temperature=0.3)
-               .withColumn("summary", F.coalesce("response", "summary")).drop("prompt", "response"))
+               .withColumn("summary", F.coalesce("response", "summary")).drop("prompt", "response", "error"))
     return out.select("host", at(as_of).alias("ts"), F.lit("briefing").alias("type"), F.lit("info").alias("severity"),
                       F.lit("scheduler").alias("source"), "total", "raw_data", "summary")
 
@@ -141,8 +140,9 @@ def crash_report(sessions: DataFrame, lines: DataFrame, n: int = 200) -> DataFra
 
     sessions(host, session, ts, state); lines(host, session, line_no, line).
     """
-    named = Timeline(sessions, ["host"], ["ts"]).carry({"crashed": F.col("session")}).df
-    crashed = unclean_sessions(named.select("host", "session", "ts", "state", "crashed"))
+    before = Timeline(sessions, ["host"], ["ts", "session"]).carry({"crashed": F.col("session"), "previous_state": F.col("state")}).df
+    crashed = (before.where((F.col("state") == "booted") & (F.col("previous_state") == "booted"))
+               .select("host", "session", "ts", "state", "crashed", "previous_state"))
     wanted = lines.join(crashed.select("host", F.col("crashed").alias("session")).distinct(), ["host", "session"],
                         "left_semi")
     tail = log_tail(wanted, n)

@@ -88,17 +88,13 @@ def non_empty_message(entries: DataFrame) -> DataFrame:
 def startup_grace(entries: DataFrame, starts: DataFrame, seconds: float = 10.0) -> DataFrame:
     """Within the grace period after a session start (host, start_ts) keep only priority <= 2.
 
-    A session's grace is matched through the whole-second slots it covers, an equi-join
-    instead of a range join.
+    Starts are rows among the entries: what decides is the last start at or before an entry.
     """
-    slots = starts.select("host", "start_ts", F.explode(F.sequence(
-        F.unix_seconds("start_ts"), F.unix_seconds("start_ts") + F.lit(int(seconds) + 1))).alias("_slot"))
-    latest = slots.groupBy("host", "_slot").agg(F.collect_set("start_ts").alias("_starts"))
-    rows = entries.withColumn("_slot", F.unix_seconds("ts")).join(latest, ["host", "_slot"], "left")
-    us = F.unix_micros("ts")
-    in_grace = F.exists(F.coalesce("_starts", F.array().cast("array<timestamp>")),
-                        lambda s: (us >= F.unix_micros(s)) & (us - F.unix_micros(s) < round(seconds * 1e6)))
-    return rows.where(~in_grace | (F.col("priority") <= 2)).drop("_slot", "_starts")
+    begun = starts.select("host", F.col("start_ts").alias("ts"), F.lit(0).alias("_kind"))
+    both = entries.withColumn("_kind", F.lit(1)).unionByName(begun, allowMissingColumns=True)
+    rows = Timeline(both, ["host"], ["ts", "_kind"]).carry({"_start": F.when(F.col("_kind") == 0, F.unix_micros("ts"))}).df
+    in_grace = F.coalesce(F.unix_micros("ts") - F.col("_start") < round(seconds * 1e6), F.lit(False))
+    return rows.where((F.col("_kind") == 1) & (~in_grace | (F.col("priority") <= 2))).drop("_kind", "_start")
 
 
 def journal_filter(raw_lines: DataFrame, units: list[str] | None = None, idents: list[str] | None = None,
@@ -170,10 +166,9 @@ def log_line(events: DataFrame) -> DataFrame:
 
 
 def log_tail(lines: DataFrame, n: int = 200, keys: tuple[str, ...] = ("host", "session")) -> DataFrame:
-    """The last `n` lines of each session, oldest first; each task trims to n before the shuffle."""
+    """The last `n` lines of each session, in no order; each task trims to n before the shuffle."""
     newest = Window.partitionBy(*keys).orderBy(F.desc("line_no"))
-    return (lines.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= n).drop("_r")
-            .orderBy(*keys, "line_no"))
+    return lines.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= n).drop("_r")
 
 
 def log_lines_schema() -> T.StructType:

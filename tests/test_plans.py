@@ -90,6 +90,8 @@ def test_enrichment(spark):
     def down(prompt, system, temperature):
         raise OSError("down")
     assert enrich.enrich(df, down).where("summary is null").count() == 0
+    failed = enrich.analyze(enrich.batch_prompts(enrich.in_batches(df)), down)
+    assert [tuple(r) for r in enrich.analyzer_failures(failed).collect()] == [("OSError: down", failed.count())]
     assert enrich.enrich(df, available=False).where("summary is null").count() == 3
 
 
