@@ -125,6 +125,7 @@ class Templates:
     """The grams of all templates, numbered, and which template has which."""
 
     def __init__(self, templates: list[tuple[str, str]] = TEMPLATES):
+        self.items = templates
         self.families = sorted({f for f, _ in templates})
         self.family_of = [self.families.index(f) for f, _ in templates]
         self.sets = [grams(tokens(t)) for _, t in templates]
@@ -188,7 +189,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: T
     spark = docs.sparkSession
     known = len(templates.families)
     rows = [(float(known), grams(tokens(s))) for s in UNRELATED]
-    for (family, template) in TEMPLATES:
+    for family, template in templates.items:
         label = float(templates.families.index(family))
         words = tokens(template)
         spans = [words[i:i + 12] for i in range(0, max(1, len(words) - 6), 4)] if len(words) > 16 else []

@@ -36,6 +36,7 @@ class LineRuns:
     spark: SparkSession
     fanout: int = 2
     levels: list[list[DataFrame]] = field(default_factory=list)
+    names: list[str] = field(default_factory=list)
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
@@ -44,14 +45,14 @@ class LineRuns:
         """Add a batch of (digest, doc_id) line occurrences that all come after the earlier batches."""
         mine = batch.groupBy("digest").agg(F.max("doc_id").alias("first_doc"),
                                            F.count_distinct("doc_id").alias("n_docs"))
-        fresh, again = mine, None
-        for run in self.runs():
-            known = run.where("first_doc is not null").select("digest")
-            fresh = fresh.join(known.hint("merge"), "digest", "left_anti")
         if self.runs():
-            marked = mine.join(fresh.select("digest", F.lit(True).alias("fresh")).hint("merge"), "digest", "left")
-            again = marked.select("digest", F.when(F.col("fresh"), F.col("first_doc")).alias("first_doc"), "n_docs")
-        self._put(0, mine if again is None else again)
+            fresh = mine.select("digest", F.lit(True).alias("fresh"))
+            for run in self.runs():
+                known = run.where("first_doc is not null").select("digest")
+                fresh = fresh.join(known.hint("merge"), "digest", "left_anti")
+            mine = mine.join(fresh.hint("merge"), "digest", "left").select(
+                "digest", F.when(F.col("fresh"), F.col("first_doc")).alias("first_doc"), "n_docs")
+        self._put(0, mine)
 
     def _put(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
@@ -66,11 +67,18 @@ class LineRuns:
         name, n = f"line_run_{uuid.uuid4().hex}", partitions(self.spark)
         (run.repartition(n, "digest").write.bucketBy(n, "digest").sortBy("digest")
          .option("path", new_path(self.spark, "run")).saveAsTable(name))
+        self.names.append(name)
         return self.spark.table(name)
 
     def totals(self) -> DataFrame:
         return merge_runs(self.runs())
 
+    def forget(self) -> None:
+        """Take the runs' names out of the catalog; their files stay in the shared folder."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.levels, self.names = [], []
+
 
 def merge_runs(runs: list[DataFrame]) -> DataFrame:
     union = runs[0]
@@ -115,6 +123,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     for number in range(batches):
         index.add(cut.where(F.col("batch") == number))
     common = written(index.totals().where(F.col("n_docs") >= min_docs).select("digest", "first_doc"), "common")
+    index.forget()
     dropped = (cut.select("row", "doc_id", "pos", "digest").join(common, "digest")
                .where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
                .groupBy("row").agg(F.collect_set("pos").alias("dropped")))
