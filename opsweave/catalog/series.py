@@ -6,7 +6,7 @@ from opsweave.catalog import EV, SAMPLES, query, us
 from opsweave.config import DedupParams, LevelParams, TrendParams
 from opsweave.functions.text import fingerprint
 from opsweave.operators import series, status, throttle
-from opsweave.sources.tables import metric_samples, sample_events, table
+from opsweave.sources.tables import metric_samples, sample_events
 
 TREND = TrendParams(alpha=0.1, window=20, cooldown=6 * 3600)
 DEDUP = DedupParams(window=3600, baseline=18000, max_per_period=3, period=3600)
