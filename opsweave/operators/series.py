@@ -92,8 +92,7 @@ def _trend_step(params: TrendParams):
     def step(rows: Columns, state):
         us = rows["us"]
         last, tail = state or (float(rows["value"][0]), [])
-        seeded = pd.Series(np.concatenate(([last], rows["value"])))
-        ema = seeded.ewm(alpha=params.alpha, adjust=False).mean().to_numpy()[1:]
+        ema = _averages(last, rows["value"], params)
         y = np.concatenate(([e for _, e in tail], ema))
         t = np.concatenate([np.array([u for u, _ in tail], dtype=np.int64), us])
         slope = np.full(len(y), np.nan)
@@ -109,6 +108,38 @@ def _trend_step(params: TrendParams):
     return step
 
 
+#: Runs of so few samples are carried as they are, which spares the rounding of a composition.
+SHORT_RUN = 64
+
+
+def _averages(before: float, value: np.ndarray, params: TrendParams) -> np.ndarray:
+    return pd.Series(np.concatenate(([before], value))).ewm(alpha=params.alpha, adjust=False).mean().to_numpy()[1:]
+
+
+def trend_summary_of(rows: Columns, params: TrendParams) -> list:
+    """What a run of samples does to any average y: the samples of a short run; of others the first value, and for
+    the last samples, as many as a window needs, time, offset and factor of the average offset + factor * y."""
+    value, tail = rows["value"], params.window - 1
+    if len(value) <= SHORT_RUN:
+        return [rows["us"].tolist(), value.tolist()]
+    offset = _averages(0.0, value, params)[-tail:]
+    factor = (1 - params.alpha) ** np.arange(len(value) - len(offset) + 1, len(value) + 1)
+    return [float(value[0]), rows["us"][-tail:].tolist(), offset.tolist(), factor.tolist()]
+
+
+def after_trend(summary: list, state: list | None, params: TrendParams) -> list:
+    """[average, last (time, average) pairs] after a run."""
+    if len(summary) == 2:
+        us, value = summary
+        before, kept = state or (value[0], [])
+        ends = list(map(list, zip(us, _averages(before, np.array(value), params).tolist())))
+    else:
+        first, us, offset, factor = summary
+        before, kept = state or (first, [])
+        ends = [[t, o + f * before] for t, o, f in zip(us, offset, factor)]
+    return [ends[-1][1], [*kept, *ends][-(params.window - 1):]]
+
+
 def trend(samples: DataFrame, params: TrendParams = TrendParams()) -> DataFrame:
     """Each sample with its running average `ema` and `slope` per hour.
 
@@ -119,8 +150,9 @@ def trend(samples: DataFrame, params: TrendParams = TrendParams()) -> DataFrame:
     """
     narrow = samples.where(F.col("value").isNotNull()).select(
         *SERIES, F.unix_micros("ts").alias("us"), F.col("value").cast("double").alias("value"))
-    out = Timeline(narrow, SERIES, ["us", "value"]).fold(
-        _trend_step(params), "ema double, slope double")
+    out = Timeline(narrow, SERIES, ["us", "value"]).split_fold(
+        _trend_step(params), "ema double, slope double", lambda rows: trend_summary_of(rows, params),
+        lambda summary, state: after_trend(summary, state, params))
     return out.select(*SERIES, F.timestamp_micros("us").alias("ts"), "value", "ema",
                       F.when(~F.isnan("slope"), F.col("slope")).alias("slope"))
 

@@ -1,12 +1,12 @@
 """Greedy cooldowns and repeat suppression.
 
 Whether a row is kept depends on which earlier rows were kept, which no window
-function can say; each operator here is a fold over the narrow columns of one key
-(see `timeline`), and wide rows are joined back afterwards.
+function can say; each operator here is a fold along a key (see `timeline`).
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 
 import numpy as np
@@ -31,6 +31,30 @@ def greedy_kept(ts: np.ndarray, gap: int, last: int | None) -> np.ndarray:
     return np.array(kept, dtype=np.int64)
 
 
+def cooldown_summary(us: np.ndarray, gap: int) -> list:
+    """What a run of rows does to any cooldown: rows, and for the rows at which it can enter (those within a gap
+    of the first, and one after) the last row kept from there and the rows from that on. Entries that
+    end alike are one piece, told by its latest entry time; chains of an irregular series soon merge."""
+    n = len(us)
+    following = np.append(np.searchsorted(us, us + gap, "left") if gap > 0 else np.arange(1, n + 1), n)
+    jumps = [following]
+    while (jumps[-1][:n] < n).any():
+        jumps.append(jumps[-1][jumps[-1]])
+    entries = np.arange(min(int(np.searchsorted(us, us[0] + max(gap, 0), "left")), n - 1) + 1)
+    at = entries
+    for jump in reversed(jumps):  # doubling: as far as the chain goes within the run
+        at = np.where(jump[at] < n, jump[at], at)
+    last_of = np.append(np.flatnonzero(at[1:] != at[:-1]), len(at) - 1)
+    return [n, us[entries[last_of]].tolist(), us[at[last_of]].tolist(), (n - at[last_of]).tolist()]
+
+
+def after_cooldown(summary: list, state: list | None, gap: int) -> list:
+    """[time of the last row kept, rows since, that one included] after a run."""
+    n, entry, last, since = summary
+    piece = 0 if state is None else bisect_left(entry, state[0] + gap)
+    return [state[0], state[1] + n] if piece == len(entry) else [last[piece], since[piece]]
+
+
 def _types(df: DataFrame, columns: list[str]) -> str:
     kinds = dict(df.dtypes)
     return ", ".join(f"`{c}` {kinds[c]}" for c in columns)
@@ -61,8 +85,9 @@ def cooldown_rows(df: DataFrame, keys: list[str], gap: float, ts: str = "ts", ti
         return None, {"repeats": every, "passed": passed}, [last, since]
 
     timed = df.withColumn("_us", F.unix_micros(ts))
-    return Timeline(timed, keys, ["_us", tie]).fold(
-        step, "repeats long" if kept_only else "repeats long, passed boolean").drop("_us")
+    return Timeline(timed, keys, ["_us", tie]).split_fold(
+        step, "repeats long" if kept_only else "repeats long, passed boolean",
+        lambda rows: cooldown_summary(rows["_us"], width), lambda summary, state: after_cooldown(summary, state, width)).drop("_us")
 
 
 def throttle(df: DataFrame, keys: list[str], gap: float, ts: str = "ts", tie: str = "id") -> DataFrame:

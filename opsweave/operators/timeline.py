@@ -8,12 +8,15 @@ leaves behind (a combined aggregate of few columns), carries run through one sma
 the buckets of a key, and come back as one row in front of each bucket's own rows. The
 width of a bucket never changes the result, and the plan is the same at every size.
 
-Folds, whose decisions depend on their own earlier output, stream a key's sorted rows
-through one task in Arrow batches: state is bounded, time is not divided.
+Folds, whose decisions depend on their own earlier output, stream sorted rows through
+tasks in Arrow batches with a state of bounded size. Where what a run of rows does to any
+state can be summed up (`split_fold`), that too goes by (key, bucket): runs are summed up side by
+side, the summaries of a key are composed in order, and every bucket starts from its true state.
 """
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections import defaultdict
@@ -121,6 +124,10 @@ class Timeline:
         """Run `step` along each key; see :func:`fold_rows`."""
         return fold_rows(self, step, added, reads)
 
+    def split_fold(self, step: Step, added: str, summarize: Summarize, advance: Advance, reads: list[str] = ()) -> DataFrame:
+        """Like `fold`, with a key's buckets worked on side by side; see :func:`split_fold`."""
+        return split_fold(self, step, added, summarize, advance, reads)
+
 
 # A step takes the columns of consecutive rows of one key and the state left by the rows
 # before (None at the start of the key). It returns the positions of the rows to put out
@@ -145,15 +152,15 @@ def _runs(columns: Columns, by: list[str], n: int) -> list[tuple[int, int]]:
     return list(zip(starts, [*starts[1:], n]))
 
 
-def fold_rows(timeline: Timeline, step: Step, added: str, reads: list[str] = ()) -> DataFrame:
-    """Apply a step that depends on its own earlier output; adds the columns `added` ("name type, ..").
+# What a run of rows does to any state, as a JSON value, and the state after a run by that value.
+Summarize = Callable[[Columns], Any]
+Advance = Callable[[Any, Any], Any]
 
-    Rows are shuffled by key, sorted by Spark and streamed through in Arrow batches, many
-    keys to a batch; the state passes from batch to batch, so a key need not fit in memory.
-    The step sees keys, order and `reads`; all other columns stay in Arrow as they are.
-    """
-    keys = timeline.keys
-    seen = list(dict.fromkeys([*keys, *timeline.order, *reads]))
+
+def _folded(rows: DataFrame, keys: list[str], order: list[str], step: Step, added: str, reads: list[str],
+            entry: str | None = None) -> DataFrame:
+    """Sorted rows through `step`. With `entry`, a row where REAL is false leads a key and holds its first state."""
+    seen = list(dict.fromkeys([*keys, *[c for c in order if c != REAL], *reads]))
     names = [field.split()[0] for field in added.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,20 +168,87 @@ def fold_rows(timeline: Timeline, step: Step, added: str, reads: list[str] = ())
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = {c: batch.column(c).to_pandas().to_numpy() for c in seen}
-            taken, new_columns = [], defaultdict(list)
+            columns = {c: _values(batch.column(c)) for c in seen}
+            taken, new_columns = [np.array([], dtype=np.int64)], defaultdict(list)
             for a, b in _runs(columns, keys, batch.num_rows):
                 key = _plain(tuple(columns[k][a] for k in keys))
                 if key != held:
                     held, state = key, None
+                if entry and not batch.column(REAL)[a].as_py():
+                    state = json.loads(batch.column(entry)[a].as_py())
+                    a += 1
+                    if a == b:
+                        continue
                 keep, new, state = step({c: v[a:b] for c, v in columns.items()}, state)
                 taken.append(np.arange(a, b) if keep is None else keep + a)
                 for name in names:
                     new_columns[name].append(new[name])
+            if not new_columns:
+                continue
             out = batch.take(pa.array(np.concatenate(taken), type=pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [*out.columns, *[pa.array(np.concatenate(new_columns[n])) for n in names]], names=[*out.schema.names, *names])
 
-    rows = timeline.df
     schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(added).fields])
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *timeline.order).mapInArrow(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def _values(column: pa.Array) -> np.ndarray:
+    """Whole numbers stay whole where the rows that lead a bucket have none."""
+    whole = pa.types.is_integer(column.type) and column.null_count
+    return (column.fill_null(0) if whole else column).to_pandas().to_numpy()
+
+
+def fold_rows(timeline: Timeline, step: Step, added: str, reads: list[str] = ()) -> DataFrame:
+    """Apply a step that depends on its own earlier output; adds the columns `added` ("name type, ..").
+
+    Rows are shuffled by key, sorted by Spark and streamed through in Arrow batches, many
+    keys to a batch; the state passes from batch to batch, so a key need not fit in memory.
+    The step sees keys, order and `reads`; all other columns stay in Arrow as they are.
+    """
+    return _folded(timeline.df, timeline.keys, timeline.order, step, added, list(reads))
+
+
+def split_fold(timeline: Timeline, step: Step, added: str, summarize: Summarize, advance: Advance,
+               reads: list[str] = ()) -> DataFrame:
+    """A fold whose runs of rows can be summed up: no task holds more than the buckets dealt to it.
+
+    One pass over the narrow columns sums up each run of a bucket; the summaries of a key, one
+    per bucket or Arrow batch, are composed in order; the rows then fold from their bucket's entry state.
+    """
+    keys, order = timeline.keys, timeline.order
+    rows = timeline.df.withColumn(BUCKET, bucket_of(timeline.df, order[0], timeline.width))
+    by = [*keys, BUCKET]
+    narrow = rows.select(*dict.fromkeys([*by, *order, *reads]))
+    kinds = {f.name: f for f in narrow.schema.fields}
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, number = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = {c: batch.column(c).to_pandas().to_numpy() for c in kinds}
+            starts, numbers, texts = [], [], []
+            for a, b in _runs(columns, by, batch.num_rows):
+                key = _plain(tuple(columns[k][a] for k in by))
+                held, number = key, number + 1 if key == held else 0
+                starts.append(a)
+                numbers.append(number)
+                texts.append(json.dumps(summarize({c: v[a:b] for c, v in columns.items()})))
+            first = batch.select(by).take(pa.array(starts, type=pa.int64()))
+            yield pa.RecordBatch.from_arrays([*first.columns, pa.array(numbers, type=pa.int64()), pa.array(texts)],
+                                             names=[*by, "_number", "_summary"])
+
+    summaries = narrow.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(
+        summed, T.StructType([*[kinds[c] for c in by], T.StructField("_number", T.LongType()), T.StructField("_summary", T.StringType())]))
+
+    def compose(columns: Columns, state):
+        before = []
+        for text in columns["_summary"]:
+            before.append(json.dumps(state))
+            state = advance(json.loads(text), state)
+        return None, {"_state": np.array(before, dtype=object)}, state
+
+    states = _folded(summaries, keys, [BUCKET, "_number"], compose, "_state string", ["_summary"]).where("_number = 0").select(*by, "_state")
+    led = rows.withColumn(REAL, F.lit(True)).unionByName(states.withColumn(REAL, F.lit(False)), allowMissingColumns=True)
+    return _folded(led, by, [REAL, *order], step, added, list(reads), entry="_state").drop(BUCKET, REAL, "_state")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opsweave.config import DedupParams, TrendParams
-from opsweave.operators import series, throttle
+from opsweave.operators import series, throttle, timeline
 
 T0 = datetime(2026, 3, 1, tzinfo=timezone.utc)
 
@@ -149,8 +149,11 @@ def test_alpha_bounds(alpha):
 def test_trend_passes_state_between_batches(spark):
     rng = random.Random(5)
     df = samples(spark, [rng.random() * 100 for _ in range(200)])
-    read = lambda: [tuple(r) for r in series.trend(df, TrendParams(0.3, 8)).orderBy("ts").collect()]
-    whole = read()
+    def read():
+        return [(r["ts"], r["value"], pytest.approx(r["ema"], rel=1e-12), r["slope"] and pytest.approx(r["slope"], rel=1e-9))
+                for r in series.trend(df, TrendParams(0.3, 8)).orderBy("ts").collect()]
+
+    whole = [(r["ts"], r["value"], r["ema"], r["slope"]) for r in series.trend(df, TrendParams(0.3, 8)).orderBy("ts").collect()]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
     try:
         assert read() == whole
@@ -162,3 +165,29 @@ def test_debounce(spark):
     df = rows(spark, [(t, "f", "s") for t in (0, 0.1, 0.25, 1.0, 1.2)])
     fired = throttle.debounce(df, ["fingerprint"], 0.2).orderBy("ts").collect()
     assert [r["id"] for r in fired] == [2, 3, 4]
+
+
+@pytest.mark.parametrize("times", ["even", "dense", "random", "bursts"])
+@pytest.mark.parametrize("gap", [0, 9, 30, 331])
+def test_one_hot_key_over_many_buckets(spark, monkeypatch, times, gap):
+    """One key holds all rows; buckets of any width, and small Arrow batches, give the same as one plain walk."""
+    rng = random.Random(gap)
+    at = {"even": [3 * i for i in range(200)], "dense": [i // 4 for i in range(200)],
+          "random": sorted(rng.randrange(3000) for _ in range(200)),
+          "bursts": sorted(b + rng.randrange(20) for b in (0, 400, 401, 900, 2500) for _ in range(40))}[times]
+    want, last, since = [], None, 0
+    for i, t in enumerate(at):
+        since += 1
+        if last is None or t - last >= gap:
+            want.append((i, 0 if last is None else since - 1))
+            last, since = t, 1
+    want = [(i, n if k == 0 else i - want[k - 1][0]) for k, (i, n) in enumerate(want)]
+    df = rows(spark, [(t, "f", "s") for t in at])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        for width in (7, 100, 10 ** 6):
+            monkeypatch.setattr(timeline, "BUCKET_SECONDS", width)
+            got = throttle.cooldown_rows(df, ["host"], gap).orderBy("id").collect()
+            assert [(r["id"], r["repeats"]) for r in got] == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
