@@ -6,6 +6,7 @@ need no fold: whether a latch is set is the last row that set or cleared it.
 
 from __future__ import annotations
 
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -113,6 +114,9 @@ SHORT_RUN = 64
 
 
 def _averages(before: float, value: np.ndarray, params: TrendParams) -> np.ndarray:
+    if len(value) <= SHORT_RUN:  # less work than a series
+        a, b = params.alpha, 1 - params.alpha
+        return np.array(list(accumulate(value.tolist(), lambda y, x: a * x + b * y, initial=before))[1:])
     return pd.Series(np.concatenate(([before], value))).ewm(alpha=params.alpha, adjust=False).mean().to_numpy()[1:]
 
 

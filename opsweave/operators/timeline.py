@@ -30,8 +30,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Width of a bucket: seconds of a time (or of microseconds in `us`), steps of another number.
-BUCKET_SECONDS, BUCKET_STEPS = 3600, 65_536
+#: Width of a bucket: seconds of a time (or of microseconds in `us`, `_us`), steps of another number.
+BUCKET_SECONDS, BUCKET_STEPS = 86_400, 65_536
 BUCKET, REAL = "_bucket", "_real"
 
 
@@ -58,7 +58,7 @@ def bucket_of(df: DataFrame, column: str, width: int | None = None) -> Column:
         micros = F.unix_micros(F.col(column).cast("timestamp"))
         return F.call_function("div", micros, F.lit((width or BUCKET_SECONDS) * 1_000_000))
     if isinstance(kind, T.IntegralType):
-        step = (width or BUCKET_SECONDS) * 1_000_000 if column == "us" else width or BUCKET_STEPS
+        step = (width or BUCKET_SECONDS) * 1_000_000 if column in ("us", "_us") else width or BUCKET_STEPS
         return F.call_function("div", F.col(column), F.lit(step))
     return F.col(column)
 
