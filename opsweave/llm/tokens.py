@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsweave.llm.common import new_path, text_of
+from opsweave.llm.common import new_path, text_of, written
 
 # Fixed value: how byte-level BPE files cut text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -135,6 +135,7 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", token
     distinct = missing.groupBy("digest").agg(F.first("content").alias("content"))
     (distinct.mapInPandas(count, "digest binary, n_tokens long")
      .write.mode("append").parquet(f"{cache}/version={version}"))
-    counts = cached_counts(spark, cache, version)
+    # written, so that the join is of two plain tables and a hot digest's rows can be split among tasks
+    counts = written(cached_counts(spark, cache, version), "counts")
     return (digests.join(counts, "digest")
             .select(F.col("id").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))
