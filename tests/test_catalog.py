@@ -1,6 +1,6 @@
 """The registered queries: complete, and equal to their SQL on the smallest tables.
 
-`check_oracles.py` runs all of them on any folder; here the slower streams are left to it.
+`check_oracles.py` runs all of them on any folder.
 """
 
 import glob
@@ -13,9 +13,6 @@ from opsweave.catalog import ORACLES, QUERIES
 from tests.check_oracles import rows
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"dedup_stream", "dedup_rate_limited_stream", "trend_stream", "route_events", "enrich_stream", "debounce_stream",
-        "batch_flush", "on_status_change", "tail_package_log", "status_changes_of_batches", "append_two_streams",
-        "append_restarted_stream"}
 
 
 def test_every_query_has_sql():
@@ -35,7 +32,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, duck, name):
     df = entry.queries()[name](spark, FOLDER)
     result = duck.execute(entry.oracle_sql()[name])
