@@ -51,19 +51,21 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, fp array<long>")
 
 
-def _meet(entries: DataFrame, entry: list[str], back: int) -> DataFrame:
-    """Pairs (u, v) of an entry's members: each with the `back` members before it."""
-    members = Window.partitionBy(*entry).orderBy("near", "node")
-    earlier = [F.lag(F.struct("node", "near"), i).over(members) for i in range(1, back + 1)]
-    met = entries.withColumn("met", F.filter(F.array(*earlier), lambda x: x.isNotNull()))
-    return met.where(F.size("met") > 0).select(F.col("node").alias("u"), "near", F.explode("met").alias("m")).select(
-        "u", F.col("m.node").alias("v"), "near", F.col("m.near").alias("other"))
-
-
 def _distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def _meet(entries: DataFrame, entry: list[str], most: int, back: int) -> DataFrame:
+    """Pairs (u, v) of an entry's members: each with that one of the `back` members before it whose word `near`
+    is the closest, if it differs in at most `most` bits. So pairs never outnumber entries."""
+    members = Window.partitionBy(*entry).orderBy("near", "node")
+    earlier = [F.struct(_distance(F.col("near"), F.lag("near", i).over(members)).alias("bits"), F.lag("node", i).over(members).alias("node"))
+               for i in range(1, back + 1)]
+    closest = F.array_min(F.filter(F.array(*earlier), lambda x: x["bits"] <= most))
+    return (entries.withColumn("met", closest).where("met is not null")
+            .select(F.col("node").alias("u"), F.col("met.node").alias("v")))
+
+
 def links_within_two(prints: DataFrame) -> DataFrame:
     """Links (u, v) that tie together all nodes whose 64-bit fingerprints differ in at most 2 bits.
 
@@ -77,16 +79,17 @@ def links_within_two(prints: DataFrame) -> DataFrame:
     masks = [0, *(1 << i if i < 63 else -(1 << 63) for i in range(64))]
     entries = (prints.select("node", F.col("fp")[0].alias("near"), F.explode(F.array(*map(F.lit, masks))).alias("mask"))
                .select("node", "near", F.col("near").bitwiseXOR(F.col("mask")).alias("key")))
-    return _meet(entries, ["key"], 1).where(_distance(F.col("near"), F.col("other")) <= 2).select("u", "v").distinct()
+    return _meet(entries, ["key"], 2, 1).distinct()
 
 
-def links_by_segments(prints: DataFrame, hashes: int, max_bits: int, nodes: int, back: int = 2) -> DataFrame:
+def links_by_segments(prints: DataFrame, hashes: int, max_bits: int, nodes: int, back: int = 4) -> DataFrame:
     """Links (u, v) between fingerprints of `hashes` words that differ in at most `max_bits` bits.
 
     Segments are a few bits wider than the logarithm of the number of nodes, so by chance few strangers
     meet. The table of a segment holds each fingerprint under the ball of radius one around its
     value, so two meet in it if they differ there by at most 2 bits. Of an entry each member is
-    compared with the `back` members before it, first on one word, then completely. Which links are
+    paired with the closest, by one word, of the `back` members before it; then complete distances are
+    verified. Which links are
     found is a matter of chance per segment, not certain as in :func:`links_within_two`: see README.
     """
     width = min(60, max(24, math.ceil(math.log2(max(2, nodes))) + 6))
@@ -103,8 +106,7 @@ def links_by_segments(prints: DataFrame, hashes: int, max_bits: int, nodes: int,
                .select("node", "near", F.col("s.segment").alias("segment"),
                        F.col("s.value").bitwiseXOR(F.col("mask")).alias("key")))
     word_bits = max_bits / hashes
-    met = _meet(entries, ["segment", "key"], back).where(
-        _distance(F.col("near"), F.col("other")) <= math.ceil(word_bits + 3 * math.sqrt(word_bits)))
+    met = _meet(entries, ["segment", "key"], math.ceil(word_bits + 3 * math.sqrt(word_bits)), back)
     pairs = met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     full = prints.select("node", "fp")
     both = (pairs.join(full.select(F.col("node").alias("u"), F.col("fp").alias("fu")), "u")
