@@ -56,13 +56,17 @@ def _distance(a: Column, b: Column) -> Column:
 
 
 def _meet(entries: DataFrame, entry: list[str], most: int, back: int) -> DataFrame:
-    """Pairs (u, v) of an entry's members: each with that one of the `back` members before it whose word `near`
-    is the closest, if it differs in at most `most` bits. So pairs never outnumber entries."""
+    """Pairs (u, v) of an entry's members: each with the first one, if the word `near` differs in at most `most` bits,
+    else with the closest of the `back` members before it that does. So pairs never outnumber entries, and
+    in large groups most of them are the same."""
     members = Window.partitionBy(*entry).orderBy("near", "node")
     earlier = [F.struct(_distance(F.col("near"), F.lag("near", i).over(members)).alias("bits"), F.lag("node", i).over(members).alias("node"))
                for i in range(1, back + 1)]
     closest = F.array_min(F.filter(F.array(*earlier), lambda x: x["bits"] <= most))
-    return (entries.withColumn("met", closest).where("met is not null")
+    before = members.rowsBetween(Window.unboundedPreceding, -1)
+    first = F.struct(_distance(F.col("near"), F.first("near").over(before)).alias("bits"), F.first("node").over(before).alias("node"))
+    return (entries.withColumns({"first": first, "closest": closest})
+            .withColumn("met", F.when(F.col("first.bits") <= most, F.col("first")).otherwise(F.col("closest"))).where("met is not null")
             .select(F.col("node").alias("u"), F.col("met.node").alias("v")))
 
 
@@ -88,8 +92,7 @@ def links_by_segments(prints: DataFrame, hashes: int, max_bits: int, nodes: int,
     Segments are a few bits wider than the logarithm of the number of nodes, so by chance few strangers
     meet. The table of a segment holds each fingerprint under the ball of radius one around its
     value, so two meet in it if they differ there by at most 2 bits. Of an entry each member is
-    paired with the closest, by one word, of the `back` members before it; then complete distances are
-    verified. Which links are
+    paired with one before it that one word says is close; then complete distances are verified. Which links are
     found is a matter of chance per segment, not certain as in :func:`links_within_two`: see README.
     """
     width = min(60, max(24, math.ceil(math.log2(max(2, nodes))) + 6))
@@ -106,7 +109,7 @@ def links_by_segments(prints: DataFrame, hashes: int, max_bits: int, nodes: int,
                .select("node", "near", F.col("s.segment").alias("segment"),
                        F.col("s.value").bitwiseXOR(F.col("mask")).alias("key")))
     word_bits = max_bits / hashes
-    met = _meet(entries, ["segment", "key"], math.ceil(word_bits + 3 * math.sqrt(word_bits)), back)
+    met = _meet(entries, ["segment", "key"], math.ceil(word_bits + math.sqrt(word_bits)), back)
     pairs = met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     full = prints.select("node", "fp")
     both = (pairs.join(full.select(F.col("node").alias("u"), F.col("fp").alias("fu")), "u")
