@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,8 @@ from opsweave.llm.components import components
 SEED = 42
 #: Hashes turned into bits at a time: bounds the memory of very long texts.
 BLOCK = 65_536
+#: Members of an index entry that one task compares with others at a time.
+LOT = 1024
 
 
 def shingles(text: str, words: int) -> list[bytes]:
@@ -86,13 +88,12 @@ def links_within_two(prints: DataFrame) -> DataFrame:
     return _meet(entries, ["key"], 2, 1).distinct()
 
 
-def links_by_segments(prints: DataFrame, hashes: int, max_bits: int, nodes: int, back: int = 4) -> DataFrame:
-    """Links (u, v) between fingerprints of `hashes` words that differ in at most `max_bits` bits.
+def segment_entries(prints: DataFrame, hashes: int, nodes: int) -> DataFrame:
+    """(node, near, segment, key): the index of fingerprints of `hashes` words.
 
     Segments are a few bits wider than the logarithm of the number of nodes, so by chance few strangers
     meet. The table of a segment holds each fingerprint under the ball of radius one around its
-    value, so two meet in it if they differ there by at most 2 bits. Of an entry each member is
-    paired with one before it that one word says is close; then complete distances are verified. Which links are
+    value, so two meet in it if they differ there by at most 2 bits. Which links are
     found is a matter of chance per segment, not certain as in :func:`links_within_two`: see README.
     """
     width = min(60, max(24, math.ceil(math.log2(max(2, nodes))) + 6))
@@ -104,18 +105,56 @@ def links_by_segments(prints: DataFrame, hashes: int, max_bits: int, nodes: int,
             low = low.bitwiseOR(F.shiftleft(F.col("fp")[word + 1], 64 - shift))
         fields.append(F.struct(F.lit(len(fields)).alias("segment"), low.bitwiseAND(F.lit((1 << width) - 1)).alias("value")))
     masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(width)])
-    entries = (prints.select("node", F.col("fp")[0].alias("near"), F.explode(F.array(*fields)).alias("s"))
-               .select("node", "near", "s", F.explode(masks).alias("mask"))
-               .select("node", "near", F.col("s.segment").alias("segment"),
-                       F.col("s.value").bitwiseXOR(F.col("mask")).alias("key")))
+    return (prints.select("node", F.col("fp")[0].alias("near"), F.explode(F.array(*fields)).alias("s"))
+            .select("node", "near", "s", F.explode(masks).alias("mask"))
+            .select("node", "near", F.col("s.segment").alias("segment"),
+                    F.col("s.value").bitwiseXOR(F.col("mask")).alias("key")))
+
+
+def _meet_apart(entries: DataFrame, entry: list[str], roots: DataFrame, most: int) -> DataFrame:
+    """Pairs (u, v) of all members of an entry that `roots` does not tie together yet, if `near` differs in at most `most` bits.
+
+    Of each entry the members outside its largest group meet all members: that no more than doubles what has to
+    be compared, however large the groups are. Entries of over LOT members are dealt to several tasks.
+    """
+    one, group = Window.partitionBy(*entry), Window.partitionBy(*entry, "root")
+    members = (entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).repartition(*entry)
+               .withColumn("n", F.count(F.lit(1)).over(group))
+               .withColumns({"main": F.max(F.struct("n", "root")).over(one)["root"], "size": F.count(F.lit(1)).over(one),
+                             "least": F.min("root").over(one), "most": F.max("root").over(one)})
+               .where(F.col("least") != F.col("most"))
+               .select("node", "near", "root", "main", *entry, F.ceil(F.col("size") / LOT).cast("int").alias("lots")))
+    left = members.withColumn("lot", F.pmod(F.xxhash64("node"), F.col("lots")).cast("int"))
+    right = (members.where("root <> main").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+             .select(*entry, "lot", *[F.col(c).alias(f"other_{c}") for c in ("node", "near", "root")]))
+    return (left.join(right, [*entry, "lot"])
+            .where((F.col("root") != F.col("other_root")) & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("other_node")))
+                   & (_distance(F.col("near"), F.col("other_near")) <= most))
+            .select(F.col("node").alias("u"), F.col("other_node").alias("v")))
+
+
+def links_by_segments(prints: DataFrame, entries: DataFrame, hashes: int, max_bits: int,
+                      verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (u, v) that tie together all nodes that share an index entry, differ in at most `max_bits` bits and pass `verify`.
+
+    First each member of an entry meets one other, which ties large groups at few pairs; then all members that are
+    not tied yet meet each other. A pair that is left out is tied by others, so the components are those of all pairs.
+    """
+    entry = [c for c in entries.columns if c not in ("node", "near")]
     word_bits = max_bits / hashes
-    met = _meet(entries, ["segment", "key"], math.ceil(word_bits + math.sqrt(word_bits)), back)
-    pairs = met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    most = math.ceil(word_bits + 1.5 * math.sqrt(word_bits))
     full = prints.select("node", "fp")
-    both = (pairs.join(full.select(F.col("node").alias("u"), F.col("fp").alias("fu")), "u")
-            .join(full.select(F.col("node").alias("v"), F.col("fp").alias("fv")), "v"))
-    bits = F.aggregate(F.zip_with("fu", "fv", _distance), F.lit(0), lambda a, b: a + b)
-    return both.where(bits <= max_bits).select("u", "v")
+
+    def close(met: DataFrame) -> DataFrame:
+        pairs = met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        both = (pairs.join(full.select(F.col("node").alias("u"), F.col("fp").alias("fu")), "u")
+                .join(full.select(F.col("node").alias("v"), F.col("fp").alias("fv")), "v"))
+        bits = F.aggregate(F.zip_with("fu", "fv", _distance), F.lit(0), lambda a, b: a + b)
+        return written(both.where(bits <= max_bits).select("u", "v"), "candidates")
+
+    shared = written(entries.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*entry))).where("_n > 1").drop("_n"), "entries")
+    links = written(verify(close(_meet(shared, entry, most, 1))), "alike")
+    return links.unionByName(verify(close(_meet_apart(shared, entry, components(links), most))))
 
 
 def alike(docs: DataFrame, links: DataFrame, key: str, text: str, words: int, least: float) -> DataFrame:
@@ -167,10 +206,9 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     if hashes == 1 and max_bits == 2:
         links = links_within_two(known)
     else:
-        links = links_by_segments(known, hashes, max_bits, known.count())
-    if least is not None:
-        links = written(links, "candidates")
-        links = alike(docs, links, key, text, words, least)
+        entries = segment_entries(known, hashes, known.count())
+        links = links_by_segments(known, entries, hashes, max_bits, lambda pairs: pairs if least is None else alike(
+            docs, pairs, key, text, words, least))
     roots = components(links)
     rooted = (nodes.join(roots, "node", "left")
               .select("fp", F.coalesce("root", "node").alias("component_id")))

@@ -100,6 +100,23 @@ def test_near_copies_are_dropped_and_others_stay(spark):
     assert all(kept & ids for ids in groups.values())
 
 
+def test_near_copies_within_a_family_that_shares_a_template(spark):
+    rng = random.Random(8)
+    template = sentence(rng, 125).split()
+    rows = [(i, " ".join(template + sentence(rng, 25).split()), "en", "s", 0) for i in range(1000)]
+    for i in range(60):
+        copy = rows[16 * i][1].split()
+        for at in rng.sample(range(5, 145), 3):
+            copy[at] = f"edit{rng.randrange(10 ** 6)}"
+        rows.append((1000 + 16 * i, " ".join(copy), "en", "s", 0))
+    left = {i: set(shingles(t, 5)) for i, t, *_ in rows}
+    planted = {i for i in left if i >= 1000}
+    assert all(len(left[i] & left[i - 1000]) >= 0.8 * len(left[i] | left[i - 1000]) for i in planted)
+    assert not any(len(left[a] & left[b]) >= 0.8 * len(left[a] | left[b]) for a in range(1000) for b in range(a))
+    kept = {r["doc_id"] for r in drop_near(documents(spark, rows)).select("doc_id").collect()}
+    assert len(planted & kept) <= 6 and kept >= set(range(1000))
+
+
 def test_simhash_odd_rows(spark):
     docs = documents(spark, extra=True)
     assert near_groups(docs).count() == docs.count()
