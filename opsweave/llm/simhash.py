@@ -18,6 +18,8 @@ from opsweave.llm.components import components
 SEED = 42
 #: Hashes turned into bits at a time: bounds the memory of very long texts.
 BLOCK = 65_536
+#: Least chance that texts just alike enough become candidates, and least width of a key of the index in bits.
+RECALL, LEAST_WIDTH = 0.96, 20
 #: Members of an index entry that one task compares with others at a time.
 LOT = 1024
 
@@ -88,27 +90,49 @@ def links_within_two(prints: DataFrame) -> DataFrame:
     return _meet(entries, ["key"], 2, 1).distinct()
 
 
-def segment_entries(prints: DataFrame, hashes: int, nodes: int) -> DataFrame:
-    """(node, near, segment, key): the index of fingerprints of `hashes` words.
+def recall(width: int, tables: int, bits: int, max_bits: int, share: float) -> float:
+    """Chance that texts alike to `share` (Jaccard) are candidates: their fingerprints differ in at most `max_bits` of
+    `bits` bits, and agree in all bits of one of `tables` random choices of `width` bits."""
+    differ = math.acos(2 * share / (1 + share)) / math.pi
+    return sum(math.comb(bits, d) * differ ** d * (1 - differ) ** (bits - d)
+               * (1 - (1 - math.comb(bits - d, width) / math.comb(bits, width)) ** tables) for d in range(max_bits + 1))
+
+
+def index_size(nodes: int, bits: int, max_bits: int, share: float) -> tuple[int, int]:
+    """(width, tables): keys as wide as the logarithm of the number of nodes, so few strangers meet by chance in a
+    table; and as many tables as hold recall at `share` at RECALL or more, whatever the width."""
+    width = max(LEAST_WIDTH, math.ceil(math.log2(max(2, nodes))))
+    low, high = 1, 2
+    while recall(width, high, bits, max_bits, share) < RECALL:
+        low, high = high, 2 * high
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if recall(width, middle, bits, max_bits, share) >= RECALL else (middle, high)
+    return width, high
+
+
+def segment_entries(prints: DataFrame, hashes: int, width: int, tables: int) -> DataFrame:
+    """(node, near, key): the index of fingerprints of `hashes` words. A table's keys are segments of `width` bits, chosen
+    at random once for all, with the number of the table above them. Which links are found is a matter of chance, not
+    certain as in :func:`links_within_two`: see :func:`recall`."""
+    rng = np.random.default_rng(SEED)
+    places = np.zeros((64 * hashes, tables))
+    for table in range(tables):
+        places[rng.choice(64 * hashes, width, replace=False), table] = 2.0 ** np.arange(width)
 
-    Segments are a few bits wider than the logarithm of the number of nodes, so by chance few strangers
-    meet. The table of a segment holds each fingerprint under the ball of radius one around its
-    value, so two meet in it if they differ there by at most 2 bits. Which links are
-    found is a matter of chance per segment, not certain as in :func:`links_within_two`: see README.
-    """
-    width = min(60, max(24, math.ceil(math.log2(max(2, nodes))) + 6))
-    fields = []
-    for start in range(0, 64 * hashes - width + 1, width):
-        word, shift = divmod(start, 64)
-        low = F.shiftrightunsigned(F.col("fp")[word], shift) if shift else F.col("fp")[word]
-        if shift + width > 64:
-            low = low.bitwiseOR(F.shiftleft(F.col("fp")[word + 1], 64 - shift))
-        fields.append(F.struct(F.lit(len(fields)).alias("segment"), low.bitwiseAND(F.lit((1 << width) - 1)).alias("value")))
-    masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(width)])
-    return (prints.select("node", F.col("fp")[0].alias("near"), F.explode(F.array(*fields)).alias("s"))
-            .select("node", "near", "s", F.explode(masks).alias("mask"))
-            .select("node", "near", F.col("s.segment").alias("segment"),
-                    F.col("s.value").bitwiseXOR(F.col("mask")).alias("key")))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        above = np.arange(tables, dtype=np.int64) << width
+        for pdf in frames:
+            for start in range(0, len(pdf), 1000):
+                part = pdf.iloc[start:start + 1000]
+                fp = np.array(part["fp"].tolist(), dtype=">i8").reshape(len(part), hashes)
+                bits = np.unpackbits(fp.view(np.uint8), axis=1).astype(float)
+                yield pd.DataFrame({"node": part["node"], "near": fp[:, 0].astype(np.int64),
+                                    "keys": list((bits @ places).astype(np.int64) + above)})
+
+    kind = prints.schema["node"].dataType.simpleString()
+    return (prints.select("node", "fp").mapInPandas(run, f"node {kind}, near long, keys array<long>")
+            .select("node", "near", F.explode("keys").alias("key")))
 
 
 def _meet_apart(entries: DataFrame, entry: list[str], roots: DataFrame, most: int) -> DataFrame:
@@ -206,7 +230,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     if hashes == 1 and max_bits == 2:
         links = links_within_two(known)
     else:
-        entries = segment_entries(known, hashes, known.count())
+        width, tables = index_size(known.count(), 64 * hashes, max_bits, least or 0.8)
+        entries = segment_entries(known, hashes, width, tables)
         links = links_by_segments(known, entries, hashes, max_bits, lambda pairs: pairs if least is None else alike(
             docs, pairs, key, text, words, least))
     roots = components(links)

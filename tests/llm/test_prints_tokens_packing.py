@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from opsweave.llm import simhash
 from opsweave.llm.components import components
 from opsweave.llm.order_minhash import edited_fingerprints
 from opsweave.llm.packing import best_fit, crossover, evolve, fitness, pack
@@ -117,6 +118,25 @@ def test_near_copies_within_a_family_that_shares_a_template(spark):
     assert len(planted & kept) <= 6 and kept >= set(range(1000))
 
 
+def test_recall_holds_with_the_index_of_a_large_corpus(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = []
+    for i in range(150):
+        words = sentence(rng, 244).split()
+        rows.append((i, " ".join(words), "en", "s", 0))
+        for at in range(12, 225, 45):  # 25 of 240 shingles on either side differ: 0.81
+            words[at + rng.randrange(20)] = f"edit{rng.randrange(10 ** 6)}"
+        rows.append((1000 + i, " ".join(words), "en", "s", 0))
+    docs = documents(spark, rows)
+    size = simhash.index_size
+    for nodes in (10_000, 12_000_000, 100_000_000):
+        width, tables = size(nodes, 256, 56, 0.8)
+        assert 2 ** width >= nodes and 0.96 <= simhash.recall(width, tables, 256, 56, 0.8) < 0.97
+    monkeypatch.setattr(simhash, "index_size", lambda nodes, *rest: size(12_000_000, *rest))
+    kept = {r["doc_id"] for r in drop_near(docs).select("doc_id").collect()}
+    assert kept >= set(range(150)) and len(kept) - 150 <= 13
+
+
 def test_simhash_odd_rows(spark):
     docs = documents(spark, extra=True)
     assert near_groups(docs).count() == docs.count()
