@@ -45,14 +45,24 @@ def simhash(grams: list[bytes], hashes: int = 1) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, hashes: int = 1) -> DataFrame:
-    """(id, fp) with fp an array of `hashes` longs; no words give zeros, null text has no words."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, hashes: int = 1,
+                 distinct: bool = False) -> DataFrame:
+    """(id, fp) with fp an array of `hashes` longs; no words give zeros, null text has no words. With `distinct`
+    every shingle counts once, and a column digest follows: 128 bits that tell their set."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pd.DataFrame({"id": pdf["id"], "fp": [simhash(shingles(t or "", words), hashes) for t in pdf["text"]]})
+            out = []
+            for t in pdf["text"]:
+                found = shingles(t or "", words)
+                if distinct:
+                    found = sorted(set(found))
+                out.append((simhash(found, hashes), xxhash.xxh3_128_hexdigest(b"\n".join(found)) if distinct else ""))
+            cut = pd.DataFrame({"id": pdf["id"], "fp": [fp for fp, _ in out]})
+            yield cut.assign(digest=[digest for _, digest in out]) if distinct else cut
 
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, fp array<long>")
+    more = ", digest string" if distinct else ""
+    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, fp array<long>{more}")
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -219,13 +229,14 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     Rows are linked if their fingerprints differ in at most `max_bits` bits and, where `least` is given, their texts
     share so much of their shingles; component_id is the smallest key that can be reached by links. With one hash and 2 bits all links count; with
     more, see :func:`links_by_segments`. Equal fingerprints are one node, however many rows
-    have them. Null and empty texts have fingerprint zero and are linked like any other. Rows
+    have them; with `least` equal sets of shingles are, whose fingerprints count every shingle once. Null and empty texts have fingerprint zero and are linked like any other. Rows
     with a null key belong to the component of their fingerprint, and have none (null)
     where all rows of it lack a key. Rows that repeat a key get one row each. Other columns
     are not read. An empty table gives an empty result.
     """
-    prints = written(fingerprints(docs, key, text, words, hashes), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("node"))
+    prints = written(fingerprints(docs, key, text, words, hashes, least is not None), "fingerprints")
+    same = ["fp"] if least is None else ["fp", "digest"]
+    nodes = prints.groupBy(*same).agg(F.min("id").alias("node"))
     known = nodes.where("node is not null")
     if hashes == 1 and max_bits == 2:
         links = links_within_two(known)
@@ -236,8 +247,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
             docs, pairs, key, text, words, least))
     roots = components(links)
     rooted = (nodes.join(roots, "node", "left")
-              .select("fp", F.coalesce("root", "node").alias("component_id")))
-    return prints.join(rooted, "fp").select(F.col("id").alias(key), "fp", "component_id")
+              .select(*same, F.coalesce("root", "node").alias("component_id")))
+    return prints.join(rooted, same).select(F.col("id").alias(key), "fp", "component_id")
 
 
 def drop_near(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, hashes: int = 4,

@@ -137,6 +137,16 @@ def test_recall_holds_with_the_index_of_a_large_corpus(spark, monkeypatch):
     assert kept >= set(range(150)) and len(kept) - 150 <= 13
 
 
+def test_repeats_count_once_for_near_copies(spark):
+    rng = random.Random(10)
+    texts, line, spam = [sentence(rng, 300) for _ in range(8)], sentence(rng, 8), "buy now " * 400
+    rows = [(i, t + "\n" + line, "en", "s", 0) for i, t in enumerate(texts)]
+    rows += [(100 + i, t + ("\n" + line) * 50, "en", "s", 0) for i, t in enumerate(texts)]
+    rows += [(200 + i, sentence(rng, 60) + " " + spam, "en", "s", 0) for i in range(6)]
+    kept = {r["doc_id"] for r in drop_near(documents(spark, rows)).select("doc_id").collect()}
+    assert kept == {*range(8), *range(200, 206)}
+
+
 def test_simhash_odd_rows(spark):
     docs = documents(spark, extra=True)
     assert near_groups(docs).count() == docs.count()
