@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from opsweave.llm.common import partitions, text_of
 
-#: Words of a k-mer. A tuple has two k-mers, a fingerprint at most 64 tuples.
+#: Words of a k-mer. A tuple has two k-mers, a fingerprint 64 tuples.
 K = 2
 #: Lower bits of a packed number that hold a position, upper ones that tell the bin of a k-mer.
 POSITION_BITS, BIN_SHIFT = 24, 58
 _LAST = (1 << POSITION_BITS) - 1
+_LEAST_BIN = -(1 << 63 - BIN_SHIFT)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -68,28 +69,38 @@ def numbered(runs: Column) -> Column:
 
 
 def tuples(chosen: Column) -> Column:
-    """Per bin one number: the bin, and a hash of its two minimal k-mers in the order they stand in the text."""
+    """Per bin one number: the bin, and a hash of two k-mers in the order they stand in the text: the two that come first
+    from the bin's border on, around the circle of hashes. So only a text of one k-mer has tuples without an order."""
+    n = F.size(chosen)
     firsts = F.filter(F.sequence(F.lit(0), F.size(chosen) - 1), lambda i: (i == 0) | (
         _bin(F.get(chosen, i)) != _bin(F.get(chosen, i - 1))))
 
-    def of_bin(i: Column) -> Column:
-        a, b = F.get(chosen, i), F.get(chosen, i + 1)
-        alone = F.coalesce(_bin(a) != _bin(b), F.lit(True))
-        hashed = (F.when(alone, F.xxhash64(_value(a)))
+    def pair(i: Column) -> Column:
+        a, b = F.get(chosen, i), F.get(chosen, F.pmod(i + 1, n))
+        hashed = (F.when(n == 1, F.xxhash64(_value(a)))
                   .when(_place(a) <= _place(b), F.xxhash64(_value(a), _value(b)))
                   .otherwise(F.xxhash64(_value(b), _value(a))))
-        mark = (1 << BIN_SHIFT) - 1
-        return a.bitwiseAND(F.lit(~mark)).bitwiseOR(hashed.bitwiseAND(F.lit(mark)))
+        return hashed.bitwiseAND(F.lit((1 << BIN_SHIFT) - 1))
 
-    return F.transform(firsts, of_bin)
+    def bins(first: Column, last: Column, hashed: Column) -> Column:
+        return F.transform(F.sequence(first, last), lambda b: F.shiftleft(b, BIN_SHIFT).bitwiseOR(hashed))
+
+    def of_bins(i: Column) -> Column:
+        """The tuples of the bin that starts at i and of the empty ones before it."""
+        before = F.when(i == 0, F.lit(_LEAST_BIN - 1)).otherwise(_bin(F.get(chosen, i - 1)))
+        return let(pair(i), lambda hashed: bins(before + 1, _bin(F.get(chosen, i)), hashed))
+
+    last = _bin(F.get(chosen, n - 1))
+    rest = F.when(last < -_LEAST_BIN - 1, let(pair(F.lit(0)), lambda hashed: bins(last + 1, F.lit(-_LEAST_BIN - 1).cast("long"), hashed)))
+    return F.concat(F.flatten(F.transform(firsts, of_bins)), F.coalesce(rest, F.array().cast("array<long>")))
 
 
 def signature(text: Column, k: int = K) -> Column:
-    """The fingerprint of a text, an array of at most 64 longs; of a text without words an empty one.
+    """The fingerprint of a text, an array of 64 longs; of a text without words an empty one.
 
     One hash deals the occurrence-numbered k-mers to 64 bins, and the two least of every bin
-    make a tuple, kept in text order: two texts share a tuple if they share its k-mers,
-    with their counts, in the same order.
+    make a tuple, kept in text order; a bin that has fewer takes the least of the next ones. Two texts share a tuple if they
+    share its k-mers, with their counts, in the same order.
     """
     def of_words(words: Column) -> Column:
         least = let(kmers(words, k), lambda runs: let(numbered(runs), lambda s: F.filter(

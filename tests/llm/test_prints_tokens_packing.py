@@ -274,6 +274,22 @@ def test_order_counts_and_edits_show(spark):
     assert got["moved"] < got["e4"], "the order of text counts, not only its k-mers"
 
 
+def test_order_shows_in_short_texts(spark):
+    from opsweave.llm.order_minhash import likeness, signature
+    rng = random.Random(11)
+    rows = []
+    for n in (40, 64, 100):
+        for _ in range(20):
+            words = sentence(rng, n).split()
+            rows.append((n, " ".join(words), " ".join(words[n // 2:] + words[:n // 2])))
+    df = spark.createDataFrame(rows, "n int, a string, b string").select(
+        "n", F.size(signature(F.col("a"))).alias("size"), likeness(signature(F.col("a")), signature(F.col("b"))).alias("near"))
+    got = {r["n"]: r for r in df.groupBy("n").agg(F.avg("near").alias("near"), F.min("size").alias("least")).collect()}
+    assert all(0.3 < r["near"] < 0.6 and r["least"] == 64 for r in got.values()), got
+    few = spark.createDataFrame([("a b",), ("a b c",)], "a string").select(signature(F.col("a")).alias("s")).collect()
+    assert all([x >> 58 for x in r["s"]] == list(range(-32, 32)) for r in few)
+
+
 def test_order_minhash_odd_rows(spark):
     docs = documents(spark, extra=True)
     assert edited_fingerprints(docs).count() == docs.count()
