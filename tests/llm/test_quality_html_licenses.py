@@ -177,6 +177,14 @@ def test_licenses(spark, license_docs):
     assert got[200]["license"] == "unknown" and got[201]["license"] == "Apache-2.0" and got[202]["license"] == "MIT"
 
 
+def test_one_line_that_templates_lack_moves_no_threshold(spark):
+    strange = "granted free license: modify, publish, sublicense, sell this software under these terms without warranty"
+    for n in (40, 41, 42):
+        rows = [(i, "many copies came here", "en", "s", 0) for i in range(n)] + [(500, strange, "en", "s", 0)]
+        model = train(documents(spark, rows))
+        assert model.threshold == 0.5
+
+
 def test_license_grams_and_odd_rows(spark, license_docs):
     lines = ["", "MIT", "of the", "A-b C.d  é9 ß", "the MIT License of the MIT License"]
     df = spark.createDataFrame([(x,) for x in lines], "x string").select("x", gram_column(word_column(F.col("x"))).alias("g"))
