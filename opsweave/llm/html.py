@@ -28,6 +28,8 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "d
          "tfoot", "th", "thead", "tr", "ul", "caption"}
 #: Elements whose end tag may be left out: the next block ends them.
 LOOSE = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
+#: Elements that name what follows: in an article they are its own, though every page of a host has them.
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "caption", "dt", "th"}
 #: Elements that hold no main text, and words of class, id and role that say so of others.
 ASIDE = {"head", "nav", "header", "footer", "aside", "form", "noscript", "template", "button", "select", "menu", "dialog", "svg",
          "canvas", "object", "video", "audio", "fieldset"}
@@ -210,7 +212,7 @@ def equivalence_classes(tokens: DataFrame) -> DataFrame:
 
 
 def template_texts(tokens: DataFrame) -> DataFrame:
-    """(host, token) of the text tokens that belong to the host's template.
+    """(host, token, everywhere) of the text tokens that belong to the host's template; `everywhere` if to its root.
 
     The template's root is the class of the page itself: what occurs once on every page. A class
     is valid if its tokens come in the same order on all pages, and nested if all of it lies
@@ -231,15 +233,25 @@ def template_texts(tokens: DataFrame) -> DataFrame:
               .agg(F.xxhash64(F.transform(F.array_sort(F.collect_list(F.struct("first", "token"))), lambda x: x["token"])).alias("order"))
               .groupBy("host", "vector").agg(F.min("order").alias("a"), F.max("order").alias("b")))
     valid = (orders.where("a = b").join(spread, ["host", "vector"]).join(roots, "host")
-             .where((F.col("vector") == F.col("root")) | (F.col("low") == F.col("high"))).select("host", "vector"))
-    return classes.where("is_text").join(valid, ["host", "vector"], "left_semi").select("host", "token")
+             .where((F.col("vector") == F.col("root")) | (F.col("low") == F.col("high")))
+             .select("host", "vector", (F.col("vector") == F.col("root")).alias("everywhere")))
+    return classes.where("is_text").join(valid, ["host", "vector"]).select("host", "token", "everywhere")
+
+
+def in_template(block: Block, drop: set[int], everywhere: set[int]) -> bool:
+    """Whether a block goes with the template: outside a marked article if the template has it; inside only if every
+    page of the host has it, and not as a heading."""
+    token = text_token(block)
+    if block.main:
+        return token in everywhere and block.path.rsplit("/", 1)[-1] not in HEADINGS
+    return token in drop
 
 
 def extract_text(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page, url, text of every row: the main text, its blocks joined by newlines in page order.
 
-    Texts that belong to the template deduced from the pages of the host, and blocks outside the
-    article, are left out. Of a page that would lose all its text to the template (a host of
+    Texts that belong to the template deduced from the pages of the host (see :func:`in_template`), and blocks
+    outside the article, are left out. Of a page that would lose all its text to the template (a host of
     copies) nothing is left out. A null or empty html has empty text; rows without a url share the empty
     host; repeated rows get one row each and count once for the template. Other columns
     are not read. An empty table gives an empty result.
@@ -249,23 +261,25 @@ def extract_text(pages: DataFrame, page: str = "page_id", url: str = "url", html
     tokens = written(occurrences(keyed).dropDuplicates(["row", "host", "token"]), "tokens")
     template = template_texts(tokens)
     drops = written(tokens.where("is_text").join(template, ["host", "token"]).groupBy("row")
-                    .agg(F.collect_set("token").alias("drop")), "drops")
+                    .agg(F.collect_set("token").alias("drop"),
+                         F.collect_set(F.when(F.col("everywhere"), F.col("token"))).alias("everywhere")), "drops")
+    none = F.array().cast("array<long>")
     if drops.isEmpty():  # no host's template has text: spare the join
-        given = keyed.withColumn("drop", F.array().cast("array<long>"))
+        given = keyed.withColumns({"drop": none, "everywhere": none})
     else:
-        given = keyed.join(drops, "row", "left").withColumn("drop", F.coalesce("drop", F.array().cast("array<long>")))
+        given = keyed.join(drops, "row", "left").withColumns({c: F.coalesce(c, none) for c in ("drop", "everywhere")})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             texts = []
-            for content, drop in zip(pdf["html"], pdf["drop"]):
+            for content, drop, everywhere in zip(pdf["html"], pdf["drop"], pdf["everywhere"]):
                 blocks = main_blocks(parse(content)[1])
                 if len(drop):
-                    gone = set(drop)
-                    blocks = [b for b in blocks if text_token(b) not in gone] or blocks
+                    gone, shared = set(drop), set(everywhere)
+                    blocks = [b for b in blocks if not in_template(b, gone, shared)] or blocks
                 texts.append("\n".join(b.text for b in blocks))
             yield pd.DataFrame({"id": pdf["id"], "address": pdf["address"], "text": texts})
 
     kind = rows.schema["id"].dataType.simpleString()
-    found = given.select("id", "address", "html", "drop").mapInPandas(run, f"id {kind}, address string, text string")
+    found = given.select("id", "address", "html", "drop", "everywhere").mapInPandas(run, f"id {kind}, address string, text string")
     return found.select(F.col("id").alias(page), F.col("address").alias(url), "text")

@@ -122,6 +122,19 @@ def test_template_texts_are_left_out(spark):
     assert web.extract_text(pages(spark, [])).count() == 0
 
 
+def test_subheadings_of_an_article_stay_on_hosts_of_any_size(spark):
+    page = ("<body><nav>Menu</nav><div><p>Welcome to us</p></div><article><h1>Dish {n}</h1><h2>Ingredients</h2><p>flour {n}</p>"
+            "{more}</article><div><p>Call us</p></div></body>")
+    more = "<section class=tip><h3>Tip</h3><div class=in><p>Serve it hot</p></div></section>"
+    rows = [(10 * size + i, f"https://h{size}.example/{i}", page.format(n=i, more=more if i < 5 else ""))
+            for size in (4, 5, 8) for i in range(size)]
+    got = {r["page_id"]: r["text"] for r in web.extract_text(pages(spark, rows)).collect()}
+    for size in (4, 8):  # on 5 pages the tip stands on all of them, and its paragraph is the template's
+        for i in range(size):
+            assert got[10 * size + i] == f"Dish {i}\nIngredients\nflour {i}" + ("\nTip\nServe it hot" if i < 5 else "")
+    assert all(got[50 + i] == f"Dish {i}\nIngredients\nflour {i}\nTip" for i in range(5))
+
+
 def test_classes_share_vectors(spark):
     rows = [(i, "h", "<div><p>same</p>" + "<i>x</i>" * (i % 3) + f"<p>{i}</p></div>") for i in range(9)]
     keyed = spark.createDataFrame(rows, "row long, host string, html string")
