@@ -87,8 +87,8 @@ def _meet(entries: DataFrame, entry: list[str], most: int, back: int) -> DataFra
 def links_within_two(prints: DataFrame) -> DataFrame:
     """Links (u, v) that tie together all nodes whose 64-bit fingerprints differ in at most 2 bits.
 
-    The index holds every fingerprint under all keys that differ from it in one segment by at
-    most one bit (segments of 32 bits: 33 + 32 keys). Two fingerprints differ in 2 bits or
+    The index holds every fingerprint under all 64-bit keys that differ from it by at most one
+    bit (65 keys): whole-fingerprint balls, not tables by segment. Two fingerprints differ in 2 bits or
     fewer exactly if they share a key: one bit is flipped on either side. The members of a key
     are at most 65, all within 2 bits of each other, and tying each to the one before it joins
     them all. So links never exceed the index, however many near-equal fingerprints there
