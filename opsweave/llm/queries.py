@@ -17,6 +17,7 @@ from opsweave.llm.packing import pack
 from opsweave.llm.quality import score_quality, train_quality
 from opsweave.llm.simhash import near_groups
 from opsweave.llm.tokens import token_counts
+from opsweave.llm.vector_codes import compress, digest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -120,3 +121,31 @@ def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan(documents(spark, folder))
+
+
+def _rounds_sql(rounds: int, entries: int) -> str:
+    """Codebook rounds over parts(id, part, x double[]): book0 are the first entries, assignN the nearest entry."""
+    near = """assign{n} AS MATERIALIZED (SELECT id, part, x, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+  SELECT p.id, p.part, p.x, b.entry, list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, b.c)
+    + list_inner_product(b.c, b.c) AS d FROM parts p JOIN book{n} b USING (part)) GROUP BY id, part, x)"""
+    step = """book{n} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM book{o} b LEFT JOIN (
+  SELECT part, entry, list(mean ORDER BY i) AS c FROM (SELECT part, entry, i, floor(sum(x[i]) / count(*)) AS mean
+    FROM assign{o}, range(1, 17) t(i) GROUP BY part, entry, i) GROUP BY part, entry) m USING (part, entry))"""
+    first = f"""book0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY id) - 1 AS entry, x AS c
+  FROM parts QUALIFY entry < {entries})"""
+    return ",\n".join([first, near.format(n=0)] + [s.format(n=n, o=n - 1) for n in range(1, rounds + 1) for s in (step, near)])
+
+
+@query(sql=f"""
+WITH kept AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+parts AS MATERIALIZED (SELECT id, part, v[part * 16 + 1 : part * 16 + 16] AS x FROM kept, range(0, 4) t(part)),
+{_rounds_sql(4, 256)},
+coded AS (SELECT id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM assign4 GROUP BY id),
+book AS (SELECT sha256(string_agg(c[i]::BIGINT::VARCHAR, ',' ORDER BY part, entry, i)) AS codebooks_sha256
+  FROM book4, range(1, 17) t(i))
+SELECT id AS vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (id), book""")
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    coded, books = compress(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    return coded.withColumn("codebooks_sha256", F.lit(digest(books)))
