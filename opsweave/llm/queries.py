@@ -15,6 +15,7 @@ from opsweave.llm.mixing import mix_sources, rates_by_temperature
 from opsweave.llm.order_minhash import as_string, edited_fingerprints
 from opsweave.llm.packing import pack
 from opsweave.llm.quality import score_quality, train_quality
+from opsweave.llm.search import search
 from opsweave.llm.simhash import near_groups
 from opsweave.llm.tokens import token_counts
 from opsweave.llm.vector_codes import compress, digest
@@ -123,6 +124,26 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan(documents(spark, folder))
 
 
+@query(sql=r"""
+WITH words AS (SELECT doc_id, list_filter(string_split(regexp_replace(translate(text,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g'), ' '),
+    lambda w: w <> '') AS w FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark)),
+docs AS (SELECT doc_id, w, len(w) AS n FROM words WHERE doc_id >= 0 AND len(w) > 0),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM docs),
+asked AS (SELECT -1 - doc_id AS item_id, unnest(w) AS term FROM words WHERE doc_id < 0),
+found AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM docs)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weight AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM found, total GROUP BY term, docs),
+impact AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))) AS score
+  FROM found JOIN weight USING (term), total),
+scored AS (SELECT item_id, doc_id, sum(score)::BIGINT AS score FROM asked JOIN impact USING (term) GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20""")
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 def _rounds_sql(rounds: int, entries: int) -> str:
     """Codebook rounds over parts(id, part, x double[]): book0 are the first entries, assignN the nearest entry."""
     near = """assign{n} AS MATERIALIZED (SELECT id, part, x, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
