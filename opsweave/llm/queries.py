@@ -18,6 +18,7 @@ from opsweave.llm.quality import score_quality, train_quality
 from opsweave.llm.search import search
 from opsweave.llm.simhash import near_groups
 from opsweave.llm.tokens import token_counts
+from opsweave.llm.toxicity import score_toxicity, train_toxicity
 from opsweave.llm.vector_codes import compress, digest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,6 +145,12 @@ def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return search(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
+@query()
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return score_toxicity(docs, train_toxicity(docs, spark.read.parquet(f"{folder}/labels.parquet")))
+
+
 def _rounds_sql(rounds: int, entries: int) -> str:
     """Codebook rounds over parts(id, part, x double[]): book0 are the first entries, assignN the nearest entry."""
     near = """assign{n} AS MATERIALIZED (SELECT id, part, x, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
