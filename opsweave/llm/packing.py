@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsweave.llm.common import written
+from opsweave.llm.common import partitions, written
 from opsweave.llm.tokens import default_tokenizer, ids_of
 
 #: Pieces of one packing problem on average: bounds what a task holds.
@@ -167,8 +167,8 @@ def _bins(numbers: list[int]) -> Bins:
 ISLAND = "shard long, island int, items array<long>, lengths array<int>, people array<array<int>>"
 
 
-def _epoch(islands: DataFrame, size: int, epoch: int) -> DataFrame:
-    """Every island evolves by itself; a row is an island."""
+def _epoch(islands: DataFrame, size: int, epoch: int, tasks: int) -> DataFrame:
+    """Every island evolves by itself; a row is an island. Rows are few bytes and much work, so the number of tasks is given."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             people = []
@@ -179,7 +179,7 @@ def _epoch(islands: DataFrame, size: int, epoch: int) -> DataFrame:
                 people.append([_numbers(b, len(sizes)) for b in found])
             yield pdf.assign(people=people)
 
-    return islands.repartition("shard", "island").mapInPandas(run, ISLAND)
+    return islands.repartition(tasks, "shard", "island").mapInPandas(run, ISLAND)
 
 
 def _migrate(islands: DataFrame) -> DataFrame:
@@ -205,8 +205,9 @@ def pack_items(items: DataFrame, size: int) -> DataFrame:
     islands = gathered.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"),
                               F.col("all.item").alias("items"), F.col("all.length").alias("lengths"),
                               F.array().cast("array<array<int>>").alias("people"))
+    tasks = min(shards * ISLANDS, 4 * partitions(items.sparkSession))
     for epoch in range(EPOCHS):
-        islands = written(_epoch(islands if epoch == 0 else _migrate(islands), size, epoch), "islands")
+        islands = written(_epoch(islands if epoch == 0 else _migrate(islands), size, epoch, tasks), "islands")
     best = F.col("people")[0]
     chosen = islands.groupBy("shard").agg(F.min_by(F.struct("items", "lengths", best.alias("bins")),
                                                    F.struct(F.array_max(best), "island")).alias("best"))

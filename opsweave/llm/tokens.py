@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
+import sys
+import types
 from collections.abc import Iterator
 
 import pandas as pd
@@ -77,10 +78,16 @@ class Ids:
             return self.whole(text)
 
 
-@functools.lru_cache(maxsize=2)
 def ids_of(path: str) -> Ids:
-    """One per worker and file."""
-    return Ids(path)
+    """One per worker and file.
+
+    Workers need not have this package: functions reach them by value, with globals that last for a task. What
+    is to last as long as the worker is kept with its modules.
+    """
+    kept = sys.modules.setdefault("_tokenizers_of_worker", types.ModuleType("_tokenizers_of_worker")).__dict__
+    if path not in kept:
+        kept[path] = Ids(path)
+    return kept[path]
 
 
 def default_tokenizer() -> str:
@@ -124,6 +131,7 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", token
     digests = rows.select("id", F.octet_length("content").cast("long").alias("n_bytes"),
                           F.unhex(F.sha2("content", 256)).alias("digest"))
     wanted = rows.select(F.unhex(F.sha2("content", 256)).alias("digest"), "content")
+    batch = digests.select("digest").distinct()  # of a cache that grew over many batches only these counts are used
     stored = cached_counts(spark, cache, version)
     missing = wanted if stored is None else wanted.join(stored, "digest", "left_anti")
 
@@ -136,6 +144,7 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", token
     (distinct.mapInPandas(count, "digest binary, n_tokens long")
      .write.mode("append").parquet(f"{cache}/version={version}"))
     # written, so that the join is of two plain tables and a hot digest's rows can be split among tasks
-    counts = written(cached_counts(spark, cache, version), "counts")
+    known = cached_counts(spark, cache, version)
+    counts = written(known if stored is None else known.join(batch, "digest", "left_semi"), "counts")
     return (digests.join(counts, "digest")
             .select(F.col("id").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))

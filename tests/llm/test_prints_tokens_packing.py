@@ -1,5 +1,8 @@
 import math
+import os
 import random
+import subprocess
+import sys
 import zlib
 from array import array
 from collections import defaultdict
@@ -8,7 +11,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from opsweave.llm import simhash
+import opsweave
+from opsweave.llm import simhash, tokens
 from opsweave.llm.components import components
 from opsweave.llm.order_minhash import edited_fingerprints
 from opsweave.llm.packing import best_fit, crossover, evolve, fitness, pack
@@ -297,3 +301,49 @@ def test_order_minhash_odd_rows(spark):
     one = edited_fingerprints(documents(spark, [(7, "a b c d", "en", "s", 7)])).first()
     assert one["edited_text"] == "a ba b" + "" or one["edited_text"] == "a b " + "a b"
     assert one["near_next"] == 1.0
+
+
+def test_workers_need_no_package(tmp_path):
+    """A session whose workers cannot import the package counts tokens and packs."""
+    script = tmp_path / "alone.py"
+    script.write_text(f"""
+import sys
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false")
+         .config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).getOrCreate())
+
+def importable(frames):
+    import importlib.util
+    import pandas as pd
+    for pdf in frames:
+        yield pd.DataFrame({{"found": [importlib.util.find_spec("opsweave") is not None]}})
+
+sys.path.insert(0, {os.path.dirname(os.path.dirname(opsweave.__file__))!r})
+assert not spark.range(1).mapInPandas(importable, "found boolean").first()["found"]
+from opsweave.llm.packing import pack
+from opsweave.llm.tokens import token_counts
+docs = spark.createDataFrame([(1, "one two"), (2, "three")], "doc_id long, text string")
+print("counted", token_counts(docs).count(), pack(docs).count())
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "counted 2 2" in done.stdout, done.stderr[-2000:]
+
+
+def test_cache_of_other_contents_is_not_rewritten(spark, tmp_path, monkeypatch):
+    sizes = []
+
+    def seen(df, name, write=tokens.written):
+        out = write(df, name)
+        sizes.append(out.count())
+        return out
+
+    cache = str(tmp_path / "cache")
+    others = documents(spark, [(i, f"other {i}", "en", "s", 0) for i in range(50)])
+    assert token_counts(others, cache=cache).count() == 50
+    monkeypatch.setattr(tokens, "written", seen)
+    batch = documents(spark, [(1, "other 3", "en", "s", 0), (2, "new one", "en", "s", 0), (3, "new one", "en", "s", 0)])
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts(batch, cache=cache).collect()}
+    ids = ids_of(default_tokenizer())
+    assert got == {1: len(ids.whole("other 3")), 2: len(ids.whole("new one")), 3: len(ids.whole("new one"))}
+    assert sizes == [2]
