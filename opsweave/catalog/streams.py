@@ -11,7 +11,7 @@ from opsweave.operators.timeline import new_path
 from opsweave.plans.store import append_events
 from opsweave.sources.logs import package_events, parse_package_log
 from opsweave.sources.tables import EVENT_COLUMNS, scan_events, shape_events, table
-from opsweave.streaming import dedup, feeds
+from opsweave.streaming import dedup, feeds, late
 
 
 def _stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -176,3 +176,69 @@ def append_restarted_stream(spark, folder):
         except StreamingQueryException:
             pass
     return scan_events(spark, path).groupBy("host").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+_LATE = "30 minutes"
+_ARRIVAL = "(id * 7919 % 1200) * 1000000 + CASE WHEN id % 17 = 0 THEN 172800000000 ELSE 0 END"
+
+
+def _arrived(rows: str) -> str:
+    """SQL: `seen` are the rows as they come in six micro-batches, `late` if the watermark has passed them; `ontime`
+    are those that are not and have left the buffer at the end."""
+    return f"""cut AS (SELECT *, ((arrival - min(arrival) OVER ()) * 6) // (max(arrival) OVER () - min(arrival) OVER () + 1) AS slice
+  FROM (SELECT *, us + {_ARRIVAL} AS arrival FROM ev)),
+tops AS (SELECT slice, max(us) AS top FROM cut WHERE {rows} GROUP BY slice),
+marks AS (SELECT slice, coalesce(max(top) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) // 1000 - 1800000, 0) AS w
+  FROM tops),
+seen AS (SELECT cut.*, us // 1000 < w AS late FROM cut JOIN marks USING (slice) WHERE {rows}),
+final AS (SELECT max(top) // 1000 - 1800000 AS w FROM tops),
+ontime AS (SELECT seen.* FROM seen, final WHERE NOT late AND us // 1000 < w)"""
+
+
+def _shuffled(spark, folder: str) -> DataFrame:
+    """The event stream in six micro-batches by time of arrival: up to 20 minutes after the event, some two days."""
+    raw = table(spark, folder, "events").withColumn("id", F.col("event_id"))
+    came = raw.withColumn("arrival", F.unix_micros(F.col("ts").cast("timestamp")) + F.expr(_ARRIVAL)).drop("id")
+    low, high = came.agg(F.min("arrival"), F.max("arrival")).first()
+    if low is None:
+        return _stream(spark, folder)
+    landed, files = new_path(spark, "slices"), 4
+    for n in range(6):
+        part = came.where(F.expr(f"((arrival - {low}) * 6) div ({high} - {low} + 1) = {n}")).drop("arrival")
+        part.repartition(files).write.mode("append").parquet(landed)
+    return shape_events(feeds.read_files(spark, landed, table(spark, folder, "events").schema, max_files=files))
+
+
+def _late_dedup(spark, folder):
+    dedup.use_rocksdb(spark)
+    message = F.concat("event_type", F.lit("["), F.col("id").cast("string"), F.lit("]"))
+    rows = _shuffled(spark, folder).select(
+        "id", "host", "source", "ts", fingerprint(F.col("source"), F.lit("app"), message).alias("fingerprint"))
+    return _run(late.dedup_late_stream(rows, DEDUP, _LATE))
+
+
+@query(ORACLES["dedup_by_fingerprint"].replace(f"WITH {EV}, marked", f"WITH {EV}, {_arrived('true')}, marked")
+       .replace("AS fingerprint FROM ev)", "AS fingerprint FROM ontime)"))
+def dedup_late_stream(spark, folder):
+    """Suppression of a stream that arrives shuffled: what batch gives for the rows that came in time."""
+    return _late_dedup(spark, folder).where("not late").select("id", "fingerprint", us(), "suppressed_count")
+
+
+@query(f"WITH {EV}, {_arrived('true')} SELECT id, host, source, us AS ts_us FROM seen WHERE late")
+def late_rows(spark, folder):
+    """The side table of the same stream: rows that the watermark had passed when they came."""
+    return _late_dedup(spark, folder).where("late").select("id", "host", "source", us())
+
+
+_TIMELINE = ORACLES["status_timeline"]
+_TIMELY = (_TIMELINE[:_TIMELINE.rindex("SELECT host, us AS start_ts_us")]
+           .replace(f"WITH {EV}, steps", f"WITH {EV}, {_arrived("severity <> 'info'")}, steps")
+           .replace("FROM ev WHERE severity <> 'info'", "FROM ontime"))
+
+
+@query(_TIMELY + " SELECT host, us AS ts_us, old, status AS new FROM changed, final WHERE us // 1000 < w")
+def status_expiry_stream(spark, folder):
+    """Status changes of the shuffled stream, those by expiry included, up to the watermark."""
+    dedup.use_rocksdb(spark)
+    changes = _run(late.status_expiry_stream(_shuffled(spark, folder), delay=_LATE))
+    return changes.where("not late").select("host", us(), "old", "new")
