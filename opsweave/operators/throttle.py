@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsweave.config import DedupParams
+from opsweave.operators import rate_limit
 from opsweave.operators.timeline import Columns, Timeline
 
 MICROS = 1_000_000
@@ -165,14 +166,13 @@ def rate_limited_step(params: DedupParams):
 def dedup_rate_limited(df: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
     """Every row with its action under cooldown, rate limit and state pruning.
 
-    The rate limit couples all fingerprints of a source, so decisions fold over
-    (host, source). Counts of suppressed rows need no fold: they are differences of
+    The rate limit couples all fingerprints of a source; :mod:`rate_limit` walks the buckets of a source side by
+    side all the same, and writes what it decided. Counts of suppressed rows need no walk: they are differences of
     positions within the fingerprint, which is keyed finer. A fingerprint unseen for
     twice the baseline when the prune clock ticks is forgotten, and counts as first again.
     """
     timed = df.withColumn("us", F.unix_micros("ts"))
-    decided = Timeline(timed, ["host", "source"], ["us", "id"]).fold(
-        rate_limited_step(params), "passed boolean, prune_us long", reads=["fingerprint"])
+    decided = rate_limit.decided(timed, params, rate_limited_step(params), cooldown_summary, after_cooldown)
     # a total order again, for rows that are equal: at one time, what passed comes first
     decided = decided.withColumn("_late", ~F.col("passed"))
     gap = round(2 * params.baseline * MICROS)

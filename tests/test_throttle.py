@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opsweave.config import DedupParams, TrendParams
-from opsweave.operators import series, throttle, timeline
+from opsweave.operators import rate_limit, series, throttle, timeline
 
 T0 = datetime(2026, 3, 1, tzinfo=timezone.utc)
 
@@ -191,3 +191,41 @@ def test_one_hot_key_over_many_buckets(spark, monkeypatch, times, gap):
             assert [(r["id"], r["repeats"]) for r in got] == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("warm", [0, 1, 20])
+@pytest.mark.parametrize("kind", ["sparse", "at the limit", "bursts"])
+def test_rate_limit_over_many_buckets(spark, monkeypatch, narrow_buckets, warm, kind):
+    """Whatever the guesses at the ends of buckets, right, wrong or none at all, decisions are those of one walk."""
+    rng = random.Random(warm)
+    p = DedupParams(window=4, baseline=15, max_per_period=2, period=6)
+    at = {"sparse": sorted(rng.randrange(700) for _ in range(120)), "at the limit": [i // 2 for i in range(160)],
+          "bursts": sorted(b + rng.randrange(9) for b in (0, 30, 31, 90, 250) for _ in range(25))}[kind]
+    seq = [(t, rng.choice("abcdefgh"), rng.choice("sst")) for t in at]
+    monkeypatch.setattr(rate_limit, "WARM", warm)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        assert actions(throttle.dedup_rate_limited(rows(spark, seq), p)) == from_history(seq, p)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_hot_source_is_worked_on_by_many_tasks(spark, monkeypatch):
+    """A source with all rows: each bucket is walked by itself, and nothing is walked in order."""
+    monkeypatch.setattr(timeline, "BUCKET_SECONDS", 600)
+    walked = []
+
+    def seen(df, name, write=rate_limit._written):
+        out = write(df, name)
+        walked.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(rate_limit, "_written", seen)
+    rng = random.Random(2)
+    p = DedupParams(window=20, baseline=60, max_per_period=5, period=20)
+    seq = [(t, f"f{rng.randrange(40)}", "s") for t in sorted(rng.randrange(20_000) for _ in range(3000))]
+    got = actions(throttle.dedup_rate_limited(rows(spark, seq), p))
+    assert got == from_history(seq[:400], p) + got[400:] and 500 < sum(a == "emit" for a, _ in got) < 3000
+    names = dict(walked)
+    assert names["rate-starts"] == 34 and names["rate-decided"] == 3000
+    assert names["rate-misled"] == 0 and "rate-in-order" not in names
