@@ -120,6 +120,18 @@ class Timeline:
         found = self._led(rows.withColumn("_ones", F.lit(1).cast("long")), carries).withColumn(name, F.sum("_ones").over(upto))
         return self._with(found.where(REAL).drop(BUCKET, REAL, "_ones"))
 
+    def running(self, values: dict[str, Column]) -> Timeline:
+        """For each name, the sum of a whole number over the rows strictly before this one; 0 for the first."""
+        held = {name: f"_value_{name}" for name in values}
+        rows = self.df.withColumns({held[n]: F.coalesce(v, F.lit(0)).cast("long") for n, v in values.items()}).withColumn(
+            BUCKET, bucket_of(self.df, self.order[0], self.width))
+        totals = rows.groupBy(*self.keys, BUCKET).agg(*[F.sum(h).alias(h) for h in held.values()])
+        carries = totals.select(*self.keys, BUCKET, *[F.sum(h).over(self._earlier(False)).alias(h) for h in held.values()])
+        before = self._window(False).rowsBetween(Window.unboundedPreceding, -1)
+        found = self._led(rows, carries).withColumns(
+            {n: F.coalesce(F.sum(h).over(before), F.lit(0)) for n, h in held.items()})
+        return self._with(found.where(REAL).drop(BUCKET, REAL, *held.values()))
+
     def fold(self, step: Step, added: str, reads: list[str] = ()) -> DataFrame:
         """Run `step` along each key; see :func:`fold_rows`."""
         return fold_rows(self, step, added, reads)
