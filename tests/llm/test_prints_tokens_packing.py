@@ -7,6 +7,7 @@ import zlib
 from array import array
 from collections import defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -122,7 +123,7 @@ def test_near_copies_within_a_family_that_shares_a_template(spark):
     assert len(planted & kept) <= 6 and kept >= set(range(1000))
 
 
-def test_recall_holds_with_the_index_of_a_large_corpus(spark, monkeypatch):
+def test_recall_holds_with_the_index_of_a_corpus_of_any_size(spark):
     rng = random.Random(9)
     rows = []
     for i in range(150):
@@ -132,11 +133,9 @@ def test_recall_holds_with_the_index_of_a_large_corpus(spark, monkeypatch):
             words[at + rng.randrange(20)] = f"edit{rng.randrange(10 ** 6)}"
         rows.append((1000 + i, " ".join(words), "en", "s", 0))
     docs = documents(spark, rows)
-    size = simhash.index_size
-    for nodes in (10_000, 12_000_000, 100_000_000):
-        width, tables = size(nodes, 256, 56, 0.8)
-        assert 2 ** width >= nodes and 0.96 <= simhash.recall(width, tables, 256, 56, 0.8) < 0.97
-    monkeypatch.setattr(simhash, "index_size", lambda nodes, *rest: size(12_000_000, *rest))
+    tables = simhash.tables_for(simhash.WIDTH, 1024, 184, 0.8)  # the same for a corpus of any size
+    assert 0.95 <= simhash.recall(simhash.WIDTH, tables, 1024, 184, 0.8) < 0.96
+    assert simhash.recall(simhash.WIDTH, tables, 1024, 184, 0.85) > 0.99
     kept = {r["doc_id"] for r in drop_near(docs).select("doc_id").collect()}
     assert kept >= set(range(150)) and len(kept) - 150 <= 13
 
@@ -347,3 +346,24 @@ def test_cache_of_other_contents_is_not_rewritten(spark, tmp_path, monkeypatch):
     ids = ids_of(default_tokenizer())
     assert got == {1: len(ids.whole("other 3")), 2: len(ids.whole("new one")), 3: len(ids.whole("new one"))}
     assert sizes == [2]
+
+
+def test_wide_fingerprints_by_definition():
+    grams = [b"a b c", b"d e f", b"g h", b"ijk"]
+    mask = (1 << 64) - 1
+    words = []
+    for word in range(3):
+        mixed = []
+        for g in grams:
+            x = (xxhash.xxh64_intdigest(g, 42) + (word + 1) * 0x9E3779B97F4A7C15) & mask
+            x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & mask
+            x = ((x ^ x >> 27) * 0x94D049BB133111EB) & mask
+            mixed.append(x ^ x >> 31)
+        words.append(sum(1 << b for b in range(64) if sum(h >> b & 1 for h in mixed) * 2 > len(grams)))
+    assert [w & mask for w in simhash.wide_simhash(grams, 3)] == words
+    assert simhash.wide_simhash([], 2) == [0, 0]
+
+
+def test_middle_of_a_group_is_nearest_to_its_majority():
+    near = np.array([0b0111, 0b1111, 0b1110, -1, 5, 5], dtype=np.int64)
+    assert simhash.middles(near, np.array([0, 3, 4])).tolist() == [1, 3, 4]
