@@ -30,7 +30,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents alike to 0.8 or more in five-word shingles the one with the smallest doc_id."""
-    return drop_near(docs, words=5, hashes=4, max_bits=56, least=0.8)
+    return drop_near(docs, words=5, least=0.8)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
