@@ -9,8 +9,9 @@ from opsweave.catalog.series import DEDUP, TREND
 from opsweave.functions.text import fingerprint
 from opsweave.operators.timeline import new_path
 from opsweave.plans.store import append_events
+from opsweave.sources import tail
 from opsweave.sources.logs import package_events, parse_package_log
-from opsweave.sources.tables import EVENT_COLUMNS, scan_events, shape_events, table
+from opsweave.sources.tables import EVENT_COLUMNS, sample_events, scan_events, shape_events, table
 from opsweave.streaming import dedup, feeds, late
 
 
@@ -242,3 +243,37 @@ def status_expiry_stream(spark, folder):
     dedup.use_rocksdb(spark)
     changes = _run(late.status_expiry_stream(_shuffled(spark, folder), delay=_LATE))
     return changes.where("not late").select("host", us(), "old", "new")
+
+
+def _write_logs(lines: DataFrame, folder: str, append: bool) -> None:
+    """Lines (host, id, line) into one file per host, written by the tasks that hold them."""
+    def write(rows) -> None:
+        store, place = tail.filesystem(folder)
+        store.create_dir(place)
+        host, out = None, None
+        for row in rows:
+            if row["host"] != host:
+                if out is not None:
+                    out.close()
+                host, path = row["host"], f"{place}/{row['host']}.log"
+                out = store.open_append_stream(path) if append else store.open_output_stream(path)
+            out.write((row["line"] + "\n").encode())
+        if out is not None:
+            out.close()
+
+    lines.repartition("host").sortWithinPartitions("host", "id").foreachPartition(write)
+
+
+@query("SELECT concat('h', user_id % 3) AS host, concat('pkg', user_id, ' installed (', event_id, '-1)') AS summary FROM events")
+def tail_growing_log(spark, folder):
+    """Package logs, a file per host, that grow, are truncated and are rotated between triggers: every line is read once."""
+    e = sample_events(spark, folder)
+    lines = e.select("host", "id", F.concat(F.date_format("ts", "'['yyyy-MM-dd'T'HH:mm:ss'+0000] [ALPM] installed pkg'"),
+                                            F.col("user_id").cast("string"), F.lit(" ("), F.col("id").cast("string"), F.lit("-1)")).alias("line"))
+    logs, out, progress = (new_path(spark, x) for x in ("growing", "read", "progress"))
+    for part, append in enumerate((True, True, False, False)):  # the third is shorter than what it replaces, the fourth as long
+        _write_logs(lines.where(F.col("id") % 4 == part), logs, append)
+        stream = package_events(parse_package_log(tail.tail_files(spark, logs, ".log", range_bytes=100_000))).select("host", "summary")
+        (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress)
+         .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema("host string, summary string").parquet(out)
