@@ -28,11 +28,15 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "d
          "tfoot", "th", "thead", "tr", "ul", "caption"}
 #: Elements whose end tag may be left out: the next block ends them.
 LOOSE = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
-#: Elements that name what follows: in an article they are its own, though every page of a host has them.
-HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "caption", "dt", "th"}
 #: Elements that hold no main text, and words of class, id and role that say so of others.
 ASIDE = {"head", "nav", "header", "footer", "aside", "form", "noscript", "template", "button", "select", "menu", "dialog", "svg",
          "canvas", "object", "video", "audio", "fieldset"}
+#: Words that stand beside them in such names and change nothing.
+PLACE_WORDS = set("""site page main top bottom left right global primary secondary inner outer box bar block slot unit area container
+    wrapper wrap list links text inline mobile desktop sticky fixed small big""".split())
+#: Elements that are aside by their own class at most if it says what they are, not what they hold.
+OWN = {"html", "body", "main", "h1", "h2", "h3", "h4", "h5", "h6"}
+ARTICLE_ASIDE = {"ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "promotion", "comment", "reply", "related", "recommended"}
 ASIDE_WORDS = set("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu
     nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice alert popup modal
     overlay newsletter subscribe subscription share sharing social related recommended comment comments reply replies
@@ -48,15 +52,23 @@ class Block:
         self.path, self.text, self.aside, self.main, self.linked = path, text, aside, main, linked
 
 
+def _says_aside(name: str, token: str) -> bool:
+    """Whether one class, id or role names an aside: its words all do, or only say where it is."""
+    parts = _WORD.findall(token.lower())
+    if name == "article":
+        return len(parts) == 1 and parts[0] in ARTICLE_ASIDE
+    return bool(parts) and not ASIDE_WORDS.isdisjoint(parts) and all(p in ASIDE_WORDS or p in PLACE_WORDS for p in parts)
+
+
 def _is_aside(name: str, attributes: str) -> bool:
+    """By the element's name, or by a class, id or role as a whole: `site-footer` is, `content-sidebar-wrap` and `has-sidebar`
+    are not, as they name what holds an aside, not the aside."""
     if name in ASIDE:
         return True
-    if "=" not in attributes:
+    if name in OWN or "=" not in attributes:
         return False
-    for found in _ATTRIBUTE.finditer(attributes):
-        if not ASIDE_WORDS.isdisjoint(_WORD.findall((found[2] or found[3] or found[4] or "").lower())):
-            return True
-    return False
+    return any(_says_aside(name, token) for found in _ATTRIBUTE.finditer(attributes)
+               for token in (found[2] or found[3] or found[4] or "").split())
 
 
 def parse(html: str) -> tuple[list[str], list[Block]]:
@@ -64,21 +76,22 @@ def parse(html: str) -> tuple[list[str], list[Block]]:
 
     Tolerates what pages do: missing end tags, stray end tags, cut-off ends, unquoted
     attributes. Comments, scripts, styles and titles are no text; character references are
-    decoded; white space becomes one space; a line break is white space.
+    decoded; white space becomes one space; a line break is white space. Text is taken with the state it is read
+    under: an aside within a line drops its own words only, and one that is not closed ends with its parent.
     """
     tags: list[str] = []
     blocks: list[Block] = []
     stack: list[str] = []
     words: list[str] = []
     plain = linked = 0  # characters outside and inside links
-    skip, depth, main, in_link = "", 0, 0, 0
+    skip, depth, floor, main, in_link = "", 0, 0, 0, 0  # an aside ends when its parent, at `floor`, is closed
 
     def flush() -> None:
         nonlocal plain, linked
         if words:
             text = " ".join("".join(words).split())
             if text:
-                blocks.append(Block("/".join(stack), text, bool(skip), main > 0, linked > plain))
+                blocks.append(Block("/".join(stack), text, skip in BLOCK, main > 0, linked > plain))
             words.clear()
         plain = linked = 0
 
@@ -88,11 +101,14 @@ def parse(html: str) -> tuple[list[str], list[Block]]:
         upto = found.start() if found else end
         if upto > at:
             text = unescape(html[at:upto])
-            words.append(text)
-            if in_link:
-                linked += len(text)
+            if skip and skip not in BLOCK:
+                words.append(" ")  # an aside within a line
             else:
-                plain += len(text)
+                words.append(text)
+                if in_link:
+                    linked += len(text)
+                else:
+                    plain += len(text)
         if not found:
             break
         at = found.end()
@@ -113,6 +129,8 @@ def parse(html: str) -> tuple[list[str], list[Block]]:
             if name in stack:
                 while stack.pop() != name:
                     pass
+                if skip and len(stack) < floor:
+                    skip, depth = "", 0
             continue
         attributes = found[3]
         if name in BLOCK:
@@ -121,6 +139,8 @@ def parse(html: str) -> tuple[list[str], list[Block]]:
                 skip = ""
             if stack and stack[-1] in LOOSE and (stack[-1] == "p" or stack[-1] == name):
                 stack.pop()
+                if skip and len(stack) < floor:
+                    skip, depth = "", 0
         kind = name
         if "class" in attributes and (c := _ATTRIBUTE.search(attributes)) and c[1].lower() == "class":
             kind += "." + (c[2] or c[3] or c[4] or "")
@@ -132,7 +152,7 @@ def parse(html: str) -> tuple[list[str], list[Block]]:
         if skip:
             depth += name == skip
         elif _is_aside(name, attributes) and name not in ("html", "body"):
-            skip, depth = name, 1
+            skip, depth, floor = name, 1, len(stack)
         elif name in ("article", "main"):
             main += 1
         if name in RAW:
@@ -212,7 +232,7 @@ def equivalence_classes(tokens: DataFrame) -> DataFrame:
 
 
 def template_texts(tokens: DataFrame) -> DataFrame:
-    """(host, token, everywhere) of the text tokens that belong to the host's template; `everywhere` if to its root.
+    """(host, token) of the text tokens that belong to the host's template.
 
     The template's root is the class of the page itself: what occurs once on every page. A class
     is valid if its tokens come in the same order on all pages, and nested if all of it lies
@@ -234,17 +254,14 @@ def template_texts(tokens: DataFrame) -> DataFrame:
               .groupBy("host", "vector").agg(F.min("order").alias("a"), F.max("order").alias("b")))
     valid = (orders.where("a = b").join(spread, ["host", "vector"]).join(roots, "host")
              .where((F.col("vector") == F.col("root")) | (F.col("low") == F.col("high")))
-             .select("host", "vector", (F.col("vector") == F.col("root")).alias("everywhere")))
-    return classes.where("is_text").join(valid, ["host", "vector"]).select("host", "token", "everywhere")
+             .select("host", "vector"))
+    return classes.where("is_text").join(valid, ["host", "vector"]).select("host", "token")
 
 
-def in_template(block: Block, drop: set[int], everywhere: set[int]) -> bool:
-    """Whether a block goes with the template: outside a marked article if the template has it; inside only if every
-    page of the host has it, and not as a heading."""
-    token = text_token(block)
-    if block.main:
-        return token in everywhere and block.path.rsplit("/", 1)[-1] not in HEADINGS
-    return token in drop
+def in_template(block: Block, drop: set[int]) -> bool:
+    """Whether a block goes with the template: outside a marked article if the template has it; inside never, however
+    many pages have it, as the mark says what the page is about."""
+    return not block.main and text_token(block) in drop
 
 
 def extract_text(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -261,25 +278,24 @@ def extract_text(pages: DataFrame, page: str = "page_id", url: str = "url", html
     tokens = written(occurrences(keyed).dropDuplicates(["row", "host", "token"]), "tokens")
     template = template_texts(tokens)
     drops = written(tokens.where("is_text").join(template, ["host", "token"]).groupBy("row")
-                    .agg(F.collect_set("token").alias("drop"),
-                         F.collect_set(F.when(F.col("everywhere"), F.col("token"))).alias("everywhere")), "drops")
+                    .agg(F.collect_set("token").alias("drop")), "drops")
     none = F.array().cast("array<long>")
     if drops.isEmpty():  # no host's template has text: spare the join
-        given = keyed.withColumns({"drop": none, "everywhere": none})
+        given = keyed.withColumn("drop", none)
     else:
-        given = keyed.join(drops, "row", "left").withColumns({c: F.coalesce(c, none) for c in ("drop", "everywhere")})
+        given = keyed.join(drops, "row", "left").withColumn("drop", F.coalesce("drop", none))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             texts = []
-            for content, drop, everywhere in zip(pdf["html"], pdf["drop"], pdf["everywhere"]):
+            for content, drop in zip(pdf["html"], pdf["drop"]):
                 blocks = main_blocks(parse(content)[1])
                 if len(drop):
-                    gone, shared = set(drop), set(everywhere)
-                    blocks = [b for b in blocks if not in_template(b, gone, shared)] or blocks
+                    gone = set(drop)
+                    blocks = [b for b in blocks if not in_template(b, gone)] or blocks
                 texts.append("\n".join(b.text for b in blocks))
             yield pd.DataFrame({"id": pdf["id"], "address": pdf["address"], "text": texts})
 
     kind = rows.schema["id"].dataType.simpleString()
-    found = given.select("id", "address", "html", "drop", "everywhere").mapInPandas(run, f"id {kind}, address string, text string")
+    found = given.select("id", "address", "html", "drop").mapInPandas(run, f"id {kind}, address string, text string")
     return found.select(F.col("id").alias(page), F.col("address").alias(url), "text")

@@ -112,7 +112,7 @@ def test_template_texts_are_left_out(spark):
     for r in web.extract_text(pages(spark, rows).withColumn("text", F.lit("clash")).withColumn("row", F.lit(1))).collect():
         got.setdefault(r["page_id"], []).append(r["text"])
     for i in range(8):
-        assert set(got[i]) == {WANT.format(n=i)}, "the words that all pages of the host share are its template's"
+        assert set(got[i]) == {WANT.format(n=i) + "\nShared words"}, "what stands in the article stays, also if all pages share it"
     assert len(got[0]) == 2
     for i in range(2):
         assert got[100 + i] == [WANT.format(n=i) + "\nShared words"]
@@ -129,10 +129,29 @@ def test_subheadings_of_an_article_stay_on_hosts_of_any_size(spark):
     rows = [(10 * size + i, f"https://h{size}.example/{i}", page.format(n=i, more=more if i < 5 else ""))
             for size in (4, 5, 8) for i in range(size)]
     got = {r["page_id"]: r["text"] for r in web.extract_text(pages(spark, rows)).collect()}
-    for size in (4, 8):  # on 5 pages the tip stands on all of them, and its paragraph is the template's
+    for size in (4, 5, 8):
         for i in range(size):
             assert got[10 * size + i] == f"Dish {i}\nIngredients\nflour {i}" + ("\nTip\nServe it hot" if i < 5 else "")
-    assert all(got[50 + i] == f"Dish {i}\nIngredients\nflour {i}\nTip" for i in range(5))
+
+
+def test_template_decides_where_no_article_is_marked(spark):
+    page = "<body><div><p>Welcome to us</p></div><div><h1>Dish {n}</h1><p>flour {n}</p><p>sugar {n}</p></div><div><p>Call us</p><p>or write</p></div></body>"
+    rows = [(i, f"https://h.example/{i}", page.format(n=i)) for i in range(7)]
+    got = {r["page_id"]: r["text"] for r in web.extract_text(pages(spark, rows)).collect()}
+    assert got == {i: f"Dish {i}\nflour {i}\nsugar {i}" for i in range(7)}
+
+
+@pytest.mark.parametrize("html, text", [
+    ('<div class="content-sidebar-wrap"><article><h1>T</h1><p>Long story</p></article></div>', "T\nLong story"),
+    ('<article class="post has-sidebar"><p>a</p></article>', "a"), ('<article><h2 class="section-header">S</h2><p>a</p></article>', "S\na"),
+    ('<p>text <span class="ad">Buy now</span> more</p>', "text more"), ("<article>a <button>Share</button> b</article>", "a b"),
+    ("<article><p>a<noscript>no</noscript> b</p></article>", "a b"), ('<article><p>a <span class="comments">3</span></p></article>', "a"),
+    ("<article><p>before <button>click</p><p>after</p></article>", "before\nafter"), ("<p>before <button>click<p>after", "before\nafter"),
+    ('<article class="comment"><p>r</p></article><p>x</p>', "x"), ('<body class="ad"><p>x</p></body>', "x"),
+    ('<div class="site-footer wide">f</div><div id="main-nav">n</div><p>x</p>', "x"), ('<p>a<span class="ad">b</span>c</p>', "a c"),
+    ("<div><aside>open<p>in</div><p>x</p>", "x"), ('<div class="nav"><p>m</div><div class="menu-bar"><ul><li>k</ul></div><p>x</p>', "x")])
+def test_asides_by_whole_names_and_to_their_end(html, text):
+    assert text_of(html) == text
 
 
 def test_classes_share_vectors(spark):
