@@ -7,8 +7,8 @@ from opsweave.config import RetentionParams
 from opsweave.functions import severity as sev
 from opsweave.functions.text import display_text
 from opsweave.operators import events as ev
-from opsweave.operators.timeline import new_path
-from opsweave.plans import store
+from opsweave.operators.timeline import Timeline, new_path
+from opsweave.plans import store, versions
 from opsweave.schemas import SYSTEM_EVENTS
 from opsweave.sources.logs import log_line
 from opsweave.sources.tables import AS_OF, EVENT_COLUMNS, sample_events, scan_events, system_events
@@ -251,3 +251,48 @@ def union_events(spark, folder):
              e.where("event_type = 'error'").select("id", "type", F.lit("journald").alias("source"),
                                                     F.col("raw_data").alias("extra"))]
     return ev.union_events(*parts).groupBy("source", "type").agg(F.count("*").alias("n"), F.count("extra").alias("extras"))
+
+
+def _versioned(spark, folder, batches: int = 5) -> str:
+    """The events as a table in versions: appended in batches by id, so every batch has rows of every day."""
+    path = new_path(spark, "versions")
+    events = system_events(spark, folder)
+    for n in range(batches):
+        versions.append(events.where(F.col("id") % batches == n), path, f"b{n}")
+    return path
+
+
+@query(f"""WITH {EV} SELECT CAST(ts AS DATE) AS event_date, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids,
+  count(*) FILTER (WHERE coalesce(user_action, '') = 'seen') AS seen, 1 AS folders FROM (
+  SELECT * REPLACE (CASE WHEN id % 10 = 0 THEN 'seen' ELSE user_action END AS user_action) FROM ev) GROUP BY 1""")
+def compact_events(spark, folder):
+    """Batches appended, an update log folded in, days compacted: all rows are there, each day in one folder."""
+    path = _versioned(spark, folder)
+    events = system_events(spark, folder)
+    log = events.where("id % 10 = 0").select("id", F.lit("seen").alias("user_action"), F.current_timestamp().alias("updated_at"))
+    versions.fold_updates(spark, path, log)
+    versions.compact(spark, path)
+    rows = versions.read(spark, path).groupBy("event_date").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.count_if(F.col("user_action") == "seen").alias("seen"))
+    listed = versions.folders(spark, path).groupBy(F.col("day").alias("event_date")).agg(F.count(F.lit(1)).cast("int").alias("folders"))
+    return rows.join(listed, "event_date")
+
+
+@query(f"WITH {EV} SELECT id, type, user_action FROM ev WHERE NOT ({_EXPIRED})")
+def versioned_retention(spark, folder):
+    """Retention as a new version of the table; the version before is still there to be read."""
+    path = _versioned(spark, folder, 2)
+    versions.retain(spark, path, AS_OF, KEEP)
+    return versions.read(spark, path).select("id", "type", "user_action")
+
+
+@query(f"WITH {EV} SELECT host, count(*) AS n, true AS in_order FROM ev GROUP BY host")
+def increasing_ids(spark, folder):
+    """Ids given on append rise with time within a batch and from batch to batch: pages can be read by id."""
+    path = new_path(spark, "numbered")
+    events = system_events(spark, folder).drop("id")
+    half = events.agg(F.percentile_approx(F.unix_micros("ts"), 0.5)).first()[0] or 0
+    versions.append(events.where(F.unix_micros("ts") <= half), path, "first")
+    versions.append(events.where(F.unix_micros("ts") > half), path, "second")
+    rows = Timeline(versions.read(spark, path), ["host"], ["id"], width=1 << 33).carry({"before": F.col("ts")}).df
+    return rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_and(F.col("before") <= F.col("ts")), F.lit(True)).alias("in_order"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from opsweave.catalog import EV, query
+from opsweave.catalog import EV, query, us
 from opsweave.functions.text import display_text
 from opsweave.operators.similar import build_index, past_context, similar
-from opsweave.sources.tables import sample_events, table
+from opsweave.operators.preferences import preferences
+from opsweave.sources.tables import AS_OF, sample_events, table
 
 _PAIRS = """pairs AS (SELECT q.id AS query, e.id,
     round(list_inner_product(q.v, e.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(e.v, e.v))), 9) AS similarity
@@ -60,3 +61,22 @@ def similar_recall(spark, folder):
     got = similar(index, asked).select("query", "id", F.lit(1).alias("hit"))
     return want.join(got, ["query", "id"], "left").agg(
         F.count(F.lit(1)).alias("n"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough"))
+
+
+@query(f"""WITH RECURSIVE {EV}, acts AS (SELECT host, concat(type, ':', source) AS pattern, us, id, user_action FROM ev
+  WHERE user_action IS NOT NULL),
+each AS (SELECT acts.*, p.preference, user_action = p.preference AS hit, row_number() OVER (PARTITION BY host, pattern, preference ORDER BY us, id) AS rn
+  FROM acts, (VALUES ('ignored'), ('restarted'), ('postponed'), ('applied')) p(preference)),
+steps AS (SELECT host, pattern, preference, rn, us, CASE WHEN hit THEN 1 - pow(3, -0.25) ELSE 0 END AS c, hit::INTEGER::BIGINT AS samples FROM each WHERE rn = 1
+  UNION ALL SELECT e.host, e.pattern, e.preference, e.rn, e.us, CASE WHEN e.hit THEN pow(3, -0.25) ELSE 0.5 END * s.c * exp(-ln(2) / 7776000e6 * (e.us - s.us))
+    + CASE WHEN e.hit THEN 1 - pow(3, -0.25) ELSE 0 END, s.samples + e.hit::INTEGER
+  FROM steps s JOIN each e USING (host, pattern, preference) WHERE e.rn = s.rn + 1),
+ends AS (SELECT * FROM steps QUALIFY row_number() OVER (PARTITION BY host, pattern, preference ORDER BY rn DESC) = 1)
+SELECT host, pattern, preference, round(c * exp(-ln(2) / 7776000e6 * (epoch_us(TIMESTAMP '{AS_OF}') - us)), 9) AS confidence, samples,
+  us AS last_updated_us, c * exp(-ln(2) / 7776000e6 * (epoch_us(TIMESTAMP '{AS_OF}') - us)) > 0.8 AS change FROM ends WHERE samples > 0""")
+def preference_confidence(spark, folder):
+    """What users prefer to do about each pattern of events, and how sure that is."""
+    events = sample_events(spark, folder)
+    acts = events.withColumn("pattern", F.concat("type", F.lit(":"), "source"))
+    return preferences(acts, AS_OF).select("host", "pattern", "preference", F.round("confidence", 9).alias("confidence"), "samples",
+                                           us("last_updated"), "change")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from opsweave.catalog import EV, SAMPLES, query, us
 from opsweave.config import DedupParams, LevelParams, TrendParams
 from opsweave.functions.text import fingerprint
-from opsweave.operators import series, status, throttle
+from opsweave.operators import rates, series, status, throttle
 from opsweave.sources.tables import metric_samples, sample_events
 
 TREND = TrendParams(alpha=0.1, window=20, cooldown=6 * 3600)
@@ -372,3 +372,22 @@ def trend_summaries(spark, folder):
     alerts = series.trend_alerts(metric_samples(spark, folder), TREND, explicit=0.05)
     said = trend_summary(F.col("metric"), F.col("slope"), F.col("value"))
     return alerts.select("host", "metric", us(), F.regexp_replace(said, r"at .*/hour.*$", "at ~/hour").alias("summary"))
+
+
+@query(f"""WITH {EV} SELECT host, type, us // 3600000000 * 3600000000 AS window_us, count(*) AS n, round(count(*) / 60, 9) AS per_minute
+FROM ev GROUP BY ALL""")
+def rate_series(spark, folder):
+    """Events per hour, host and type, merged from minutes."""
+    return rates.rate_series(sample_events(spark, folder), ["host", "type"]).select(
+        "host", "type", us("window"), "n", F.round("per_minute", 9).alias("per_minute"))
+
+
+@query(f"""WITH {EV} SELECT host, us // 86400000000 * 86400000000 AS window_us, count(*) AS n, count(value) AS measured, true AS within
+FROM ev GROUP BY ALL""")
+def latency_series(spark, folder):
+    """Daily quantiles of values by sketches merged from minutes to hours to days; their exact ranks are within the promised error."""
+    events, shares = sample_events(spark, folder), [0.5, 0.95, 0.99]
+    found = rates.latency_series(events, ["host"], "value", shares)
+    errors = rates.rank_errors(found, events, ["host"], "value", shares)
+    worst = F.greatest(*[F.col(f"q{round(s * 100)}_error") for s in shares])
+    return found.join(errors, ["host", "window"]).select("host", us("window"), "n", "measured", (worst <= rates.RANK_ERROR).alias("within"))
