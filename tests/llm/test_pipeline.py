@@ -1,5 +1,6 @@
 """The pipeline against a brute-force version, stage by stage; and the registered queries."""
 
+import math
 import random
 import zlib
 from collections import Counter
@@ -10,7 +11,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from opsweave.llm.mixing import rates_by_temperature
 from opsweave.llm.quality import train_quality
-from opsweave.llm.simhash import shingles
+from opsweave.llm.simhash import near_groups, shingles
 from opsweave.llm.tokens import default_tokenizer, ids_of
 from tests.check_oracles import rows as plain_rows
 from tests.llm.data import documents, sentence
@@ -119,3 +120,32 @@ def test_other_queries_give_a_row_per_row(spark, name):
     want = {r[key] for r in spark.read.parquet(f"{FOLDER}/{table}.parquet").select(key).collect()}
     got = [r[key] for r in df.select(key).collect()]
     assert set(got) == want and (len(got) == len(want) or name.startswith("op9"))
+
+
+def all_near_pairs(texts, least=0.8):
+    """(a, b) of all texts with different sets of shingles that share `least` of them: an exact prefix filter."""
+    sets = [(i, s) for i, s in ((i, set(shingles(t or "", 5))) for i, t in texts) if s]
+    often = Counter(g for _, s in sets for g in s)
+    index, found = {}, []
+    for n, (i, s) in enumerate(sets):
+        rare = sorted(s, key=lambda g: (often[g], g))[:len(s) - math.ceil(least * len(s)) + 1]
+        for m in {m for g in rare for m in index.get(g, ())}:
+            j, u = sets[m]
+            both = len(s & u)
+            if s != u and both >= least * (len(s) + len(u) - both):
+                found.append((i, j))
+        for g in rare:
+            index.setdefault(g, []).append(n)
+    return found
+
+
+def test_near_dedup_recall_against_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    group = {r["doc_id"]: r["component_id"] for r in near_groups(docs, words=5, hashes=16, max_bits=184, least=0.8).collect()}
+    pairs = all_near_pairs(texts)
+    assert pairs and sum(group[a] == group[b] for a, b in pairs) >= 0.9 * len(pairs)
+    by_set = {}
+    for i, t in texts:
+        by_set.setdefault(frozenset(shingles(t or "", 5)), set()).add(group[i])
+    assert all(len(g) == 1 for g in by_set.values())
