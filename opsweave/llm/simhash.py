@@ -210,8 +210,14 @@ def _meet_middle(entries: DataFrame, most: int) -> DataFrame:
     return (entries.repartition("key").sortWithinPartitions("key", "node").mapInPandas(run, f"u {kind}, v {kind}"))
 
 
-def _meet_apart(entries: DataFrame, entry: list[str], roots: DataFrame, most: int) -> DataFrame:
-    """Pairs (u, v) of all members of an entry that `roots` does not tie together yet, if `near` differs in at most `most` bits.
+def _all_bits(a: str, b: str) -> Column:
+    """In how many bits two complete fingerprints differ."""
+    return F.aggregate(F.zip_with(a, b, _distance), F.lit(0), lambda x, y: x + y)
+
+
+def _meet_apart(entries: DataFrame, entry: list[str], roots: DataFrame, prints: DataFrame, most: int, max_bits: int) -> DataFrame:
+    """Pairs (u, v) of all members of an entry that `roots` does not tie together yet, if `near` differs in at most `most` bits
+    and the complete fingerprints (node, fp) in at most `max_bits`: they are compared where members meet, so what fails is never a row.
 
     Of each entry the members outside its largest group meet all members: that no more than doubles what has to
     be compared, however large the groups are. Entries of over LOT members are dealt to several tasks.
@@ -222,14 +228,15 @@ def _meet_apart(entries: DataFrame, entry: list[str], roots: DataFrame, most: in
                .withColumns({"main": F.max(F.struct("n", "root")).over(one)["root"], "size": F.count(F.lit(1)).over(one),
                              "least": F.min("root").over(one), "most": F.max("root").over(one)})
                .where(F.col("least") != F.col("most"))
-               .select("node", "near", "root", "main", *entry, F.ceil(F.col("size") / LOT).cast("int").alias("lots")))
+               .select("node", "near", "root", "main", *entry, F.ceil(F.col("size") / LOT).cast("int").alias("lots"))
+               .join(prints, "node"))
     left = members.withColumn("lot", F.pmod(F.xxhash64("node"), F.col("lots")).cast("int"))
     right = (members.where("root <> main").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
-             .select(*entry, "lot", *[F.col(c).alias(f"other_{c}") for c in ("node", "near", "root")]))
+             .select(*entry, "lot", *[F.col(c).alias(f"other_{c}") for c in ("node", "near", "root", "fp")]))
     return (left.join(right, [*entry, "lot"])
             .where((F.col("root") != F.col("other_root")) & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("other_node")))
-                   & (_distance(F.col("near"), F.col("other_near")) <= most))
-            .select(F.col("node").alias("u"), F.col("other_node").alias("v")))
+                   & (_distance(F.col("near"), F.col("other_near")) <= most) & (_all_bits("fp", "other_fp") <= max_bits))
+            .select(F.greatest("node", "other_node").alias("u"), F.least("node", "other_node").alias("v")).distinct())
 
 
 def links_by_segments(prints: DataFrame, entries: DataFrame, hashes: int, max_bits: int,
@@ -247,12 +254,12 @@ def links_by_segments(prints: DataFrame, entries: DataFrame, hashes: int, max_bi
         pairs = met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         both = (pairs.join(full.select(F.col("node").alias("u"), F.col("fp").alias("fu")), "u")
                 .join(full.select(F.col("node").alias("v"), F.col("fp").alias("fv")), "v"))
-        bits = F.aggregate(F.zip_with("fu", "fv", _distance), F.lit(0), lambda a, b: a + b)
-        return written(both.where(bits <= max_bits).select("u", "v"), "candidates")
+        return written(both.where(_all_bits("fu", "fv") <= max_bits).select("u", "v"), "candidates")
 
     shared = written(entries.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*entry))).where("_n > 1").drop("_n"), "entries")
     links = written(verify(close(_meet_middle(shared, most))), "alike")
-    return links.unionByName(verify(close(_meet_apart(shared, entry, components(links), most))))
+    apart = written(_meet_apart(shared, entry, components(links), full, most, max_bits), "candidates")
+    return links.unionByName(verify(apart))
 
 
 def alike(docs: DataFrame, links: DataFrame, key: str, text: str, words: int, least: float) -> DataFrame:
