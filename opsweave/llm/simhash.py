@@ -182,8 +182,9 @@ def middles(near: np.ndarray, first: np.ndarray) -> np.ndarray:
     return order[first]
 
 
-def _meet_middle(entries: DataFrame, most: int) -> DataFrame:
-    """Pairs (u, v) of an entry's members with its middle one, if `near` differs in at most `most` bits.
+def _meet_middle(entries: DataFrame, most: int, max_bits: int) -> DataFrame:
+    """Pairs (u, v) of an entry's members with its middle one, if `near` differs in at most `most` bits and the complete
+    fingerprint `fp` in at most `max_bits`: they are compared where they meet, so what fails is never a row.
 
     Copies of one text, each changed somewhere, are less like each other than like that text, whose fingerprint is near
     their majority: so a group of them is tied by one pair each. An entry's members are read as a stream, in pieces of
@@ -192,22 +193,26 @@ def _meet_middle(entries: DataFrame, most: int) -> DataFrame:
     kind = entries.schema["node"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None  # key, node and word of the last middle
+        last = None  # key, node and fingerprint of the last middle
         for pdf in frames:
             key, node, near = (pdf[c].to_numpy() for c in ("key", "node", "near"))
             if not len(key):
                 continue
+            fp = np.array(pdf["fp"].tolist(), dtype=np.int64).reshape(len(pdf), -1).view(np.uint64)  # bits of signed words are miscounted
+            word = near.view(np.uint64)
             first = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
             middle = middles(near, first)
             meets = np.repeat(middle, np.diff(np.append(first, len(key))))
-            close = (np.bitwise_count(near ^ near[meets]) <= most) & (meets != np.arange(len(key)))
+            close = (np.bitwise_count(word ^ word[meets]) <= most) & (meets != np.arange(len(key)))
+            close &= np.bitwise_count(fp ^ fp[meets]).sum(1) <= max_bits
             u, v = node[close], node[meets[close]]
-            if last is not None and last[0] == key[0]:
+            if last is not None and last[0] == key[0] and np.bitwise_count(fp[middle[0]] ^ last[2]).sum() <= max_bits:
                 u, v = np.append(u, node[middle[0]]), np.append(v, last[1])
-            last = key[-1], node[middle[-1]]
+            last = key[-1], node[middle[-1]], fp[middle[-1]]
             yield pd.DataFrame({"u": u, "v": v})
 
-    return (entries.repartition("key").sortWithinPartitions("key", "node").mapInPandas(run, f"u {kind}, v {kind}"))
+    met = entries.repartition("key").sortWithinPartitions("key", "node").mapInPandas(run, f"u {kind}, v {kind}")
+    return met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def _all_bits(a: str, b: str) -> Column:
@@ -250,14 +255,8 @@ def links_by_segments(prints: DataFrame, entries: DataFrame, hashes: int, max_bi
     most = word_limit(64 * hashes, max_bits)
     full = prints.select("node", "fp")
 
-    def close(met: DataFrame) -> DataFrame:
-        pairs = met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        both = (pairs.join(full.select(F.col("node").alias("u"), F.col("fp").alias("fu")), "u")
-                .join(full.select(F.col("node").alias("v"), F.col("fp").alias("fv")), "v"))
-        return written(both.where(_all_bits("fu", "fv") <= max_bits).select("u", "v"), "candidates")
-
     shared = written(entries.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*entry))).where("_n > 1").drop("_n"), "entries")
-    links = written(verify(close(_meet_middle(shared, most))), "alike")
+    links = written(verify(written(_meet_middle(shared.join(full, "node"), most, max_bits), "candidates")), "alike")
     apart = written(_meet_apart(shared, entry, components(links), full, most, max_bits), "candidates")
     return links.unionByName(verify(apart))
 

@@ -367,3 +367,11 @@ def test_wide_fingerprints_by_definition():
 def test_middle_of_a_group_is_nearest_to_its_majority():
     near = np.array([0b0111, 0b1111, 0b1110, -1, 5, 5], dtype=np.int64)
     assert simhash.middles(near, np.array([0, 3, 4])).tolist() == [1, 3, 4]
+
+
+def test_middle_is_met_whatever_the_signs_of_words(spark):
+    entries = spark.createDataFrame([(1, -1, 7, [-1, 5]), (2, -2, 7, [-2, 5]), (3, 2 ** 63 - 1, 7, [2 ** 63 - 1, 5]), (4, 0, 7, [0, 5])],
+                                    "node long, near long, key long, fp array<long>")
+    assert [tuple(r) for r in simhash._meet_middle(entries, 1, 1).collect()] == [(2, 1)]
+    assert sorted(tuple(r) for r in simhash._meet_middle(entries, 2, 2).collect()) == [(2, 1), (3, 2)]
+    assert simhash._meet_middle(entries, 2, 1).count() == 1
