@@ -17,7 +17,7 @@ from opsweave.config import LevelParams, TrendParams
 from opsweave.functions.text import fixed
 from opsweave.operators.change import new_entities
 from opsweave.operators.throttle import MICROS, cooldown_rows
-from opsweave.operators.timeline import Columns, Timeline
+from opsweave.operators.timeline import Columns, Timeline, written
 
 SERIES = ["host", "metric"]
 
@@ -177,7 +177,7 @@ def trend_alerts(samples: DataFrame, params: TrendParams = TrendParams(),
     """Samples whose slope reaches the threshold in size, at most one per cooldown and series.
 
     Without thresholds given, the built-in ones by metric name apply; metrics with none
-    never alert.
+    never alert. The cooldown reads its rows more than once, so they are written first: the trend is computed once.
     """
     default = None if configured is not None else slope_limit(F.col("metric"))
     rated = with_thresholds(trend(samples, params).where(F.col("slope").isNotNull()),
@@ -185,7 +185,7 @@ def trend_alerts(samples: DataFrame, params: TrendParams = TrendParams(),
     over = (rated.where(F.abs("slope") >= F.col("threshold"))
             .select(*SERIES, "ts", "value", "ema", "slope", "threshold"))
     if params.cooldown > 0:
-        over = cooldown_rows(over, SERIES, params.cooldown, tie="value").drop("repeats")
+        over = cooldown_rows(written(over, "over"), SERIES, params.cooldown, tie="value").drop("repeats")
     return over.withColumn("direction", F.when(F.col("slope") > 0, "rising").otherwise("falling"))
 
 

@@ -12,6 +12,7 @@ Folds, whose decisions depend on their own earlier output, stream sorted rows th
 tasks in Arrow batches with a state of bounded size. Where what a run of rows does to any
 state can be summed up (`split_fold`), that too goes by (key, bucket): runs are summed up side by
 side, the summaries of a key are composed in order, and every bucket starts from its true state.
+A key of at most BUCKET_STEPS rows is one run, so that many small keys cost no summaries and no state per bucket.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import tempfile
 import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -51,6 +53,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table, written to the shared folder and read again: what reads it more than once has it made once."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bucket_of(df: DataFrame, column: str, width: int | None = None) -> Column:
     """A number (or the value itself) that never falls as `column` grows."""
     kind = df.schema[column].dataType
@@ -221,17 +230,32 @@ def fold_rows(timeline: Timeline, step: Step, added: str, reads: list[str] = ())
     return _folded(timeline.df, timeline.keys, timeline.order, step, added, list(reads))
 
 
+def _with_bucket(timeline: Timeline) -> DataFrame:
+    """The rows with their bucket, which is null in keys of at most BUCKET_STEPS rows.
+
+    The keys of more rows, of which there is at most one per so many rows, are broadcast.
+    """
+    df, keys = timeline.df, timeline.keys
+    large = (df.groupBy(*[F.col(k).alias(f"_large_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_large"))
+             .where(F.col("_large") > BUCKET_STEPS))
+    same = [F.col(k).eqNullSafe(F.col(f"_large_{k}")) for k in keys]
+    return (df.join(F.broadcast(large), reduce(Column.__and__, same), "left")
+            .withColumn(BUCKET, F.when(F.col("_large").isNotNull(), bucket_of(df, timeline.order[0], timeline.width)))
+            .drop("_large", *[f"_large_{k}" for k in keys]))
+
+
 def split_fold(timeline: Timeline, step: Step, added: str, summarize: Summarize, advance: Advance,
                reads: list[str] = ()) -> DataFrame:
     """A fold whose runs of rows can be summed up: no task holds more than the buckets dealt to it.
 
-    One pass over the narrow columns sums up each run of a bucket; the summaries of a key, one
-    per bucket or Arrow batch, are composed in order; the rows then fold from their bucket's entry state.
+    Keys of at most BUCKET_STEPS rows are folded whole. Of the others one pass over the narrow columns sums up each run of
+    a bucket; the summaries of a key, one per bucket or Arrow batch, are composed in order; the rows then fold from
+    their bucket's entry state. The rows are read for the count of a key's rows, for the summaries and for the fold.
     """
     keys, order = timeline.keys, timeline.order
-    rows = timeline.df.withColumn(BUCKET, bucket_of(timeline.df, order[0], timeline.width))
+    rows = _with_bucket(timeline)
     by = [*keys, BUCKET]
-    narrow = rows.select(*dict.fromkeys([*by, *order, *reads]))
+    narrow = rows.where(F.col(BUCKET).isNotNull()).select(*dict.fromkeys([*by, *order, *reads]))
     kinds = {f.name: f for f in narrow.schema.fields}
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,3 +230,25 @@ def test_hot_source_is_worked_on_by_many_tasks(spark, monkeypatch):
     names = dict(walked)
     assert names["rate-starts"] == 34 and names["rate-decided"] == 3000
     assert names["rate-misled"] == 0 and "rate-in-order" not in names
+
+
+def test_small_keys_are_folded_whole(spark, monkeypatch):
+    df = rows(spark, [(90_000 * day, fp, "s") for fp in ("a", None) for day in range(5)]).withColumn("us", F.unix_micros("ts"))
+
+    def run_lengths(part, state):
+        n = len(part["us"])
+        return None, {"n": np.full(n, n), "before": np.full(n, state or 0)}, (state or 0) + n
+
+    def lengths():
+        found = timeline.Timeline(df, ["host", "fingerprint"], ["us", "id"]).split_fold(
+            run_lengths, "n long, before long", lambda part: len(part["us"]), lambda n, state: (state or 0) + n)
+        return sorted(tuple(r) for r in found.select("id", "n", "before").collect())
+
+    assert lengths() == [(i, 5, 0) for i in range(10)]  # not one run per day
+    monkeypatch.setattr(timeline, "BUCKET_STEPS", 4)
+    assert lengths() == [(i, 1, i % 5) for i in range(10)]
+
+
+def test_the_trend_is_computed_once(spark):
+    found = series.trend_alerts(samples(spark, [5 * i for i in range(30)]), TrendParams(0.5, 10, 3600), explicit=0.1)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") <= 3  # those of the cooldown
