@@ -1,5 +1,7 @@
 """Streaming queries: the event table read as a stream, run to its end, results read back."""
 
+from itertools import groupby
+
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -247,21 +249,25 @@ def status_expiry_stream(spark, folder):
 
 def _write_logs(lines: DataFrame, folder: str, append: bool) -> None:
     """Lines (host, id, line) into one file per host, written by the tasks that hold them."""
-    def write(rows) -> None:
+    def write(batches):
         store, place = tail.filesystem(folder)
         store.create_dir(place)
         host, out = None, None
-        for row in rows:
-            if row["host"] != host:
-                if out is not None:
-                    out.close()
-                host, path = row["host"], f"{place}/{row['host']}.log"
-                out = store.open_append_stream(path) if append else store.open_output_stream(path)
-            out.write((row["line"] + "\n").encode())
+        for batch in batches:
+            rows = zip(batch.column("host").to_pylist(), batch.column("line").to_pylist())
+            for name, run in groupby(rows, key=lambda row: row[0]):
+                if name != host:
+                    if out is not None:
+                        out.close()
+                    host, path = name, f"{place}/{name}.log"
+                    out = store.open_append_stream(path) if append else store.open_output_stream(path)
+                out.write("".join(line + "\n" for _, line in run).encode())
+            yield batch.slice(0, 0)
         if out is not None:
             out.close()
 
-    lines.repartition("host").sortWithinPartitions("host", "id").foreachPartition(write)
+    rows = lines.repartition("host").sortWithinPartitions("host", "id").select("host", "line")
+    rows.mapInArrow(write, rows.schema).write.format("noop").mode("overwrite").save()
 
 
 @query("SELECT concat('h', user_id % 3) AS host, concat('pkg', user_id, ' installed (', event_id, '-1)') AS summary FROM events")

@@ -3,7 +3,7 @@
 The offset of the stream tells, per file, how many bytes were read and a checksum of the file's first bytes.
 A file that has become shorter, or whose first bytes changed, was truncated or rotated: it is read from its
 beginning. A last line without its end is left for a later trigger. New bytes are cut into ranges, so one large
-file is read by many tasks.
+file is read by many tasks; where there are many, the ranges are longer, so that tasks do not outgrow the work in them.
 """
 
 from __future__ import annotations
@@ -20,9 +20,11 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from opsweave.functions.text import strip
 
-#: Bytes of a range that one task reads, bytes at a file's beginning that tell it from another, and lines of a batch.
+#: Bytes of the longest range that one task reads, bytes at a file's beginning that tell it from another, and lines of a batch.
 RANGE, HEAD, LINES = 64 << 20, 256, 10_000
 STEP = 1 << 16
+#: Ranges of a trigger above which they become longer than asked for, up to RANGE: a task's start costs as much as some MB.
+RANGES = 32
 
 
 @dataclass
@@ -87,15 +89,16 @@ class TailReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Bytes]:
         self.store, _ = filesystem(self.path)
-        out = []
+        new = []
         for path, (stop, size, check) in sorted(end["files"].items()):
             read, seen, known = start["files"].get(path, (0, 0, 0))
             # the same file, grown: it is as long, and begins with what it began with
             grown = stop >= read and size >= seen and head(self.store, path, seen) == known if seen else stop >= read
-            first = read if grown else 0
-            for low in range(first, stop, self.range):
-                out.append(Bytes(path, low, min(stop, low + self.range), stop, low == first))
-        return out
+            new.append((path, read if grown else 0, stop))
+        longer = min(RANGE, sum(stop - first for _, first, stop in new) // RANGES)
+        width = max(self.range, longer)
+        return [Bytes(path, low, min(stop, low + width), stop, low == first)
+                for path, first, stop in new for low in range(first, stop, width)]
 
     def read(self, partition: Bytes) -> Iterator[pa.RecordBatch]:
         store, _ = filesystem(self.path)

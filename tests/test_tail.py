@@ -56,3 +56,13 @@ def test_missing_and_empty_files(tmp_path):
     put(tmp_path / "open", "no end")
     reader = tail.TailReader({"path": str(tmp_path)})
     assert reader.partitions(reader.initialOffset(), reader.latestOffset()) == []
+
+
+def test_many_short_ranges_become_longer(tmp_path):
+    for name in "abc":
+        put(tmp_path / f"{name}.log", "".join(f"{name} line {i}\n" for i in range(1000)))
+    reader = tail.TailReader({"path": str(tmp_path), "rangeBytes": "10"})
+    parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert len(parts) <= tail.RANGES + 3  # not one per 10 bytes
+    found = [r["line"] for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert found == [f"{name} line {i}" for name in "abc" for i in range(1000)]
