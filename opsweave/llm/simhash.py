@@ -22,6 +22,8 @@ BLOCK = 65_536
 RECALL, WIDTH = 0.95, 24
 #: Members of an index entry that one task compares with others at a time.
 LOT = 1024
+#: Members of the entries whose first words are all compared before complete fingerprints are looked up.
+FEW = 16
 
 
 def shingles(text: str, words: int) -> list[bytes]:
@@ -244,6 +246,17 @@ def _meet_apart(entries: DataFrame, entry: list[str], roots: DataFrame, prints:
             .select(F.greatest("node", "other_node").alias("u"), F.least("node", "other_node").alias("v")).distinct())
 
 
+def shared_entries(entries: DataFrame, entry: list[str], most: int) -> DataFrame:
+    """The entries of more than one member, in those of up to FEW members only the members whose word `near` differs from
+    another one's in at most `most` bits. No pair further apart is a link, and most members that share a key by chance,
+    whose number grows with the square of the corpus, are that far apart."""
+    one = Window.partitionBy(*entry)
+    words = F.collect_list(F.when(F.col("_n") <= FEW, F.col("near"))).over(one)
+    close = F.size(F.filter("_words", lambda word: _distance(word, F.col("near")) <= most))  # its own word counts
+    return (entries.withColumn("_n", F.count(F.lit(1)).over(one)).where("_n > 1").withColumn("_words", words)
+            .where((F.col("_n") > FEW) | (close > 1)).drop("_n", "_words"))
+
+
 def links_by_segments(prints: DataFrame, entries: DataFrame, hashes: int, max_bits: int,
                       verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links (u, v) that tie together all nodes that share an index entry, differ in at most `max_bits` bits and pass `verify`.
@@ -255,7 +268,7 @@ def links_by_segments(prints: DataFrame, entries: DataFrame, hashes: int, max_bi
     most = word_limit(64 * hashes, max_bits)
     full = prints.select("node", "fp")
 
-    shared = written(entries.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*entry))).where("_n > 1").drop("_n"), "entries")
+    shared = written(shared_entries(entries, entry, most), "entries")
     links = written(verify(written(_meet_middle(shared.join(full, "node"), most, max_bits), "candidates")), "alike")
     apart = written(_meet_apart(shared, entry, components(links), full, most, max_bits), "candidates")
     return links.unionByName(verify(apart))

@@ -375,3 +375,11 @@ def test_middle_is_met_whatever_the_signs_of_words(spark):
     assert [tuple(r) for r in simhash._meet_middle(entries, 1, 1).collect()] == [(2, 1)]
     assert sorted(tuple(r) for r in simhash._meet_middle(entries, 2, 2).collect()) == [(2, 1), (3, 2)]
     assert simhash._meet_middle(entries, 2, 1).count() == 1
+
+
+def test_members_that_meet_by_chance_are_left_out(spark):
+    far = [(100 + i, (i * 0x9E3779B97F4A7C15) % (1 << 63), 4) for i in range(simhash.FEW + 1)]
+    found = spark.createDataFrame([(1, 0, 1), (2, -1, 1), (3, 0, 2), (4, 1, 2), (5, 0, 3), (6, 0, 3), (7, -1, 3), (8, 0, 5), *far],
+                                  "node long, near long, key long")
+    kept = {tuple(r) for r in simhash.shared_entries(found, ["key"], 17).select("node", "near", "key").collect()}
+    assert kept == {(3, 0, 2), (4, 1, 2), (5, 0, 3), (6, 0, 3), *far}
