@@ -117,13 +117,19 @@ def first_seen(df: DataFrame, keys: list[str], order: list[str], prime: bool = F
     stay silent. A plain aggregate: each task keeps one row per key before the shuffle.
     """
     rest = [c for c in df.columns if c not in keys]
-    first = (df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r"))
-             .select(*keys, "r.*").select(*df.columns))
+    least = F.struct(*rest), F.struct(*order)
+    shown = lambda first: first.select(*keys, "r.*").select(*df.columns)
     if not prime:
-        return first
+        return shown(df.groupBy(*keys).agg(F.min_by(*least).alias("r")))
     scan = scan or ["host"]
-    start = df.groupBy(*scan).agg(F.min(order[0]).alias("_start"))
-    return first.join(start, scan).where(F.col(order[0]) > F.col("_start")).drop("_start")
+    if set(scan) <= set(keys):  # a scan's start is the least of its keys'
+        # both sides need both aggregates, so the rows are read and grouped once
+        first = df.groupBy(*keys).agg(F.min_by(*least).alias("r"), F.min(order[0]).alias("_least")).where("r is not null and _least is not null")
+        start = first.groupBy(*scan).agg(F.min("_least").alias("_start"))
+    else:
+        first = df.groupBy(*keys).agg(F.min_by(*least).alias("r"))
+        start = df.groupBy(*scan).agg(F.min(order[0]).alias("_start"))
+    return shown(first).join(start, scan).where(F.col(order[0]) > F.col("_start")).drop("_start")
 
 
 def accumulation_alert(df: DataFrame, key: str, order: list[str], warn: int = 50) -> DataFrame:

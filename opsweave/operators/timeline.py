@@ -7,6 +7,7 @@ needs from those before it is one value, its carry. Every bucket is reduced to w
 leaves behind (a combined aggregate of few columns), carries run through one small window over
 the buckets of a key, and come back as one row in front of each bucket's own rows. The
 width of a bucket never changes the result, and the plan is the same at every size.
+`carry` leaves keys of at most BUCKET_STEPS rows whole: cut by day, they would be about as many buckets as rows.
 
 Folds, whose decisions depend on their own earlier output, stream sorted rows through
 tasks in Arrow batches with a state of bounded size. Where what a run of rows does to any
@@ -34,7 +35,7 @@ from pyspark.sql import types as T
 
 #: Width of a bucket: seconds of a time (or of microseconds in `us`, `_us`), steps of another number.
 BUCKET_SECONDS, BUCKET_STEPS = 86_400, 65_536
-BUCKET, REAL = "_bucket", "_real"
+BUCKET, REAL, LARGE = "_bucket", "_real", "_large"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -108,10 +109,10 @@ class Timeline:
         """For each name, the last non-null value among the rows strictly before this one;
         with `reverse`, the next one among the rows after it."""
         held = {name: f"_value_{name}" for name in values}
-        rows = self.df.withColumns({held[n]: v for n, v in values.items()}).withColumn(
-            BUCKET, bucket_of(self.df, self.order[0], self.width))
+        marked = _marked(self._with(self.df.withColumns({held[n]: v for n, v in values.items()})))
+        rows = marked.drop(LARGE)
         at, nearest = F.struct(*self.order), F.min_by if reverse else F.max_by
-        ends = rows.groupBy(*self.keys, BUCKET).agg(
+        ends = marked.where(LARGE).groupBy(*self.keys, BUCKET).agg(
             *[nearest(h, F.when(F.col(h).isNotNull(), at)).alias(h) for h in held.values()])
         carries = ends.select(*self.keys, BUCKET, *[
             F.last(h, ignorenulls=True).over(self._earlier(reverse)).alias(h) for h in held.values()])
@@ -230,18 +231,18 @@ def fold_rows(timeline: Timeline, step: Step, added: str, reads: list[str] = ())
     return _folded(timeline.df, timeline.keys, timeline.order, step, added, list(reads))
 
 
-def _with_bucket(timeline: Timeline) -> DataFrame:
-    """The rows with their bucket, which is null in keys of at most BUCKET_STEPS rows.
+def _marked(timeline: Timeline) -> DataFrame:
+    """The rows with LARGE, whether their key has more than BUCKET_STEPS rows, and their bucket, which is null if not.
 
     The keys of more rows, of which there is at most one per so many rows, are broadcast.
     """
     df, keys = timeline.df, timeline.keys
-    large = (df.groupBy(*[F.col(k).alias(f"_large_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_large"))
-             .where(F.col("_large") > BUCKET_STEPS))
+    large = (df.groupBy(*[F.col(k).alias(f"_large_{k}") for k in keys]).agg(F.count(F.lit(1)).alias(LARGE))
+             .where(F.col(LARGE) > BUCKET_STEPS))
     same = [F.col(k).eqNullSafe(F.col(f"_large_{k}")) for k in keys]
-    return (df.join(F.broadcast(large), reduce(Column.__and__, same), "left")
-            .withColumn(BUCKET, F.when(F.col("_large").isNotNull(), bucket_of(df, timeline.order[0], timeline.width)))
-            .drop("_large", *[f"_large_{k}" for k in keys]))
+    return (df.join(F.broadcast(large), reduce(Column.__and__, same), "left").withColumn(LARGE, F.col(LARGE).isNotNull())
+            .withColumn(BUCKET, F.when(F.col(LARGE), bucket_of(df, timeline.order[0], timeline.width)))
+            .drop(*[f"_large_{k}" for k in keys]))
 
 
 def split_fold(timeline: Timeline, step: Step, added: str, summarize: Summarize, advance: Advance,
@@ -253,7 +254,7 @@ def split_fold(timeline: Timeline, step: Step, added: str, summarize: Summarize,
     their bucket's entry state. The rows are read for the count of a key's rows, for the summaries and for the fold.
     """
     keys, order = timeline.keys, timeline.order
-    rows = _with_bucket(timeline)
+    rows = _marked(timeline).drop(LARGE)
     by = [*keys, BUCKET]
     narrow = rows.where(F.col(BUCKET).isNotNull()).select(*dict.fromkeys([*by, *order, *reads]))
     kinds = {f.name: f for f in narrow.schema.fields}

@@ -39,6 +39,12 @@ def _found(text: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def _once(df: DataFrame, *columns: Column) -> DataFrame:
+    """The rows with more columns, made once each: a filter on them stays behind them, where one on columns of a plain
+    projection is moved before it and repeats their expressions, those within one another many times over."""
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def parse_container_events(raw_lines: DataFrame) -> DataFrame:
     """`type action name` lines with an action worth an event."""
     parts = F.split(strip(F.col("line")), r"\s+", 3)
@@ -110,14 +116,13 @@ def parse_btrfs_stats(raw_blobs: DataFrame) -> DataFrame:
 def parse_coredumps(raw_lines: DataFrame) -> DataFrame:
     """Process id, signal and executable, read left to right; reading stops at the executable."""
     part = lambda g: F.regexp_extract("line", DUMP, g)
-    early, rest = _found(F.col("_before"), rf"{WORD_START}(SIG\S*)", 1), F.col("_rest")
+    before, rest, early = F.col("_before"), F.col("_rest"), F.nullif("_early", F.lit(""))
     late = lambda g: F.regexp_extract(rest, SIGNAL_FIRST, g)
-    parts = (raw_lines.select(*_others(raw_lines, "line"), part(1).alias("_before"), part(2).alias("pid"),
-                              part(3).alias("_rest"))
-             .where(F.col("pid") != "")
-             .select(*_others(raw_lines, "line"), "pid",
-                     F.coalesce(early, F.nullif(late(1), F.lit(""))).alias("signal"),
-                     F.when(early.isNotNull(), rest).otherwise(late(2)).alias("_rest"))
+    words = _once(raw_lines, part(1).alias("_before"), part(2).alias("pid"), part(3).alias("_rest")).where(F.col("pid") != "")
+    parts = (_once(words, F.regexp_extract(before, rf"{WORD_START}(SIG\S*)", 1).alias("_early"),
+                   late(1).alias("_late"), late(2).alias("_after"))
+             .select(*_others(raw_lines, "line"), "pid", F.coalesce(early, F.nullif("_late", F.lit(""))).alias("signal"),
+                     F.when(early.isNotNull(), rest).otherwise(F.col("_after")).alias("_rest"))
              .where(F.col("signal").isNotNull()))
     return parts.select(*_others(raw_lines, "line"), "pid", "signal",
                         _found(rest, rf"{WORD_START}(\S*/\S*)", 1).alias("exe"),
@@ -133,11 +138,10 @@ def coredump_events(dumps: DataFrame) -> DataFrame:
 
 def parse_audit(raw_lines: DataFrame) -> DataFrame:
     """Packages with known vulnerabilities."""
-    line = strip(F.col("line"))
-    return (raw_lines.where(line.rlike(AUDIT))
-            .select(*_others(raw_lines, "line"), *[
-                F.regexp_extract(line, AUDIT, g).alias(name)
-                for g, name in ((1, "entity"), (2, "description"), (3, "risk"))]))
+    names = ["entity", "description", "risk"]
+    text = _once(raw_lines, strip(F.col("line")).alias("_text"))
+    found = _once(text, *[F.regexp_extract("_text", AUDIT, g).alias(name) for g, name in enumerate(names, 1)])
+    return found.where(F.col("entity") != "").select(*_others(raw_lines, "line"), *names)
 
 
 def audit_events(vulnerable: DataFrame) -> DataFrame:

@@ -208,3 +208,40 @@ def test_bucket_width_changes_nothing(spark, monkeypatch):
     for seconds in (61, 600, 86_400):
         monkeypatch.setattr(timeline, "BUCKET_SECONDS", seconds)
         assert run() == whole
+
+
+@pytest.mark.parametrize("reverse", [False, True])
+def test_carry_leaves_small_keys_whole(spark, monkeypatch, reverse):
+    data = [(key, None if day == 1 else T0 + timedelta(days=day), i, None if i % 3 else i)
+            for key, days in (("a", 9), (None, 5), ("b", 2)) for i, day in enumerate(range(days))]
+    df = spark.createDataFrame(data, "key string, ts timestamp, id int, value int")
+
+    def found():
+        rows = Timeline(df, ["key"], ["ts", "id"]).carry({"last": F.col("value")}, reverse=reverse).df
+        return rows.columns, sorted(rows.collect(), key=str)
+
+    def buckets():
+        marked = timeline._marked(Timeline(df, ["key"], ["ts", "id"]))
+        return {(r["key"], r["n"]) for r in marked.groupBy("key").agg(F.count_distinct(timeline.BUCKET).alias("n")).collect()}
+
+    whole = found()
+    assert buckets() == {("a", 0), (None, 0), ("b", 0)}  # not one per day
+    monkeypatch.setattr(timeline, "BUCKET_STEPS", 4)
+    assert buckets() == {("a", 8), (None, 4), ("b", 0)}
+    assert found() == whole
+
+
+def test_first_seen_with_prime_reads_its_rows_once(spark):
+    data = [("l", None, "a"), ("l", 1, "a"), ("l", 2, "b"), ("m", 3, "c"), ("m", 4, "d"), ("m", 5, "d"), (None, 6, "e"), ("n", None, "f")]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for pdf in frames:
+            read.add(len(pdf))
+            yield pdf
+
+    df = spark.createDataFrame(data, "host string, tick int, key string").mapInPandas(counted, "host string, tick int, key string")
+    found = change.first_seen(df, ["host", "key"], ["tick"], prime=True)
+    assert pairs(found, "host", "tick", "key") == [("l", 2, "b"), ("m", 4, "d")]
+    assert read.value == len(data)
+    assert pairs(change.first_seen(df, ["key"], ["tick"], prime=True, scan=["host"]), "host", "tick", "key") == [("l", 2, "b"), ("m", 4, "d")]

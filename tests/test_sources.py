@@ -141,6 +141,13 @@ def test_audit_listing_temps(spark):
     assert got(tools.parse_temps(temps), "chip", "label", "value") == [("k10temp", "Tctl", 71.5), ("nvme", "temp1_input", 40.0)]
 
 
+@pytest.mark.parametrize("parse, pattern, groups", [(tools.parse_coredumps, tools.DUMP, 3), (tools.parse_coredumps, tools.SIGNAL_FIRST, 2),
+                                                    (tools.parse_audit, tools.AUDIT, 3)])
+def test_patterns_are_tried_once_a_group(spark, parse, pattern, groups):
+    plan = parse(lines(spark, "a", None))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(pattern) == groups
+
+
 def test_snapshots(spark):
     xml = "<snapshot><type>{}</type><description>{}</description></snapshot>"
     rows = [("9", xml.format("pre", "first")), ("10", "<snapshot><num>10</num></snapshot>"), ("100", None), ("11", "<broken"),
