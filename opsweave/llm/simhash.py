@@ -222,9 +222,9 @@ def _all_bits(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, _distance), F.lit(0), lambda x, y: x + y)
 
 
-def _meet_apart(entries: DataFrame, entry: list[str], roots: DataFrame, prints: DataFrame, most: int, max_bits: int) -> DataFrame:
+def _meet_apart(entries: DataFrame, entry: list[str], roots: DataFrame, most: int, max_bits: int) -> DataFrame:
     """Pairs (u, v) of all members of an entry that `roots` does not tie together yet, if `near` differs in at most `most` bits
-    and the complete fingerprints (node, fp) in at most `max_bits`: they are compared where members meet, so what fails is never a row.
+    and the complete fingerprint `fp` in at most `max_bits`: they are compared where members meet, so what fails is never a row.
 
     Of each entry the members outside its largest group meet all members: that no more than doubles what has to
     be compared, however large the groups are. Entries of over LOT members are dealt to several tasks.
@@ -235,8 +235,7 @@ def _meet_apart(entries: DataFrame, entry: list[str], roots: DataFrame, prints:
                .withColumns({"main": F.max(F.struct("n", "root")).over(one)["root"], "size": F.count(F.lit(1)).over(one),
                              "least": F.min("root").over(one), "most": F.max("root").over(one)})
                .where(F.col("least") != F.col("most"))
-               .select("node", "near", "root", "main", *entry, F.ceil(F.col("size") / LOT).cast("int").alias("lots"))
-               .join(prints, "node"))
+               .select("node", "near", "fp", "root", "main", *entry, F.ceil(F.col("size") / LOT).cast("int").alias("lots")))
     left = members.withColumn("lot", F.pmod(F.xxhash64("node"), F.col("lots")).cast("int"))
     right = (members.where("root <> main").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
              .select(*entry, "lot", *[F.col(c).alias(f"other_{c}") for c in ("node", "near", "root", "fp")]))
@@ -263,14 +262,15 @@ def links_by_segments(prints: DataFrame, entries: DataFrame, hashes: int, max_bi
 
     First each member of an entry meets the middle one, which ties large groups at few pairs; then all members that are
     not tied yet meet each other. A pair that is left out is tied by others, so the components are those of all pairs.
+    Members of shared entries get their fingerprints once, for both steps: that is at most a row for each table and node,
+    however large a group is.
     """
     entry = [c for c in entries.columns if c not in ("node", "near")]
     most = word_limit(64 * hashes, max_bits)
-    full = prints.select("node", "fp")
 
-    shared = written(shared_entries(entries, entry, most), "entries")
-    links = written(verify(written(_meet_middle(shared.join(full, "node"), most, max_bits), "candidates")), "alike")
-    apart = written(_meet_apart(shared, entry, components(links), full, most, max_bits), "candidates")
+    shared = written(shared_entries(entries, entry, most).join(prints.select("node", "fp"), "node"), "entries")
+    links = written(verify(written(_meet_middle(shared, most, max_bits), "candidates")), "alike")
+    apart = written(_meet_apart(shared, entry, components(links), most, max_bits), "candidates")
     return links.unionByName(verify(apart))
 
 

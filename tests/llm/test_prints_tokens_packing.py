@@ -383,3 +383,26 @@ def test_members_that_meet_by_chance_are_left_out(spark):
                                   "node long, near long, key long")
     kept = {tuple(r) for r in simhash.shared_entries(found, ["key"], 17).select("node", "near", "key").collect()}
     assert kept == {(3, 0, 2), (4, 1, 2), (5, 0, 3), (6, 0, 3), *far}
+
+
+def test_fingerprints_are_fetched_once_for_both_steps(spark, monkeypatch, tmp_path):
+    rng = random.Random(12)
+    base = rng.getrandbits(1024)
+    values = [base]
+    for n in [60] * 30 + [190] * 10:  # copies of one text, and texts near it that are no copies
+        values.append(base ^ sum(1 << b for b in rng.sample(range(1024), n)))
+    rows = [(i, np.frombuffer(v.to_bytes(128, "little"), dtype=np.int64).tolist()) for i, v in enumerate(values)]
+    spark.createDataFrame(rows, "node long, fp array<long>").write.parquet(f"{tmp_path}/prints")
+    prints = spark.read.parquet(f"{tmp_path}/prints")
+    simhash.segment_entries(prints, 16, 8, 20).write.parquet(f"{tmp_path}/index")
+    fetched, write = [], simhash.written
+
+    def noted(df, name):
+        fetched.extend([name] if any("/prints/" in f for f in df.inputFiles()) else [])
+        return write(df, name)
+
+    monkeypatch.setattr(simhash, "written", noted)
+    links = simhash.links_by_segments(prints, spark.read.parquet(f"{tmp_path}/index"), 16, 150, lambda pairs: pairs)
+    root = {r["node"]: r["root"] for r in components(links).collect()}
+    assert root == {i: 0 for i in range(31)}
+    assert fetched == ["entries"]
