@@ -103,7 +103,7 @@ def test_every_operator_has_a_query():
 def test_query_matches_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for table in ("documents", "labels", "pages"):
+    for table in ("documents", "labels", "pages", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     df = entry.queries()[name](spark, FOLDER)
     result = con.execute(entry.oracle_sql()[name])
